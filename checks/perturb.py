@@ -101,12 +101,12 @@ z AS (SELECT x.*, kinds, list_position(kinds, event_type) - 1 AS place, CAST({DR
 SELECT event_id, y_true, round(a, 6) AS a, round(CAST(b AS DOUBLE), 6) AS b,
   CASE WHEN y_true = 1 THEN kinds[CAST(other + CASE WHEN other >= place THEN 1 ELSE 0 END + 1 AS BIGINT)] ELSE event_type END AS event_type FROM z""")
 def _(spark, d):
-    return run(spark, d, "categorical_flip")
+    return run(spark, d, "categorical_flip", column="event_type")
 
 
 @query("i7_categorical_flip_sentinel", inject_sql(0.1, kind="'__UNKNOWN__'"))
 def _(spark, d):
-    return run(spark, d, "categorical_flip", mode="sentinel")
+    return run(spark, d, "categorical_flip", column="event_type", mode="sentinel")
 
 
 @query("i8_missing_value", inject_sql(0.08, a="NULL", b="NULL", kind="NULL"))

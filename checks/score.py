@@ -136,7 +136,7 @@ def steps(spark, d):
         F.round(F.col("value") / 40).alias("b"))
 
 
-@query("d9_freeze", f"WITH e AS (SELECT * FROM {STEP_SQL}), {freeze_sql('e', ['a', 'b'])} SELECT event_id, round(fz, 6) AS "freeze" FROM freezing")
+@query("d9_freeze", f"WITH e AS (SELECT * FROM {STEP_SQL}), {freeze_sql('e', ['a', 'b'])} SELECT event_id, round(fz, 6) AS \"freeze\" FROM freezing")
 def _(spark, d):
     return out(domain.freeze(steps(spark, d), ["a", "b"], ["ts"], ["event_id"]).select("event_id", "freeze"))
 
