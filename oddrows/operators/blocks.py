@@ -67,7 +67,9 @@ def score_rows(
     return picked.mapInArrow(run, schema)
 
 
-def block_sums(blocks: DataFrame, measure: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+def block_sums(
+    blocks: DataFrame, measure: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, partitions: int
+) -> np.ndarray:
     """Sum of a fixed-size vector over all partitions.
 
     ``measure`` turns a partition into one vector. With many partitions the vectors are
@@ -81,9 +83,8 @@ def block_sums(blocks: DataFrame, measure: Callable[[Iterator[pa.RecordBatch]],
         yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["pid", "v"])
 
     parts = blocks.mapInArrow(run, "pid int, v binary")
-    count = blocks.rdd.getNumPartitions() if not hasattr(blocks, "_parts") else blocks._parts
-    if count > DIRECT_PARTS:
-        groups = min(DIRECT_PARTS, math.ceil(math.sqrt(count)))
+    if partitions > DIRECT_PARTS:
+        groups = min(DIRECT_PARTS, math.ceil(math.sqrt(partitions)))
 
         def add(table: pa.Table) -> pa.Table:
             rows = sorted(zip(table.column("pid").to_pylist(), table.column("v").to_pylist()))
