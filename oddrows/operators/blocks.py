@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -50,18 +50,19 @@ def pack_rows(df: DataFrame, features: Sequence[str], rows: int = BLOCK_ROWS) ->
 
 
 def score_rows(
-    df: DataFrame, passed: Sequence[str], features: Sequence[str], score: Callable[[np.ndarray], np.ndarray], name: str
+    df: DataFrame, passed: Sequence[str], features: Sequence[str], scorers: Mapping[str, Callable[[np.ndarray], np.ndarray]]
 ) -> DataFrame:
-    """Passed columns plus one score per row, a batch at a time."""
+    """Passed columns plus one column per scorer; all scorers share one pass over the rows."""
     fields = {f.name: f for f in df.schema.fields}
-    schema = T.StructType([fields[c] for c in passed] + [T.StructField(name, T.DoubleType())])
+    schema = T.StructType([fields[c] for c in passed] + [T.StructField(n, T.DoubleType()) for n in scorers])
     width = len(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s = np.asarray(score(batch_matrix(batch, len(passed), width)), dtype=np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(passed))] + [pa.array(s)], names=schema.names)
+                x = batch_matrix(batch, len(passed), width)
+                scores = [pa.array(np.asarray(s(x), dtype=np.float64)) for s in scorers.values()]
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(passed))] + scores, names=schema.names)
 
     picked = df.select(*[quoted(c) for c in passed], *[quoted(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)])
     return picked.mapInArrow(run, schema)
