@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddrows.functions.schema import quoted
+from oddrows.functions.schema import finite, quoted
 from oddrows.operators.ordered import drop_halo, ordering, with_halo
-from oddrows.operators.preprocess import domain_matrix
-from oddrows.operators.ranks import quantiles
+from oddrows.operators.ranks import quantiles, quantiles_with
 from oddrows.session import keep
 
 TINY = 1e-8
@@ -21,17 +20,26 @@ def _mean(parts: Sequence[Column]) -> Column:
     return sum(parts[1:], parts[0]) / F.lit(float(len(parts)))
 
 
-def _robust_scale(df: DataFrame, exprs: dict[str, Column], rows: int) -> dict[str, tuple[float, float]]:
-    """(median, 1.4826 MAD, else population deviation, else 1) per column: two aggregates."""
-    med = {c: q[0] for c, q in quantiles(df, exprs, [0.5], rows=rows).items()}
-    gaps = {c: F.abs(e - F.lit(med[c])) for c, e in exprs.items()}
-    mad = {c: q[0] for c, q in quantiles(df, gaps, [0.5], rows=rows).items()}
-    loose = [c for c in exprs if mad[c] <= TINY]
-    std = {}
-    if loose:
-        row = df.agg(*[F.stddev_pop(exprs[c]).alias(f"s{i}") for i, c in enumerate(loose)]).first()
-        std = {c: row[f"s{i}"] for i, c in enumerate(loose)}
-    return {c: (med[c], 1.4826 * mad[c] if mad[c] > TINY else (std[c] if std[c] > TINY else 1.0)) for c in exprs}
+def _medians(df: DataFrame, cols: Sequence[str], rows: int) -> dict[str, float]:
+    found = quantiles(df, {c: finite(c) for c in cols}, [0.5], rows=rows)
+    return {c: q[0] if q[0] is not None else 0.0 for c, q in found.items()}
+
+
+def _filled(medians: dict[str, float]) -> dict[str, Column]:
+    """Infinities and nulls replaced by the column's median."""
+    return {c: F.coalesce(finite(c), F.lit(m)) for c, m in medians.items()}
+
+
+def _robust_scale(df: DataFrame, exprs: dict[str, Column], medians: dict[str, float], rows: int) -> dict[str, float]:
+    """1.4826 MAD, else population deviation, else 1 per column, from one aggregate."""
+    names = list(exprs)
+    gaps = {c: F.abs(exprs[c] - F.lit(medians[c])) for c in names}
+    mad, std = quantiles_with(df, gaps, [0.5], {f"s{i}": F.stddev_pop(exprs[c]) for i, c in enumerate(names)}, rows=rows)
+    out = {}
+    for i, c in enumerate(names):
+        m, s = mad[c][0], std[f"s{i}"]
+        out[c] = 1.4826 * m if m > TINY else (s if s > TINY else 1.0)
+    return out
 
 
 def repeat_counts(df: DataFrame, exprs: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
@@ -50,13 +58,14 @@ def repeat_counts(df: DataFrame, exprs: dict[str, Column]) -> tuple[DataFrame, d
     return out, counts
 
 
-def with_flatline(df: DataFrame, cols: Sequence[str], rows: int, name: str = "flatline") -> DataFrame:
+def with_flatline(df: DataFrame, cols: Sequence[str], rows: int, name: str = "flatline", medians: dict[str, float] | None = None) -> DataFrame:
     """Rows that sit implausibly close to every column's centre, or repeat a value."""
     if not cols or rows == 0:
         return df.withColumn(name, F.lit(0.0))
-    x = domain_matrix(df, list(cols), rows)
-    scale = _robust_scale(df, x, rows)
-    z = {c: F.abs((x[c] - F.lit(scale[c][0])) / F.lit(scale[c][1])) for c in cols}
+    medians = medians or _medians(df, cols, rows)
+    x = _filled(medians)  # filling with the median leaves the median where it is
+    scale = _robust_scale(df, x, medians, rows)
+    z = {c: F.abs((x[c] - F.lit(medians[c])) / F.lit(scale[c])) for c in cols}
     out, counts = repeat_counts(df, x)
     central = _mean([F.exp(F.lit(-6.0) * z[c]) for c in cols])
     near = _mean([(z[c] <= 0.08).cast("double") for c in cols])
@@ -68,12 +77,13 @@ def with_flatline(df: DataFrame, cols: Sequence[str], rows: int, name: str = "fl
 def with_ordered_scores(
     df: DataFrame, cols: Sequence[str], order_by: Sequence[str], key: Sequence[str], rows: int, *,
     temporal: str | None = "temporal_change", freeze: str | None = "freeze", window: int = FREEZE_WINDOW,
+    medians: dict[str, float] | None = None,
 ) -> DataFrame:
     """Sudden-change and freeze scores from one bucketed window pass over the order."""
     wanted = [n for n in (temporal, freeze) if n]
     if not cols or rows < 3:
         return df.withColumns({n: F.lit(0.0) for n in wanted})
-    x = domain_matrix(df, list(cols), rows)
+    x = _filled(medians or _medians(df, cols, rows))
     own = list(df.columns)
     work = df.withColumns({f"__x{i}": x[c] for i, c in enumerate(cols)})
     o = with_halo(ordering(work, order_by, key), window if freeze else 1, 1 if temporal else 0)
@@ -88,14 +98,16 @@ def with_ordered_scores(
     seen = keep(seen)
     rows_only = seen.filter(~F.col("__halo"))
     out = seen
+    # One aggregate gives the typical steps, changes and spreads of all columns.
+    wanted_medians = {f"c{i}": F.col(f"__c{i}") for i in ids} if temporal else {}
+    wanted_medians |= {f"d{i}": F.col(f"__d{i}") for i in ids} if freeze else {}
+    typical, spread = quantiles_with(rows_only, wanted_medians, [0.5], {f"s{i}": F.stddev_pop(f"__x{i}") for i in ids}, rows=rows)
     if temporal:
-        scale = _robust_scale(rows_only, {str(i): F.col(f"__c{i}") for i in ids}, rows)
-        out = out.withColumn(temporal, _mean([F.col(f"__c{i}") / F.lit(scale[str(i)][1]) for i in ids]))
+        scale = _robust_scale(rows_only, {f"c{i}": F.col(f"__c{i}") for i in ids}, {f"c{i}": typical[f"c{i}"][0] for i in ids}, rows)
+        out = out.withColumn(temporal, _mean([F.col(f"__c{i}") / F.lit(scale[f"c{i}"]) for i in ids]))
     if freeze:
-        typical = quantiles(rows_only, {str(i): F.col(f"__d{i}") for i in ids}, [0.5], rows=rows)
-        spread = rows_only.agg(*[F.stddev_pop(f"__x{i}").alias(f"s{i}") for i in ids]).first()
         eps = {
-            i: max(typical[str(i)][0] * 0.05 if typical[str(i)][0] > TINY else spread[f"s{i}"] * 0.01, TINY) for i in ids
+            i: max(typical[f"d{i}"][0] * 0.05 if typical[f"d{i}"][0] > TINY else spread[f"s{i}"] * 0.01, TINY) for i in ids
         }
         out = out.withColumns({
             f"__f{i}": F.coalesce(F.col(f"__d{i}") <= F.lit(eps[i]), F.lit(False)).cast("double") for i in ids
@@ -135,4 +147,6 @@ def freeze(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], key: Seq
 def domain_scores(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], key: Sequence[str]) -> DataFrame:
     """All three domain scores beside the table's own columns."""
     rows = df.count()
-    return with_ordered_scores(with_flatline(df, cols, rows), cols, order_by, key, rows)
+    medians = _medians(df, cols, rows) if cols else {}
+    flat = with_flatline(df, cols, rows, medians=medians)
+    return with_ordered_scores(flat, cols, order_by, key, rows, medians=medians)

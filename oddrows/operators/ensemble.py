@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddrows.functions.schema import quoted
-from oddrows.operators.ranks import quantiles
+from oddrows.operators.ranks import quantiles, quantiles_with
 
 # Prior weights of the score sources.
 BASE_WEIGHTS = {
@@ -33,13 +33,22 @@ def cleaned(score: str, largest: float) -> Column:
 
 
 def normalization(df: DataFrame, scores: Sequence[str], rows: int | None = None) -> dict[str, dict]:
-    """Per source the clip range and the finite maximum: two aggregates for all sources."""
-    maxima = df.agg(F.count(F.lit(1)).alias("n"), *[
-        F.max(F.when(~F.isnan(quoted(s)) & (F.abs(quoted(s)) != F.lit(INF)), quoted(s))).alias(f"m{i}")
-        for i, s in enumerate(scores)
-    ]).first()
-    largest = {s: maxima[f"m{i}"] if maxima[f"m{i}"] is not None else 0.0 for i, s in enumerate(scores)}
-    q = quantiles(df, {s: cleaned(s, largest[s]) for s in scores}, [0.0, 0.01, 0.99, 1.0], rows=maxima["n"])
+    """Per source the clip range and the finite maximum.
+
+    One pass for all sources; only a source that holds +inf, whose place is taken by the
+    largest finite score, needs a second one.
+    """
+    probs = [0.0, 0.01, 0.99, 1.0]
+    extra = {}
+    for i, s in enumerate(scores):
+        plain = ~F.isnan(quoted(s)) & (F.abs(quoted(s)) != F.lit(INF))
+        extra[f"m{i}"] = F.max(F.when(plain, quoted(s)))
+        extra[f"i{i}"] = F.count_if(quoted(s) == F.lit(INF))
+    q, seen = quantiles_with(df, {s: F.when(cleaned(s, INF) != F.lit(INF), cleaned(s, INF)) for s in scores}, probs, extra, rows=rows)
+    largest = {s: seen[f"m{i}"] if seen[f"m{i}"] is not None else 0.0 for i, s in enumerate(scores)}
+    infinite = [s for i, s in enumerate(scores) if seen[f"i{i}"]]
+    if infinite:
+        q |= quantiles(df, {s: cleaned(s, largest[s]) for s in infinite}, probs, rows=rows)
     out = {}
     for s in scores:
         low, p1, p99, high = q[s] if q[s][0] is not None else (0.0, 0.0, 0.0, 0.0)

@@ -125,7 +125,7 @@ def neighbour_edges(points: DataFrame, k: int, width: int, *, block: int | None
     picked = _pivots(points, n, wanted, limit)
     assigned = keep(_assign(points, picked, width))
     layout = _layout(assigned, picked, k, block)
-    shared = spark.sparkContext.broadcast(layout)
+    shared = spark.sparkContext.broadcast(vars(layout))  # at most MAX_PIVOTS x (vector + RINGS) numbers, plus their distances
     blocks = keep(_pack_blocks(assigned, shared, k, width))
     packs = _query_packs(blocks, shared, width)
     pairs = packs.join(blocks.select(F.col("block").alias("target"), F.col("ids").alias("s_ids"), F.col("x").alias("s_x")), "target")
@@ -202,7 +202,7 @@ def _pack_blocks(assigned: DataFrame, shared, k: int, width: int) -> DataFrame:
     """One row per block: ids, matrix, cell and each point's bound on its k-th distance."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout: Layout = shared.value
+        layout = Layout(**shared.value)
         for batch in batches:
             if batch.num_rows:
                 salt = np.abs((batch.column(0).to_numpy() * np.int64(2654435761)) >> 7)
@@ -211,7 +211,7 @@ def _pack_blocks(assigned: DataFrame, shared, k: int, width: int) -> DataFrame:
                                                  names=["block", "gid", "cell", "distance", "x"])
 
     def pack(table: pa.Table) -> pa.Table:
-        layout: Layout = shared.value
+        layout = Layout(**shared.value)
         table = table.combine_chunks().sort_by("gid")
         ids = table.column("gid").to_numpy()
         x = column_matrix(table.column("x"), width)
@@ -236,7 +236,7 @@ def _query_packs(blocks: DataFrame, shared, width: int) -> DataFrame:
     """(target, q_ids, q_x): the points of each block that may have a neighbour in the target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout: Layout = shared.value
+        layout = Layout(**shared.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 own = batch.column(1)[i].as_py()

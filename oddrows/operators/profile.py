@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from oddrows.functions.schema import finite, number, numeric_columns, quoted
@@ -60,8 +60,8 @@ class Profile:
         return spark.createDataFrame([tuple(c[k] for k in names) for c in self.columns], schema)
 
 
-def column_moments(df: DataFrame, cols: list[str]) -> tuple[int, list[dict]]:
-    """(rows, per-column count/missing/moments) from one aggregate."""
+def column_moments(df: DataFrame, cols: list[str], extra: list[Column] | None = None) -> tuple[int, list[dict], Row]:
+    """(rows, per-column count/missing/moments, extra aggregates) from one aggregate."""
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(cols):
         x = number(c)
@@ -71,7 +71,7 @@ def column_moments(df: DataFrame, cols: list[str]) -> tuple[int, list[dict]]:
             F.count_if(F.coalesce(x, F.lit(0.0)) == 0.0).alias(f"z{i}"),
             F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
         ]
-    r = df.agg(*aggs).first()
+    r = df.agg(*aggs, *(extra or [])).first()
     rows = r["rows"]
     out = []
     for i, c in enumerate(cols):
@@ -81,7 +81,7 @@ def column_moments(df: DataFrame, cols: list[str]) -> tuple[int, list[dict]]:
             "kurtosis": _finite(r[f"k{i}"]), "zero_rate": r[f"z{i}"] / rows if rows else 0.0,
             "min": r[f"a{i}"], "max": r[f"b{i}"],
         })
-    return rows, out
+    return rows, out, r
 
 
 def _finite(x: float | None) -> float | None:
@@ -113,6 +113,15 @@ def binned_entropy(df: DataFrame, moments: list[dict]) -> dict[str, float]:
     return out
 
 
+def _pair_aggregates(cols: list[str]) -> list[Column]:
+    x = [number(c) for c in cols]
+    aggs = []
+    for a, b in combinations(range(len(cols)), 2):
+        both = x[a].isNotNull() & x[b].isNotNull()
+        aggs.append(F.corr(F.when(both, x[a]), F.when(both, x[b])).alias(f"r{a}_{b}"))
+    return aggs
+
+
 def pairwise_correlations(df: DataFrame, cols: list[str], wide_limit: int = WIDE_LIMIT) -> DataFrame:
     """Pearson r of every column pair over the rows complete in that pair: (a, b, r)."""
     spark = df.sparkSession
@@ -120,12 +129,7 @@ def pairwise_correlations(df: DataFrame, cols: list[str], wide_limit: int = WIDE
     if not pairs:
         return spark.createDataFrame([], "a string, b string, r double")
     if len(cols) <= wide_limit:
-        x = [number(c) for c in cols]
-        aggs = []
-        for a, b in pairs:
-            both = x[a].isNotNull() & x[b].isNotNull()
-            aggs.append(F.corr(F.when(both, x[a]), F.when(both, x[b])).alias(f"r{a}_{b}"))
-        row = df.agg(*aggs).first()
+        row = df.agg(*_pair_aggregates(cols)).first()
         rows = [(cols[a], cols[b], _finite(row[f"r{a}_{b}"])) for a, b in pairs]
         return spark.createDataFrame(rows, "a string, b string, r double")
     return _gram_correlations(df, cols)
@@ -164,15 +168,20 @@ def _gram_correlations(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def analyze(df: DataFrame, cols: list[str] | None = None) -> Profile:
-    """Full profile of the numeric columns: three aggregates over the table."""
+    """Full profile of the numeric columns: two aggregates over the table."""
     cols = cols or numeric_columns(df)
     if not cols:
         raise ValueError("at least one numeric column is required")
-    rows, moments = column_moments(df, cols)
+    narrow = len(cols) <= WIDE_LIMIT
+    rows, moments, row = column_moments(df, cols, _pair_aggregates(cols) if narrow else None)
     entropy = binned_entropy(df, moments)
-    pairs = pairwise_correlations(df, cols)
-    absolute = F.coalesce(F.abs(F.nanvl("r", F.lit(0.0))), F.lit(0.0))
-    c = pairs.agg(F.avg(absolute).alias("m"), F.count_if(absolute >= HIGH_CORRELATION).alias("h")).first()
+    if narrow:
+        absolute = [abs(_finite(row[f"r{a}_{b}"]) or 0.0) for a, b in combinations(range(len(cols)), 2)]
+        corr_mean, corr_high = (sum(absolute) / len(absolute) if absolute else 0.0), sum(r >= HIGH_CORRELATION for r in absolute)
+    else:
+        size = F.coalesce(F.abs(F.nanvl("r", F.lit(0.0))), F.lit(0.0))
+        c = pairwise_correlations(df, cols).agg(F.avg(size).alias("m"), F.count_if(size >= HIGH_CORRELATION).alias("h")).first()
+        corr_mean, corr_high = c["m"], c["h"]
 
     def mean(values: list) -> float:
         kept = [v for v in values if v is not None]
@@ -189,6 +198,6 @@ def analyze(df: DataFrame, cols: list[str] | None = None) -> Profile:
         skewness_mean_abs=mean([None if m["skewness"] is None else abs(m["skewness"]) for m in moments]),
         kurtosis_mean_abs=mean([None if m["kurtosis"] is None else abs(m["kurtosis"]) for m in moments]),
         sparsity_zero_rate=mean([m["zero_rate"] for m in moments]),
-        correlation_abs_mean=float(c["m"] or 0.0), high_corr_pair_count=int(c["h"]),
+        correlation_abs_mean=float(corr_mean), high_corr_pair_count=int(corr_high),
         columns=columns,
     )

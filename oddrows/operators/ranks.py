@@ -140,22 +140,39 @@ def quantiles(
     probs: Sequence[float],
     *,
     rows: int | None = None,
-    exact_agg_limit: int = EXACT_AGG_LIMIT,
+    exact_agg_limit: int | None = None,
     inner_limit: int = INNER_LIMIT,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated exact quantiles of each column, nulls ignored.
 
     ``rows`` is an upper bound on the row count when the caller knows one.
     """
+    return quantiles_with(df, columns, probs, {}, rows=rows, exact_agg_limit=exact_agg_limit, inner_limit=inner_limit)[0]
+
+
+def quantiles_with(
+    df: DataFrame,
+    columns: Mapping[str, Column] | Sequence[str],
+    probs: Sequence[float],
+    extra: Mapping[str, Column],
+    *,
+    rows: int | None = None,
+    exact_agg_limit: int | None = None,
+    inner_limit: int = INNER_LIMIT,
+) -> tuple[dict[str, list[float | None]], dict]:
+    """Quantiles and other aggregates, in one pass when the table is small."""
     exprs = _named(columns)
     names = list(exprs)
     if rows is None:
         rows = df.count()
-    if rows <= exact_agg_limit:
+    limit = EXACT_AGG_LIMIT if exact_agg_limit is None else exact_agg_limit
+    others = [c.alias(n) for n, c in extra.items()]
+    if rows <= limit:
         array = prob_array(probs)
-        row = df.agg(*[F.percentile(exprs[n].cast("double"), array).alias(f"q{i}") for i, n in enumerate(names)]).first()
-        return {n: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs) for i, n in enumerate(names)}
-    counts_row = df.agg(*[F.count(exprs[n]).alias(f"c{i}") for i, n in enumerate(names)]).first()
+        row = df.agg(*[F.percentile(exprs[n].cast("double"), array).alias(f"__q{i}") for i, n in enumerate(names)], *others).first()
+        found = {n: list(row[f"__q{i}"]) if row[f"__q{i}"] is not None else [None] * len(probs) for i, n in enumerate(names)}
+        return found, {n: row[n] for n in extra}
+    counts_row = df.agg(*[F.count(exprs[n]).alias(f"c{i}") for i, n in enumerate(names)], *others).first()
     counts = {n: counts_row[f"c{i}"] for i, n in enumerate(names)}
     wanted = {}
     for n in names:
@@ -176,7 +193,7 @@ def quantiles(
             low = values[n][math.floor(position)]
             high = values[n][math.ceil(position)]
             out[n].append(low + (high - low) * (position - math.floor(position)))
-    return out
+    return out, {n: counts_row[n] for n in extra}
 
 
 def kth_largest(df: DataFrame, column: Column, k: int, rows: int) -> float:

@@ -21,7 +21,7 @@ from oddrows.functions.schema import numeric_columns, quoted
 from oddrows.operators import ensemble as E
 from oddrows.operators import thresholds as T
 from oddrows.operators.blocks import pack_rows, score_rows
-from oddrows.operators.metrics import best_percentiles, evaluation_report, percentile_metrics
+from oddrows.operators.metrics import best_percentiles, evaluation_report, f1_of, percentile_counts
 from oddrows.operators.ordered import with_row_index
 from oddrows.operators.preprocess import Prepared, preprocess
 from oddrows.operators.profile import Profile, analyze
@@ -56,6 +56,7 @@ class Detection:
     selected_source: str
     selection: dict
     meta_selection: dict
+    final_column: str = "ensemble"
     key: list[str] = field(default_factory=list)
     prediction_column: str = "is_anomaly"
 
@@ -63,6 +64,10 @@ class Detection:
         """Column that holds a source's final scores: normalised, the ensemble as combined."""
         return "ensemble" if source == "ensemble" or source not in self.sources else f"{source}__norm"
 
+    def flagged(self) -> DataFrame:
+        """The score table with the 0/1 prediction in ``__flag``."""
+        return self.scores.withColumn("__flag", (quoted(self.final_column) > F.lit(self.threshold)).cast("int"))
+
     def long_scores(self) -> DataFrame:
         """(key.., score_source, score) of every source."""
         names = ["ensemble", *self.sources]
@@ -211,7 +216,7 @@ def detect(
     return Detection(
         scores=scores, result=result, profile=profile, info=prepared.info, rows=rows, detectors=names, sources=sources, params=chosen,
         weights=mix, threshold=float(cut), threshold_strategy=threshold_strategy, threshold_percentile=float(threshold_percentile),
-        selected_source=selected, selection=selection, meta_selection=meta, key=key, prediction_column=prediction)
+        selected_source=selected, selection=selection, meta_selection=meta, final_column=final, key=key, prediction_column=prediction)
 
 
 def choose_on_labels(scores: DataFrame, key: list[str], y: str, sources: Sequence[str], rows: int, seed: int = 42) -> tuple[str, dict]:
@@ -227,10 +232,13 @@ def choose_on_labels(scores: DataFrame, key: list[str], y: str, sources: Sequenc
         split = keep(split)
         train, test = split.filter("fold = 'train'"), split.filter("fold = 'test'")
         calibrated = best_percentiles(train, y, list(column.values()), range(70, 91))
+        held = percentile_counts(test, y, list(column.values()), [*range(70, 91), 95])
         found = {}
         for s in sources:
             c = calibrated[column[s]]
-            found[s] = {"calibration": c, **percentile_metrics(test, y, column[s], c["percentile"])}
+            e = next(e for e in held[column[s]] if e["percentile"] == c["percentile"])
+            precision, recall, f1 = f1_of(e["tp"], e["fp"], e["fn"])
+            found[s] = {"calibration": c, "percentile": c["percentile"], "precision": precision, "recall": recall, "f1": f1}
         order = sorted(sources, key=lambda s: -found[s]["f1"])
         best = order[0]
         if "knn_distance" in found and found["knn_distance"]["f1"] >= found[best]["f1"] - KNN_MARGIN:
@@ -286,7 +294,7 @@ def analyze_table(
         expected_contamination=share, **options)
     evaluation = None
     if y:
-        evaluation = evaluation_report(found.result, y, found.prediction_column, "anomaly_score", provenance=provenance["strategy"])
+        evaluation = evaluation_report(found.flagged(), "__y", "__flag", found.final_column, provenance=provenance["strategy"])
     if y == "__label":
         found.result = found.result.drop("__label")
     return found, evaluation, provenance
