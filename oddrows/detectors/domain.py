@@ -86,7 +86,7 @@ def with_ordered_scores(
     x = _filled(medians or _medians(df, cols, rows))
     own = list(df.columns)
     work = df.withColumns({f"__x{i}": x[c] for i, c in enumerate(cols)})
-    o = with_halo(ordering(work, order_by, key), window if freeze else 1, 1 if temporal else 0)
+    o = with_halo(ordering(work, order_by, key, rows=rows), window if freeze else 1, 1 if temporal else 0)
     ids = range(len(cols))
     prev = {f"__d{i}": F.abs(F.col(f"__x{i}") - F.lag(f"__x{i}").over(o.window)) for i in ids}
     seen = o.df.withColumns(prev)

@@ -28,14 +28,15 @@ SEQUENCE_SCHEMA = "start int, own int, ids binary, x binary"
 
 
 def pack_sequences(
-    df: DataFrame, key: str, features: Sequence[str], order_by: Sequence[str], reach: int, *, rows: int = BLOCK_ROWS, buckets: int | None = None
+    df: DataFrame, key: str, features: Sequence[str], order_by: Sequence[str], reach: int, *, rows: int = BLOCK_ROWS, buckets: int | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """Ordered blocks of up to ``rows`` own rows with ``reach`` rows of context on each side.
 
     One shuffle by bucket; the rows of a bucket stream through in order, so a task holds one
     block and its context whatever the bucket's size.
     """
-    o = with_halo(ordering(df, order_by, [key], buckets=buckets), reach, reach)
+    o = with_halo(ordering(df, order_by, [key], buckets=buckets, rows=total), reach, reach)
     width = len(features)
     sort = [quoted(c) for c in o.sort]
     ordered = o.df.select(BUCKET, HALO, quoted(key).cast("long").alias("__id"), *sort, *[quoted(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)])
@@ -219,7 +220,7 @@ def lstm_autoencoder(
     rows = df.count() if rows is None else rows
     width = len(features)
     length = min(seq_len or min(10, max(5, rows // 10)), rows)
-    blocks = blocks if blocks is not None else keep(pack_sequences(df, key, features, order_by, length - 1))
+    blocks = blocks if blocks is not None else keep(pack_sequences(df, key, features, order_by, length - 1, total=rows))
     partitions = blocks.rdd.getNumPartitions()
     cells = window_count(rows, length) * length * width
 

@@ -68,17 +68,20 @@ def drop_present(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.drop(*[c for c in cols if c in df.columns])
 
 
+def _tick(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def number(name: str) -> Column:
     """Numeric column as double with NaN turned into null."""
-    value = quoted(name).cast("double")
-    return F.when(F.isnan(value), F.lit(None)).otherwise(value)
+    value = f"CAST({_tick(name)} AS DOUBLE)"
+    return F.expr(f"IF(isnan({value}), NULL, {value})")
 
 
 def finite(name: str) -> Column:
     """Numeric column as double with NaN and infinities turned into null."""
-    value = quoted(name).cast("double")
-    bad = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    return F.when(bad, F.lit(None)).otherwise(value)
+    value = f"CAST({_tick(name)} AS DOUBLE)"
+    return F.expr(f"IF(isnan({value}) OR abs({value}) = double('Infinity'), NULL, {value})")
 
 
 def sortable(name: str, dtype: T.DataType) -> Column:

@@ -35,9 +35,14 @@ def batch_matrix(batch: pa.RecordBatch, start: int, width: int) -> np.ndarray:
     return np.column_stack([batch.column(start + i).to_numpy(zero_copy_only=False) for i in range(width)]).astype(np.float64)
 
 
-def pack_rows(df: DataFrame, features: Sequence[str], rows: int = BLOCK_ROWS) -> DataFrame:
-    """(n, x): row-major float64 blocks, so later passes read matrices instead of rows."""
+def pack_rows(df: DataFrame, features: Sequence[str], rows: int = BLOCK_ROWS, total: int | None = None) -> DataFrame:
+    """(n, x): row-major float64 blocks, so later passes read matrices instead of rows.
+
+    A table known to be small is first brought to one partition per block.
+    """
     width = len(features)
+    if total is not None and total < rows * df.sparkSession.sparkContext.defaultParallelism:
+        df = df.coalesce(max(1, math.ceil(total / rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -39,14 +39,13 @@ def confusion(df: DataFrame, y: str, prediction: str, by: Sequence[str] = ()) ->
 def ranking_metrics(df: DataFrame, y: str, scores: Sequence[str]) -> DataFrame:
     """(score_source, roc_auc, pr_auc), tie-aware and exact; 0 when only one class is present."""
     t = quoted(y).cast("int")
-    prefix = value_prefix(
-        df, {s: quoted(s) for s in scores},
-        {"pos": F.when(t == 1, 1.0).otherwise(0.0), "neg": F.when(t == 1, 0.0).otherwise(1.0)},
-    )
     totals = df.agg(F.count_if(t == 1).alias("p"), F.count_if(F.coalesce(t, F.lit(0)) != 1).alias("n")).first()
     p, n = float(totals["p"]), float(totals["n"])
     if p == 0 or n == 0:
         return df.sparkSession.createDataFrame([(s, 0.0, 0.0) for s in scores], "score_source string, roc_auc double, pr_auc double")
+    prefix = value_prefix(
+        df, {s: quoted(s) for s in scores},
+        {"pos": F.when(t == 1, 1.0).otherwise(0.0), "neg": F.when(t == 1, 0.0).otherwise(1.0)}, rows=totals["p"] + totals["n"])
     above_pos, above_neg = F.lit(p) - F.col("pos__before"), F.lit(n) - F.col("neg__before")
     return prefix.groupBy(F.col("column").alias("score_source")).agg(
         (F.sum(F.col("pos") * (F.col("neg__before") + F.col("neg") / 2)) / F.lit(p * n)).alias("roc_auc"),

@@ -67,10 +67,15 @@ class Ordering:
 
 def ordering(
     df: DataFrame, order_by: Sequence[str], key: Sequence[str], *, max_buckets: int = MAX_BUCKETS,
-    buckets: int | None = None,
+    buckets: int | None = None, rows: int | None = None,
 ) -> Ordering:
-    """Add the bucket column for the total order (order_by, key)."""
+    """Add the bucket column for the total order (order_by, key).
+
+    ``rows`` saves the counting pass when the table is known to fit one bucket.
+    """
     sort = list(dict.fromkeys([*order_by, *key]))
+    if rows is not None and (buckets or bucket_count(rows, df.sparkSession.sparkContext.defaultParallelism)) == 1:
+        return Ordering(df.withColumn(BUCKET, F.lit(0).cast("long")), sort, rows, 1)
     types = {f.name: f.dataType for f in df.schema.fields}
     first = sortable(sort[0], types[sort[0]])
     grid = [i / max_buckets for i in range(1, max_buckets)] or [0.5]
@@ -182,11 +187,15 @@ def bucket_offsets(o: Ordering, sums: dict[str, Column]) -> DataFrame:
     return F.broadcast(o.df.sparkSession.createDataFrame(rows, schema))
 
 
-def with_row_index(df: DataFrame, order_by: Sequence[str], key: Sequence[str], name: str = "row_index") -> DataFrame:
+def with_row_index(
+    df: DataFrame, order_by: Sequence[str], key: Sequence[str], name: str = "row_index", rows: int | None = None
+) -> DataFrame:
     """Dense 0-based position of each row in the total order."""
-    o = ordering(df, order_by, key)
-    offsets = bucket_offsets(o, {"n": F.lit(1)})
+    o = ordering(df, order_by, key, rows=rows)
     local = o.df.withColumn("__rn", F.row_number().over(o.window).cast("long"))
+    if o.buckets == 1:
+        return local.withColumn(name, F.col("__rn") - 1).drop("__rn", BUCKET)
+    offsets = bucket_offsets(o, {"n": F.lit(1)})
     joined = local.join(offsets, BUCKET, "left")
     return joined.withColumn(name, F.col("n__before") + F.col("__rn") - 1).drop("__rn", "n__before", BUCKET)
 
@@ -237,7 +246,7 @@ def streak(
 
 
 def value_prefix(
-    df: DataFrame, columns: dict[str, Column], weights: dict[str, Column], *, max_buckets: int = MAX_BUCKETS
+    df: DataFrame, columns: dict[str, Column], weights: dict[str, Column], *, max_buckets: int = MAX_BUCKETS, rows: int | None = None
 ) -> DataFrame:
     """Per column and distinct value: weight sums and the sums over all smaller values.
 
@@ -249,18 +258,17 @@ def value_prefix(
         *[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)],
         *[w.alias(n) for n, w in weights.items()],
     )
-    grid = [i / max_buckets for i in range(1, max_buckets)] or [0.5]
-    probs = prob_array(grid)
-    row = work.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.percentile_approx(f"v{i}", probs, 10_000).alias(f"q{i}") for i in range(len(names))],
-    ).first()
-    count = bucket_count(row["n"], df.sparkSession.sparkContext.defaultParallelism)
-    cuts = []
-    for i in range(len(names)):
-        q = row[f"q{i}"] or []
-        points = {q[round(j * len(grid) / count)] for j in range(1, count)} if q and count > 1 else set()
-        cuts.append(sorted(p for p in points if math.isfinite(p)))
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    cuts: list[list[float]] = [[] for _ in names]
+    if rows is None or bucket_count(rows, parallelism) > 1:
+        grid = [i / max_buckets for i in range(1, max_buckets)] or [0.5]
+        sketches = [F.percentile_approx(f"v{i}", prob_array(grid), 10_000).alias(f"q{i}") for i in range(len(names))]
+        row = work.agg(F.count(F.lit(1)).alias("n"), *sketches).first()
+        count = bucket_count(row["n"], parallelism)
+        for i in range(len(names)):
+            q = row[f"q{i}"] or []
+            points = {q[round(j * len(grid) / count)] for j in range(1, count)} if q and count > 1 else set()
+            cuts[i] = sorted(p for p in points if math.isfinite(p))
     work = bucketize(work, [f"v{i}" for i in range(len(names))], [f"b{i}" for i in range(len(names))], cuts)
     cells = F.array(*[
         F.struct(F.lit(n).alias("column"), F.col(f"v{i}").alias("value"), F.col(f"b{i}").cast("int").alias(BUCKET))
@@ -272,17 +280,19 @@ def value_prefix(
         .groupBy("column", BUCKET, "value")
         .agg(*[F.sum(w).alias(w) for w in weights])
     )
+    frame = Window.partitionBy("column", BUCKET).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    local = values.withColumns({f"{w}__before": F.coalesce(F.sum(w).over(frame), F.lit(0)).cast("double") for w in weights})
+    if not any(cuts):
+        return local.drop(BUCKET)
     totals = values.groupBy("column", BUCKET).agg(*[F.sum(w).alias(w) for w in weights]).collect()
-    rows, running = [], {}
+    starts_rows, running = [], {}
     for r in sorted(totals, key=lambda r: (r["column"], r[BUCKET])):
         state = running.setdefault(r["column"], dict.fromkeys(weights, 0.0))
-        rows.append((r["column"], r[BUCKET], *[float(state[w]) for w in weights]))
+        starts_rows.append((r["column"], r[BUCKET], *[float(state[w]) for w in weights]))
         for w in weights:
             state[w] += r[w] or 0
     schema = f"column string, {BUCKET} int, " + ", ".join(f"`{w}__start` double" for w in weights)
-    starts = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # columns x MAX_BUCKETS rows at most
-    frame = Window.partitionBy("column", BUCKET).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    local = values.withColumns({f"{w}__before": F.coalesce(F.sum(w).over(frame), F.lit(0)) for w in weights})
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts_rows, schema))  # columns x MAX_BUCKETS rows at most
     out = local.join(starts, ["column", BUCKET], "left")
     return out.select(
         "column", "value", *weights,

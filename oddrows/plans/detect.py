@@ -90,7 +90,7 @@ def model_scores(
     """Score tables (key, one column per detector). Row-wise detectors share one pass."""
     df, features, rows = prepared.df, prepared.features, prepared.rows
     scorers = {}
-    blocks = keep(pack_rows(df, features)) if {"ocsvm", "autoencoder"} & set(names) else None
+    blocks = keep(pack_rows(df, features, total=rows)) if {"ocsvm", "autoencoder"} & set(names) else None
     if "iforest" in names:
         scorers["iforest"] = forest_scorer(df, key, features, rows, **params.get("iforest", {}))
     if "ocsvm" in names:
@@ -160,7 +160,7 @@ def detect(
     sequence_blocks = None
     if "lstm" in names:
         reach = max(LSTM_REACH, chosen.get("lstm", {}).get("seq_len", 0) - 1)
-        sequence_blocks = keep(pack_sequences(prepared.df, ROW, prepared.features, [ROW], reach))
+        sequence_blocks = keep(pack_sequences(prepared.df, ROW, prepared.features, [ROW], reach, total=rows))
         if "lstm" in missing:
             chosen["lstm"] = search_lstm(sequence_blocks, rows, width, seed=seed)
 
