@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from oddrows.detectors.gradient import adam, uniform_start, unpack
 from oddrows.functions.schema import quoted
-from oddrows.operators.blocks import batch_matrix, block_sums
+from oddrows.operators.blocks import batch_matrix, block_sums, task_partitions
 from oddrows.operators.ordered import BUCKET, HALO, ordering, with_halo
 from oddrows.session import keep
 
@@ -40,7 +40,7 @@ def pack_sequences(
     width = len(features)
     sort = [quoted(c) for c in o.sort]
     ordered = o.df.select(BUCKET, HALO, quoted(key).cast("long").alias("__id"), *sort, *[quoted(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)])
-    placed = ordered.repartition(BUCKET).sortWithinPartitions(BUCKET, *sort)
+    placed = ordered.repartition(task_partitions(df.sparkSession, o.buckets), BUCKET).sortWithinPartitions(BUCKET, *sort)
     placed = placed.select(BUCKET, HALO, "__id", *[f"__f{i}" for i in range(width)])
 
     def block(start: int, end: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:

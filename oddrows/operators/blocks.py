@@ -16,6 +16,8 @@ from oddrows.functions.schema import quoted
 
 BLOCK_ROWS = 4096
 DIRECT_PARTS = 256
+SMALL_BLOCKS = 16  # blocks per core up to which a table is dealt out
+SPREAD_ROWS = 2048
 
 
 def matrix_column(x: np.ndarray) -> pa.Array:
@@ -35,14 +37,26 @@ def batch_matrix(batch: pa.RecordBatch, start: int, width: int) -> np.ndarray:
     return np.column_stack([batch.column(start + i).to_numpy(zero_copy_only=False) for i in range(width)]).astype(np.float64)
 
 
-def pack_rows(df: DataFrame, features: Sequence[str], rows: int = BLOCK_ROWS, total: int | None = None) -> DataFrame:
-    """(n, x): row-major float64 blocks, so later passes read matrices instead of rows.
+def spread(df: DataFrame, rows: int | None) -> DataFrame:
+    """A table too small to fill the cluster by its own files, dealt out for heavy batch work.
 
-    A table known to be small is first brought to one partition per block.
+    Larger tables keep the partitions of their scan: nothing is shuffled.
     """
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if rows is None or rows > SMALL_BLOCKS * BLOCK_ROWS * parallelism:
+        return df
+    return df.repartition(max(1, min(parallelism, math.ceil(rows / SPREAD_ROWS))))
+
+
+def task_partitions(spark, groups: int) -> int:
+    """Partitions for ``groups`` compute-heavy groups; a fixed number is not merged by size at run time."""
+    return max(1, min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
+
+
+def pack_rows(df: DataFrame, features: Sequence[str], rows: int = BLOCK_ROWS, total: int | None = None) -> DataFrame:
+    """(n, x): row-major float64 blocks, so later passes read matrices instead of rows."""
     width = len(features)
-    if total is not None and total < rows * df.sparkSession.sparkContext.defaultParallelism:
-        df = df.coalesce(max(1, math.ceil(total / rows)))
+    df = spread(df.select(*[quoted(f) for f in features]), total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,7 +69,8 @@ def pack_rows(df: DataFrame, features: Sequence[str], rows: int = BLOCK_ROWS, to
 
 
 def score_rows(
-    df: DataFrame, passed: Sequence[str], features: Sequence[str], scorers: Mapping[str, Callable[[np.ndarray], np.ndarray]]
+    df: DataFrame, passed: Sequence[str], features: Sequence[str], scorers: Mapping[str, Callable[[np.ndarray], np.ndarray]],
+    rows: int | None = None,
 ) -> DataFrame:
     """Passed columns plus one column per scorer; all scorers share one pass over the rows."""
     fields = {f.name: f for f in df.schema.fields}
@@ -70,7 +85,7 @@ def score_rows(
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(passed))] + scores, names=schema.names)
 
     picked = df.select(*[quoted(c) for c in passed], *[quoted(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)])
-    return picked.mapInArrow(run, schema)
+    return spread(picked, rows).mapInArrow(run, schema)
 
 
 def block_sums(

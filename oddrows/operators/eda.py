@@ -14,6 +14,7 @@ from oddrows.operators.ordered import average_ranks, bucketize
 from oddrows.operators.profile import sample_kurtosis, sample_skewness
 from oddrows.operators.ranks import quantiles
 from oddrows.operators.sampling import seeded_pick
+from oddrows.session import keep
 
 HISTOGRAM_COLUMNS = 6
 BOXPLOT_COLUMNS = 6
@@ -218,7 +219,7 @@ def spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """
     cols = cols or top_variance_columns(df, CORRELATION_COLUMNS)
     work = complete_rows(df, cols)
-    ranks = average_ranks(work, {c: quoted(c) for c in cols})
+    ranks = keep(average_ranks(work, {c: quoted(c) for c in cols}))
     for i, c in enumerate(cols):
         one = ranks.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("avg_rank").alias(f"__r{i}"))
         work = work.join(one, c)

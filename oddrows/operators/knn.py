@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddrows.functions.schema import quoted
-from oddrows.operators.blocks import column_matrix, matrix_column
+from oddrows.operators.blocks import column_matrix, matrix_column, task_partitions
 from oddrows.session import keep
 
 MAX_BLOCK = 4096
@@ -126,9 +126,10 @@ def neighbour_edges(points: DataFrame, k: int, width: int, *, block: int | None
     assigned = keep(_assign(points, picked, width))
     layout = _layout(assigned, picked, k, block)
     shared = spark.sparkContext.broadcast(vars(layout))  # at most MAX_PIVOTS x (vector + RINGS) numbers, plus their distances
-    blocks = keep(_pack_blocks(assigned, shared, k, width))
+    blocks = keep(_pack_blocks(assigned, shared, k, width, task_partitions(spark, math.ceil(n / block) * 4)))
     packs = _query_packs(blocks, shared, width)
-    pairs = packs.join(blocks.select(F.col("block").alias("target"), F.col("ids").alias("s_ids"), F.col("x").alias("s_x")), "target")
+    parts = task_partitions(spark, math.ceil(n / block) * 4)
+    pairs = packs.repartition(parts, "target").join(blocks.select(F.col("block").alias("target"), F.col("ids").alias("s_ids"), F.col("x").alias("s_x")), "target")
     partial = _pair_edges(pairs, k, width)
     best = Window.partitionBy("gid").orderBy("distance", "nbr")
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -198,7 +199,7 @@ def _layout(assigned: DataFrame, pivots: np.ndarray, k: int, block: int) -> Layo
     return Layout(pivots, low - scale, high + scale, reach, between, base, edges, splits)
 
 
-def _pack_blocks(assigned: DataFrame, shared, k: int, width: int) -> DataFrame:
+def _pack_blocks(assigned: DataFrame, shared, k: int, width: int, parts: int) -> DataFrame:
     """One row per block: ids, matrix, cell and each point's bound on its k-th distance."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +230,7 @@ def _pack_blocks(assigned: DataFrame, shared, k: int, width: int) -> DataFrame:
         })
 
     placed = assigned.mapInArrow(place, "block long, gid long, cell int, distance double, x binary")
-    return placed.groupBy("block").applyInArrow(pack, "block long, cell int, ids binary, x binary, bound binary")
+    return placed.repartition(parts, "block").groupBy("block").applyInArrow(pack, "block long, cell int, ids binary, x binary, bound binary")
 
 
 def _query_packs(blocks: DataFrame, shared, width: int) -> DataFrame:

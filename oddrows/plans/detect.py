@@ -97,7 +97,7 @@ def model_scores(
         scorers["ocsvm"] = svm_scorer(df, features, rows, blocks=blocks, **params.get("ocsvm", {}))
     if "autoencoder" in names:
         scorers["autoencoder"] = autoencoder_scorer(df, features, rows, blocks=blocks, **params.get("autoencoder", {}))
-    parts = [score_rows(df, [key], features, scorers)] if scorers else []
+    parts = [score_rows(df, [key], features, scorers, rows)] if scorers else []
     near = {n: params.get(n, {}).get("k", 20) for n in ("lof", "knn_distance") if n in names}
     if near:  # one neighbour search at the larger k serves both
         graph = NeighbourGraph(df, key, features, max(near.values()), rows)
