@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddrows.session import release
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +20,12 @@ def query(name: str, sql: str | None = None):
     def register(run: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = run
+
+        def fresh(spark: SparkSession, folder: str) -> DataFrame:
+            release()  # frames kept by the query before; unpersisting only costs a recompute
+            return run(spark, folder)
+
+        QUERIES[name] = fresh
         if sql is not None:
             ORACLES[name] = sql
         return run

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -68,4 +69,5 @@ def keep(df: DataFrame) -> DataFrame:
 def release() -> None:
     """Unpersist everything kept so far."""
     while _KEPT:
-        _KEPT.pop().unpersist()
+        with contextlib.suppress(Exception):  # its session may have been stopped
+            _KEPT.pop().unpersist()
