@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import out, query, rounded, stacked, table
-from checks.explore import HOLES_SQL, LINE, holes
+from checks import out, query, stacked, table
+from checks.explore import HOLES_SQL, holes
 from oddrows.detectors import domain
 from oddrows.operators import ensemble, preprocess, sampling, thresholds
 from oddrows.operators.ranks import quantiles

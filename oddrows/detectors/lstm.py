@@ -12,7 +12,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from oddrows.detectors.gradient import adam, uniform_start, unpack
 from oddrows.functions.schema import quoted

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from oddrows.functions.schema import finite, number, numeric_columns, quoted
+from oddrows.functions.schema import number, numeric_columns
 
 WIDE_LIMIT = 24  # columns up to which every pair is its own corr() aggregate
 HIGH_CORRELATION = 0.85
