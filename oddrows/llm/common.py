@@ -9,10 +9,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oddrows.session import materialize, scratch_dir
 
-__all__ = ["lookup", "materialize", "parallelism", "per_batch", "scratch_dir", "scratch_path", "table", "text_of"]
+__all__ = ["append", "lookup", "materialize", "parallelism", "per_batch", "scratch_dir", "scratch_path", "table", "text_of"]
 
 #: A key is hot when it holds at least this share of the rows; so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1e-3
@@ -77,3 +78,26 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, tota
     if how == "inner":
         out = out.where(F.col("__any").isNotNull())
     return out.select(*left.columns, *[F.col(f"__any.`{v}`").alias(v) for v in values])
+
+
+def append(df: DataFrame, inputs: list[Column], start: Callable[[], Callable], fields: list[tuple[str, str]]) -> DataFrame:
+    """``df`` with columns made by Python in Arrow batches; ``fields``: names and Spark types, replacing equal names.
+
+    ``start()`` runs once a task and gives a function from the inputs' Arrow arrays to the new arrays.
+    """
+    names = {n for n, _ in fields}
+    kept = [c for c in df.columns if c not in names]
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(f"__in{i}") for i, c in enumerate(inputs)])
+    schema = T.StructType([f for f in df.schema.fields if f.name not in names] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
+    out_names, n_in, n_kept = [*kept, *[n for n, _ in fields]], len(inputs), len(kept)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            made = make(*[batch.column(n_kept + i) for i in range(n_in)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made], names=out_names)
+
+        yield from per_batch(run)(batches)
+
+    return rows.mapInArrow(task, schema)

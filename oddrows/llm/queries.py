@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddrows.llm import chat, mixing, packing, tokenizers_io, warc
+from oddrows.llm import chat, mixing, packing, parsing, quality, tokenizers_io, toxicity, warc
 from oddrows.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,25 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     return chat.read_back(chat.format_turns(turns))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Index:
+    return toxicity.fit(docs, labels.where(~toxicity.held_out()))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
+@query("op8_parsing_fingerprints")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.compare_with_edits(table(spark, folder, "documents"))
