@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddrows.llm import chat, mixing, neardup, packing, parsing, quality, tokenizers_io, toxicity, warc
+from oddrows.llm import chat, mixing, neardup, packing, parsing, quality, suffixes, tokenizers_io, toxicity, warc
 from oddrows.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = neardup.classes(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "copies")
+
+
+@query("op4_suffix_array_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.report(table(spark, folder, "documents"))
