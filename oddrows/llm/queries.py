@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddrows.llm import chat, mixing, neardup, packing, parsing, quality, suffixes, tokenizers_io, toxicity, warc
+from oddrows.llm import chat, lm, mixing, neardup, packing, parsing, quality, suffixes, tokenizers_io, toxicity, warc
 from oddrows.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+VOCABULARY = 50_257  # ids of the byte-level tokenizer
 
 
 def query(name: str, sql: str | None = None):
@@ -135,3 +136,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_suffix_array_dedup")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.report(table(spark, folder, "documents"))
+
+
+@query("op10_lm_scores")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"), bpe_encoder(), VOCABULARY)
