@@ -2,7 +2,8 @@
 
 **Fit.** At most ``max_examples`` labelled rows become examples: of each class those with the smallest hash of the id,
 weighted back to the class's share among all labelled rows. Terms are chosen by the chi-square of their presence
-against the label over the examples; document frequencies of the chosen terms are counted over all documents.
+against the label over the examples, where one class has them ``MIN_LIFT`` times as often as the other (longer texts of one
+class alone do not make its common words telling); document frequencies of the chosen terms are counted over all documents.
 
 **Search.** Postings of a term lie in blocks of examples, and every (term, block) keeps its largest weight. The weights of a
 query's terms give each block an upper bound; blocks are scored exactly in falling order of their bound until no bound
@@ -33,6 +34,7 @@ from oddrows.llm.common import append, per_batch, text_of
 MAX_EXAMPLES = 8192
 MAX_TERMS = 1024
 MIN_CHI2 = 20.0
+MIN_LIFT = 3.0
 NEIGHBOURS = 50
 BLOCK = 64
 THRESHOLD = 0.3
@@ -164,7 +166,7 @@ def _frequencies(docs: DataFrame, text_col: str, terms: list[bytes]) -> dict[byt
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_chi2: float = MIN_CHI2, k: int = NEIGHBOURS,
+    max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_chi2: float = MIN_CHI2, min_lift: float = MIN_LIFT, k: int = NEIGHBOURS,
 ) -> Index:
     """The index over at most ``max_examples`` of ``labels`` (leave out rows that must not be learnt from before)."""
     known = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("__id")).agg(F.max((F.col(f"`{label_col}`") > 0).cast("int")).alias("toxic"))
@@ -186,8 +188,9 @@ def fit(
     n1, n0 = F.lit(float(used[1])), F.lit(float(used[0]))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi2 = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n1 * n0 * (a + b) * (n1 + n0 - a - b))
+    lift = (a + 1) * (n0 + 2) / ((b + 1) * (n1 + 2))
     counted = _sets(examples).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    best = counted.where((a + b >= 5) & (a + b < n1 + n0) & (chi2 >= min_chi2)).orderBy(chi2.desc(), "term").limit(max_terms).select("term")
+    best = counted.where((a + b >= 5) & (a + b < n1 + n0) & (chi2 >= min_chi2) & ((lift >= min_lift) | (lift <= 1 / min_lift))).orderBy(chi2.desc(), "term").limit(max_terms).select("term")
     terms = sorted(bytes(r["term"]) for r in best.collect())
     index.terms = {w: i for i, w in enumerate(terms)}
     frequency, n = _frequencies(docs, text_col, terms), docs.count()
