@@ -29,7 +29,7 @@ MIN_GROUP = 200
 SUPPORT = 0.75
 STEPS = 3
 #: Smallest deviation of each transformed statistic, in its own unit.
-FLOORS = {"x_length": 0.5, "x_word": 0.25, "x_symbols": 0.03, "x_lines": 0.16, "x_repeats": 0.16}
+FLOORS = {"__x_length": 0.5, "__x_word": 0.25, "__x_symbols": 0.03, "__x_lines": 0.16, "__x_repeats": 0.16}
 NAMES = list(FLOORS)
 D = len(NAMES)
 #: 0.999999 quantile of chi-square with 5 degrees of freedom; fixed value.
@@ -38,10 +38,10 @@ CUT = 35.888
 SHRINK = 0.7082
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of the whole text."""
+def statistics(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``carry``) with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of the whole text."""
     own = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    kept = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry) if c not in own]
     text = docs.select(*kept, text_of(text_col).alias("__text"))
     split = text.select(
         *kept, "__text",
@@ -77,8 +77,8 @@ def transformed() -> dict[str, Column]:
     """Statistics on scales where ordinary texts are near normal: logarithms of sizes, roots of shares."""
     words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     return {
-        "x_length": F.log1p("n_words"), "x_word": F.col("word_chars") / words, "x_symbols": F.sqrt(F.col("n_symbols") / F.greatest("word_chars", F.lit(1))),
-        "x_lines": F.sqrt(F.col("n_dup_lines") / lines), "x_repeats": F.sqrt(F.col("n_repeat_words") / words),
+        "__x_length": F.log1p("n_words"), "__x_word": F.col("word_chars") / words, "__x_symbols": F.sqrt(F.col("n_symbols") / F.greatest("word_chars", F.lit(1))),
+        "__x_lines": F.sqrt(F.col("n_dup_lines") / lines), "__x_repeats": F.sqrt(F.col("n_repeat_words") / words),
     }
 
 
@@ -149,9 +149,13 @@ def _cuts(classes: DataFrame, support: float) -> DataFrame:
     return run.where(F.col("__below") >= support * F.col("__all")).groupBy("__group").agg(F.min("__bin").alias("__cut"), F.max("__all").alias("n"))
 
 
-def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", cut: float = CUT, min_group: int = MIN_GROUP) -> DataFrame:
-    """``docs`` with the statistics, base_failed, distance2 (null where the base rules failed) and kept."""
-    rows = statistics(docs, text_col).withColumn("base_failed", base_failed())
+def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", cut: float = CUT, min_group: int = MIN_GROUP, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` with the statistics, base_failed, distance2 (null where the base rules failed) and kept.
+
+    ``carry``: the columns of ``docs`` to return (all of them by default); what is carried is written once.
+    """
+    need = [c for c in docs.columns if carry is None or c in carry or c in (lang_col, source_col)]
+    rows = statistics(docs, text_col, need).withColumn("base_failed", base_failed())
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null"))
     lang, source = name(lang_col), name(source_col)
     rows = materialize(rows.withColumns({"__lang": F.concat(F.lit("lang "), lang), "__pair": F.concat(F.lit("pair "), lang, F.lit("\n"), source)} | transformed()))
@@ -170,7 +174,8 @@ def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     )
     values = found.drop("n")
     by_pair = use.join(values, "__group").drop("__group")
-    with_values = lookup(rows, by_pair, ["__pair"], "__rows", total)
+    with_values = lookup(rows, by_pair, ["__pair"], "__rows", total, wide=True)
     far = F.when(~F.col("base_failed"), _distance())
-    out = [c for c in rows.columns if not c.startswith("__") and c not in NAMES]
+    made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
+    out = [c for c in docs.columns if (carry is None or c in carry) and c not in (*made, "distance2", "kept")] + made
     return with_values.select(*[F.col(f"`{c}`") for c in out], far.alias("distance2")).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cut))

@@ -118,7 +118,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_quality_rules")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    judged = quality.judge(table(spark, folder, "documents"))
+    judged = quality.judge(table(spark, folder, "documents"), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
