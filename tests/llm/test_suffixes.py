@@ -51,7 +51,10 @@ def test_long_texts_are_cut_in_blocks(monkeypatch):
     whole = suffixes.text_anchors([text])[0]
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", 5000)
     blocks = suffixes.text_anchors([text, b"short"])[0]
-    assert whole[0].tolist() == blocks[0].tolist() and whole[1].tolist() == blocks[1].tolist()
+    assert whole.tolist() == blocks.tolist()
+    place, _, first, last = whole
+    assert (first <= place).all() and (last + 200 <= len(text)).all() and (last >= first).all()
+    assert set(range(len(text) - 199)) == {i for a, b in zip(first, last) for i in range(a, b + 1)}  # every window has an anchor
 
 
 def test_suffixes_are_sorted_and_collisions_are_told_apart(monkeypatch):
@@ -59,8 +62,10 @@ def test_suffixes_are_sorted_and_collisions_are_told_apart(monkeypatch):
     stock = [bytes(rng.integers(97, 99, 368, dtype=np.uint8)) for _ in range(12)]
     contexts = [stock[i] for i in rng.integers(0, 12, 40)] + stock[:1]
     c = suffixes.Contexts(contexts, [168] * len(contexts), [0] * len(contexts))
-    at = np.zeros(len(contexts), np.int64)
-    order = c._sorted(np.arange(len(contexts)), at, at, np.full(len(contexts), len(contexts)))
+    n = len(contexts)
+    c.start = np.arange(n) * c.stride
+    c.whole = c.sums[c.start + 200] - c.sums[c.start]
+    order = c._sorted(np.zeros(n, np.int64), np.full(n, n))
     assert [contexts[i][:200] for i in order] == sorted(x[:200] for x in contexts)
 
     def want(rows):
