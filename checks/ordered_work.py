@@ -167,7 +167,13 @@ def _(spark, d):
     return sampling.stratified_cap(o, ["o_orderkey"], "y", 450, 5)
 
 
-@query("k5_stratified_split")
+@query("k5_stratified_split", f"""
+WITH o AS (SELECT o_orderkey, CAST(o_totalprice > 400000 AS INT) AS y FROM orders),
+c AS (SELECT y, count(*) AS m, sum(count(*)) OVER () AS n FROM o GROUP BY y),
+e AS (SELECT *, ceil(n * 0.35) AS total, m * ceil(n * 0.35) / n AS exact FROM c),
+f AS (SELECT *, floor(exact) AS low, row_number() OVER (ORDER BY floor(exact) - exact, CAST(y AS VARCHAR)) AS r, sum(floor(exact)) OVER () AS given FROM e),
+t AS (SELECT y, least(greatest(1, low + CASE WHEN r <= total - given THEN 1 ELSE 0 END), m - 1) AS take FROM f)
+SELECT o_orderkey, o.y, CASE WHEN row_number() OVER (PARTITION BY o.y ORDER BY {sql_hash(42, 'o_orderkey')}) <= take THEN 'test' ELSE 'train' END AS fold FROM o JOIN t USING (y)""")
 def _(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") > 400000).cast("int").alias("y"))
     return sampling.stratified_split(o, ["o_orderkey"], "y", 0.35, 42)

@@ -77,7 +77,10 @@ def _(spark, d):
     return run(spark, d, "dead_sensor", mode="previous")
 
 
-@query("i4_dead_sensor_random_constant")
+RANDOM_CONSTANT = "(SELECT quantile_cont({c}, 0.1) + (quantile_cont({c}, 0.9) - quantile_cont({c}, 0.1)) * (CAST('0x' || substr(md5('42:{c}:0'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 FROM " + BASE_SQL + ")"
+
+
+@query("i4_dead_sensor_random_constant", inject_sql(0.08, a=RANDOM_CONSTANT.format(c="a"), b=RANDOM_CONSTANT.format(c="b")))
 def _(spark, d):
     return run(spark, d, "dead_sensor", mode="random_constant")
 
@@ -115,11 +118,11 @@ def _(spark, d):
 
 
 @query("i9_scenario_list", """
-SELECT x AS scenario, (SELECT count(*) FROM orders WHERE o_orderkey < 0)::BIGINT AS used FROM (VALUES ('spike_single'), ('joint_shift'), ('scale_burst'), ('dead_sensor'),
-  ('sign_flip'), ('temporal_block'), ('categorical_flip'), ('missing_value')) v(x)""")
+SELECT x AS scenario, CAST(least(n - 1, greatest(1, ceil(n * c))) AS BIGINT) AS rows_to_inject FROM (SELECT count(*) AS n FROM events), (VALUES ('spike_single', 0.1), ('joint_shift', 0.1),
+  ('scale_burst', 0.08), ('dead_sensor', 0.08), ('sign_flip', 0.05), ('temporal_block', 0.1), ('categorical_flip', 0.1), ('missing_value', 0.08)) v(x, c)""")
 def _(spark, d):
-    used = table(spark, d, "orders").filter("o_orderkey < 0").agg(F.count(F.lit(1)).alias("used"))
-    return used.select(F.explode(F.array(*[F.lit(s) for s in inj.list_scenarios()])).alias("scenario"), "used")
+    rows = base(spark, d).count()
+    return spark.createDataFrame([(s, sampling.injected_row_count(rows, inj.merged_params(s)["contamination"])) for s in inj.list_scenarios()], "scenario string, rows_to_inject long")
 
 
 @query("i10_gaussian_noise", f"""
@@ -144,15 +147,26 @@ def _(spark, d):
     return c.select("event_id", "position", "column", rounded(F.col("before").cast("double"), 4).alias("before"), rounded(F.col("after").cast("double"), 4).alias("after"))
 
 
-@query("i11_injection_preview", f"""WITH {hit_sql(0.1)} SELECT count(*)::BIGINT AS row_count, sum(y_true)::BIGINT AS injected_row_count FROM x""")
+@query("i11_injection_preview", f"""WITH {hit_sql(0.1)}, c AS (SELECT count(*) AS n, sum(y_true) AS k FROM x)
+SELECT event_id, n::BIGINT AS row_count, k::BIGINT AS injected_row_count FROM x, c WHERE y_true = 1""")
 def _(spark, d):
-    return inj.injection_preview(base(spark, d), "spike_single", key=KEY)["counts"]
+    preview = inj.injection_preview(base(spark, d), "spike_single", key=KEY)
+    counts = preview["counts"].first()
+    return preview["injected_rows"].select("event_id", F.lit(counts["row_count"]).alias("row_count"), F.lit(counts["injected_row_count"]).alias("injected_row_count"))
+
+
+def noise_sql(column: str) -> str:
+    """SQL: the standard normal draw of a copy's cell."""
+    text = f"md5('10000:{column}:' || c || ':' || event_id)"
+    u = [f"((CAST('0x' || substr({text}, {start}, 13) AS BIGINT) + 0.5) / 4503599627370496.0)" for start in (1, 14)]
+    return f"sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]})"
 
 
-@query("u1_union_of_noisy_copies", """
-SELECT c.c::INT AS copy, count(*)::BIGINT AS rows FROM events, range(0, 5) c(c) GROUP BY 1""")
+@query("u1_union_of_noisy_copies", f"""
+WITH s AS (SELECT stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM {BASE_SQL})
+SELECT c::INT AS copy, event_id, round(a + {noise_sql('a')} * 0.03 * sa, 5) AS a, round(b + {noise_sql('b')} * 0.03 * sb, 5) AS b FROM {BASE_SQL}, range(0, 5) r(c), s""")
 def _(spark, d):
-    return inj.repeat_with_noise(base(spark, d), key=KEY, copies=5, noise_std=0.03).groupBy("copy").agg(F.count(F.lit(1)).alias("rows"))
+    return out(inj.repeat_with_noise(base(spark, d), key=KEY, copies=5, noise_std=0.03).select("copy", "event_id", "a", "b"), 5)
 
 
 @query("p17_parameter_overrides", f"""WITH {hit_sql(0.02)} SELECT event_id, round(a + 2.5 * sa, 6) AS a FROM x, s WHERE y_true = 1""")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from checks import out, query, table
+from checks import out, query, sql_hash, table
 from oddrows.functions import labels, schema
 from oddrows.operators import joins
 from oddrows.session import scratch_dir
@@ -83,6 +83,18 @@ def _(spark, d):
     return out(spark.createDataFrame(list(calibrated_weights(spark, path).items()), "score_source string, weight double"), 2)
 
 
+@query("s9_profile_file", """
+SELECT o_orderpriority AS dataset, count(*)::BIGINT AS sample_count, round(avg(o_totalprice), 2) AS selected_score, min(o_orderstatus) AS selected_source, 2::INT AS allowed, 'learned_score_diagnostics' AS selector_mode
+FROM orders GROUP BY 1""")
+def _(spark, d):
+    from oddrows.sources.config import profile_table, profiles_document
+    found = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("dataset")).agg(
+        F.count(F.lit(1)).alias("sample_count"), F.round(F.avg("o_totalprice"), 2).alias("selected_score"), F.min("o_orderstatus").alias("selected_source"))
+    path = folder(spark, "profiles")
+    profiles_document(found, ["lof", "ensemble"], "f1").write.text(path)
+    return out(profile_table(spark, path).select("dataset", "sample_count", "selected_score", "selected_source", F.size("allowed_sources").alias("allowed"), "selector_mode"), 2)
+
+
 @query("p1_numeric_projection", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def _(spark, d):
     o = table(spark, d, "orders")
@@ -190,12 +202,11 @@ def _(spark, d):
     return schema.drop_present(table(spark, d, "supplier"), ["s_name", "s_nationkey", "not_there"])
 
 
-@query("p15_synthetic_ground_truth", """
-SELECT count(*)::BIGINT AS rows, CAST(ceil(count(*) * 0.1) AS BIGINT) AS positives FROM events""")
+@query("p15_synthetic_ground_truth", f"""
+SELECT event_id, CAST(row_number() OVER (ORDER BY {sql_hash(42, 'event_id')}) <= ceil((SELECT count(*) FROM events) * 0.1) AS INT) AS synthetic_ground_truth FROM events""")
 def _(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("user_id").alias("n"), F.col("value").alias("cpu_load"))
-    s = labels.synthetic_labels(e, ["event_id"])
-    return s.agg(F.count(F.lit(1)).alias("rows"), F.sum("synthetic_ground_truth").alias("positives"))
+    return labels.synthetic_labels(e, ["event_id"]).select("event_id", "synthetic_ground_truth")
 
 
 @query("p18_score_source_pick", """

@@ -257,7 +257,7 @@ def _(spark, d):
     s = scores(spark, d).join(table(spark, d, "events").select("event_id", (F.col("event_type") == "error").cast("int").alias("y")), "event_id")
     from oddrows.operators.ensemble import normalize
     n = normalize(s, SOURCES, suffix="")
-    weights, best = meta.search_weights(n, "y", SOURCES, iterations=40)
+    weights, best = meta.search_weights(n, "y", SOURCES)
     return out(spark.createDataFrame([(k, v, best) for k, v in weights.items()], "score_source string, weight double, roc_auc double"))
 
 
@@ -336,7 +336,7 @@ def _(spark, d):
 
 @query("b8_stability_study")
 def _(spark, d):
-    return study.run_stability(spark, customers(spark, d), ["c_custkey"], "ground_truth", dataset="customer", splits=1, max_rows=None, detectors=["iforest"], params=GIVEN)["splits"]
+    return study.run_stability(spark, customers(spark, d), ["c_custkey"], "ground_truth", dataset="customer", detectors=["iforest"], params=GIVEN)["splits"]
 
 
 def lodo_inputs(spark, d):

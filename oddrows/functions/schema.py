@@ -82,22 +82,3 @@ def finite(name: str) -> Column:
     """Numeric column as double with NaN and infinities turned into null."""
     value = f"CAST({_tick(name)} AS DOUBLE)"
     return F.expr(f"IF(isnan({value}) OR abs({value}) = double('Infinity'), NULL, {value})")
-
-
-def sortable(name: str, dtype: T.DataType) -> Column:
-    """Double that never decreases when the column's sort order rises; nulls come first."""
-    value = quoted(name)
-    if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        out = value.cast("double")
-    elif isinstance(dtype, T.TimestampType):
-        out = F.unix_micros(value).cast("double")
-    elif isinstance(dtype, T.TimestampNTZType):
-        out = F.unix_micros(F.to_utc_timestamp(value.cast("timestamp"), "UTC")).cast("double")
-    elif isinstance(dtype, T.DateType):
-        out = F.unix_date(value).cast("double")
-    elif isinstance(dtype, T.StringType):
-        head = F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6))
-        out = F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
-    else:
-        raise ValueError(f"cannot order by column {name!r} of type {dtype.simpleString()}")
-    return F.coalesce(out, F.lit(float("-inf")))

@@ -16,12 +16,8 @@ from oddrows.operators.ranks import quantiles
 from oddrows.operators.sampling import seeded_pick
 from oddrows.session import keep
 
-HISTOGRAM_COLUMNS = 6
-BOXPLOT_COLUMNS = 6
-CORRELATION_COLUMNS = 14
 SCATTER_POINTS = 2800
 HISTOGRAM_BINS = 22
-CATEGORICAL_COLUMNS = 8
 CATEGORICAL_TOP = 10
 TOP_PAIRS = 10
 DATETIME_SHARE = 0.8
@@ -118,8 +114,8 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def categorical_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column, value, count) of the first text-like columns, nulls left out."""
-    cols = (cols or categorical_columns(df))[:CATEGORICAL_COLUMNS]
+    """(column, value, count) of the text-like columns, nulls left out."""
+    cols = cols or categorical_columns(df)
     cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in cols])
     long = df.select(F.explode(cells).alias("x")).select("x.*").filter(F.col("value").isNotNull())
     return long.groupBy("column", "value").count()
@@ -175,7 +171,7 @@ def datetime_columns(df: DataFrame, formats: tuple[str, ...] = DATETIME_FORMATS)
     return df.agg(*aggs).select(F.inline(cells)).filter(F.col("share") >= DATETIME_SHARE).drop("share")
 
 
-def top_variance_columns(df: DataFrame, limit: int, cols: list[str] | None = None) -> list[str]:
+def top_variance_columns(df: DataFrame, limit: int | None = None, cols: list[str] | None = None) -> list[str]:
     """Numeric columns by falling variance, ties in column order."""
     cols = cols or numeric_columns(df)
     row = df.agg(*[F.coalesce(F.var_pop(number(c)), F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
@@ -189,7 +185,7 @@ def complete_rows(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def pearson_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(a, b, pearson) for all ordered pairs over rows complete in every chosen column."""
-    cols = cols or top_variance_columns(df, CORRELATION_COLUMNS)
+    cols = cols or top_variance_columns(df)
     return _matrix(complete_rows(df, cols), cols, cols, "pearson")
 
 
@@ -217,7 +213,7 @@ def spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     Ranks are computed per distinct value and joined back on the value; adaptive execution
     broadcasts a short rank list and splits a hot value of the row side.
     """
-    cols = cols or top_variance_columns(df, CORRELATION_COLUMNS)
+    cols = cols or top_variance_columns(df)
     work = complete_rows(df, cols)
     ranks = keep(average_ranks(work, {c: quoted(c) for c in cols}))
     for i, c in enumerate(cols):
@@ -228,7 +224,7 @@ def spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def top_correlations(df: DataFrame, cols: list[str] | None = None, limit: int = TOP_PAIRS) -> DataFrame:
     """Strongest pairs by absolute Pearson, with Spearman beside it."""
-    cols = cols or top_variance_columns(df, CORRELATION_COLUMNS)
+    cols = cols or top_variance_columns(df)
     order = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
     both = pearson_matrix(df, cols).join(spearman_matrix(df, cols), ["a", "b"])
     upper = both.filter(order[F.col("a")] < order[F.col("b")])
@@ -246,7 +242,7 @@ def scatter_sample(df: DataFrame, key: list[str], x: str, y: str, points: int =
 
 def boxplots(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Five-number summaries with whiskers clipped to the data range."""
-    cols = cols or top_variance_columns(df, BOXPLOT_COLUMNS)
+    cols = cols or top_variance_columns(df)
     ends = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[f(number(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for f, n in ((F.count, "n"), (F.min, "a"), (F.max, "b"))],
@@ -269,7 +265,7 @@ def boxplots(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def histograms(df: DataFrame, cols: list[str] | None = None, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """(column, bin, left, right, count), left-closed bins, the last one closed."""
     spark = df.sparkSession
-    cols = cols or top_variance_columns(df, HISTOGRAM_COLUMNS)
+    cols = cols or top_variance_columns(df)
     ends = df.agg(*[f(number(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for f, n in ((F.min, "a"), (F.max, "b"))]).first()
     edges = {}
     for i, c in enumerate(cols):
@@ -344,7 +340,7 @@ def eda_report(df: DataFrame, key: list[str], *, max_rows: int | None = None) ->
         report["boxplots"] = boxplots(df)
         report["histograms"] = histograms(df)
     if len(numeric_columns(df)) >= 2:
-        cols = top_variance_columns(df, CORRELATION_COLUMNS)
+        cols = top_variance_columns(df)
         report["pearson"] = pearson_matrix(df, cols)
         report["spearman"] = spearman_matrix(df, cols)
         report["top_correlations"] = top_correlations(df, cols)

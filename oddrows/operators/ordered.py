@@ -1,11 +1,13 @@
 """Ordered work over a whole table without a single-partition window.
 
-The order columns are cut into buckets by explicit boundary values taken from one
-aggregate, so a row's bucket depends on the row alone: nothing changes when a task is
-recomputed, and no lineage has to be cut. A window then runs per bucket (one shuffle),
-and what must cross a bucket edge (a few edge rows, or running totals) is a summary with
-one entry per bucket. A single order value that fills several buckets is split further by
-the key.
+The table is cut into buckets at whole sort tuples (order columns, then key) of the
+columns' own types, taken from a hash sample of bounded size. Rows are compared with the
+cuts as tuples, by the same rules as the sort itself, so strings with a common prefix,
+tied values, nulls and NaN fall where the sort puts them, and an order value held by many
+rows is cut at its keys. A row's bucket depends on the row alone: nothing changes when a
+task is recomputed, and no lineage has to be cut. A window then runs per bucket (one
+shuffle), and what must cross a bucket edge (a few edge rows, or running totals) is a
+summary with one entry per bucket.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddrows.functions.schema import quoted, sortable
+from oddrows.functions.schema import quoted
 from oddrows.operators.ranks import prob_array
 
 BUCKET = "__bucket"
@@ -27,6 +29,7 @@ HALO = "__halo"
 MAX_BUCKETS = 1024
 ROWS_PER_BUCKET = 250_000
 MIN_ROWS_PER_BUCKET = 5_000
+SAMPLE_PER_BUCKET = 64
 
 
 def bucket_count(rows: int, parallelism: int) -> int:
@@ -76,42 +79,65 @@ def ordering(
     sort = list(dict.fromkeys([*order_by, *key]))
     if rows is not None and (buckets or bucket_count(rows, df.sparkSession.sparkContext.defaultParallelism)) == 1:
         return Ordering(df.withColumn(BUCKET, F.lit(0).cast("long")), sort, rows, 1)
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if rows is None:
+        rows = df.count()
+    count = max(1, min(buckets or bucket_count(rows, parallelism), max_buckets))
+    cuts = cut_tuples(df, sort, key, rows, count) if rows and count > 1 else []
+    return Ordering(df.withColumn(BUCKET, bucket_of(df, sort, cuts)), sort, rows, len(cuts) + 1)
+
+
+def cut_tuples(df: DataFrame, sort: Sequence[str], key: Sequence[str], rows: int, count: int) -> list[tuple]:
+    """At most ``count - 1`` sort tuples (values as text) that cut the table into parts of about equal size.
+
+    A hash of the key picks about ``SAMPLE_PER_BUCKET`` rows a bucket; Spark sorts them.
+    """
+    span = 1 << 40
+    share = SAMPLE_PER_BUCKET * count / rows
+    picked = df.select(*[quoted(c) for c in dict.fromkeys([*sort, *key])])
+    if share < 1.0:
+        hashed = F.xxhash64(F.lit("cuts"), *[quoted(c) for c in key])
+        picked = picked.filter(F.pmod(hashed, F.lit(span)) < int(span * share))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    ordered = picked.orderBy(*[quoted(c) for c in sort]).select(*[_as_text(c, types[c]) for c in sort]).collect()
+    points = [tuple(ordered[round(i * len(ordered) / count)]) for i in range(1, count) if len(ordered) > 1]
+    return list(dict.fromkeys(p for p in points if p != tuple(ordered[0])))
+
+
+def _as_text(name: str, dtype: T.DataType) -> Column:
+    """The value as text that ``_from_text`` reads back without loss."""
+    value = quoted(name)
+    if isinstance(dtype, T.TimestampType):
+        value = F.unix_micros(value)
+    elif isinstance(dtype, T.BinaryType):
+        value = F.hex(value)
+    elif not isinstance(dtype, T.AtomicType):
+        raise ValueError(f"cannot order by column {name!r} of type {dtype.simpleString()}")
+    return value.cast("string").alias(name)
+
+
+def _from_text(text: str | None, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(F.lit(text).cast("long"))
+    if isinstance(dtype, T.BinaryType):
+        return F.unhex(F.lit(text))
+    return F.lit(text).cast(dtype)
+
+
+def bucket_of(df: DataFrame, sort: Sequence[str], cuts: list[tuple]) -> Column:
+    """How many cuts are at or below the row's sort tuple: first among every ``sqrt(n)``-th cut, then between two of them."""
+    if not cuts:
+        return F.lit(0).cast("long")
     types = {f.name: f.dataType for f in df.schema.fields}
-    first = sortable(sort[0], types[sort[0]])
-    grid = [i / max_buckets for i in range(1, max_buckets)] or [0.5]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(first, prob_array(grid), 10_000).alias("q"),
-    ).first()
-    rows = row["n"]
-    count = buckets or bucket_count(rows, df.sparkSession.sparkContext.defaultParallelism)
-    count = min(count, max_buckets)
-    points = [row["q"][round(i * len(grid) / count)] for i in range(1, count)] if rows and count > 1 else []
-    points = [p for p in points if p is not None and math.isfinite(p)]
-    hot = sorted({p for p in points if points.count(p) > 1})
-    cuts = set(points)
-    for value in hot:  # isolate the value in a bucket of its own
-        cuts.add(math.nextafter(value, math.inf))
-    key_cuts: list[float] = []
-    if hot and len(sort) > 1:
-        second = sortable(sort[1], types[sort[1]])
-        aggs = []
-        for i, value in enumerate(hot):
-            parts = points.count(value) + 1
-            probs = prob_array([j / parts for j in range(1, parts)])
-            aggs.append(F.percentile_approx(F.when(first == F.lit(value), second), probs, 10_000).alias(f"k{i}"))
-        found = df.agg(*aggs).first()
-        key_cuts = sorted({v for q in found for v in (q or []) if math.isfinite(v)})
-    work = df.withColumn("__v", first)
-    work = bucketize(work, ["__v"], ["__b"], [sorted(cuts)])
-    bucket = F.col("__b").cast("long")
-    if key_cuts:
-        work = work.withColumn("__k", second)
-        work = bucketize(work, ["__k"], ["__kb"], [key_cuts])
-        is_hot = F.col("__v").isin([float(v) for v in hot])
-        bucket = bucket * F.lit(len(key_cuts) + 1) + F.when(is_hot, F.col("__kb").cast("long")).otherwise(F.lit(0))
-    work = work.withColumn(BUCKET, bucket).drop("__v", "__b", "__k", "__kb")
-    return Ordering(work, sort, rows, count)
+    row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(sort)])
+    made = [F.struct(*[_from_text(v, types[c]).alias(f"c{i}") for i, (c, v) in enumerate(zip(sort, cut))]) for cut in cuts]
+    step = math.isqrt(len(made) - 1) + 1
+    groups = [made[i : i + step] for i in range(0, len(made), step)]
+    heads = F.array(*[g[0] for g in groups])
+    passed = lambda held: F.size(F.filter(held, lambda c: c <= row))
+    group = F.greatest(passed(heads) - 1, F.lit(0))
+    inner = F.element_at(F.array(*[F.array(*g) for g in groups]), group + 1)
+    return (group * F.lit(step) + passed(inner)).cast("long")
 
 
 def with_halo(o: Ordering, before: int, after: int) -> Ordering:

@@ -1,10 +1,9 @@
 """Exact order statistics and quantiles without a sort or a shuffle of rows.
 
-Small columns use Spark's exact ``percentile`` in one aggregate. Larger ones are narrowed
-by ``percentile_approx`` brackets: every pass is one map-side aggregate over the table,
-until the rows strictly inside the bracket fit one small array. A value that holds a
-large share of all rows ends up as a bracket end and is recognised by its count, so
-heavy ties do not stop the narrowing.
+Small tables use Spark's exact ``percentile`` in one aggregate. Larger ones take three passes, whatever the number of
+ranks, columns and rows: one sketch a column gives cuts, one map-side count of each column's cells between cuts tells in
+which cell a rank lies, and only those cells' values are gathered, each cell by itself, to pick the rank. Every cut value
+has a cell of its own, so heavy ties are found by their count. A cell that is still too large is cut again.
 """
 
 from __future__ import annotations
@@ -12,12 +11,15 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_AGG_LIMIT = 2_000_000  # values a column may have for the one-pass exact aggregate
-INNER_LIMIT = 100_000  # values one bracket may leave for the final array
+EXACT_AGG_LIMIT = 200_000  # rows of a table for the one-pass exact aggregate
+INNER_LIMIT = 100_000  # values one cell may leave for the final array
 ACCURACY = 10_000
+CELLS_AT_ONCE = 64  # cells that one pass reads
+CUTS = 1_000  # cells a cell is cut into
 
 
 def prob_array(probs: Sequence[float]) -> Column:
@@ -45,95 +47,83 @@ def order_statistics(
         row = work.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(names))]).first()
         counts = {n: row[f"v{i}"] for i, n in enumerate(names)}
     found: dict[str, dict[int, float]] = {n: {} for n in names}
-    # One bracket per wanted rank: [lo, hi] in value, with the counts known so far.
-    open_brackets = [
-        {"col": f"v{i}", "name": n, "rank": r, "lo": None, "hi": None, "below": 0, "eq_lo": 0,
-         "inner": counts[n], "slack": 2.0 / ACCURACY}
+    # Open cells [lo, hi) of column i: values below it, values in it, wanted ranks.
+    inf = math.inf
+    cells = [
+        (i, -inf, inf, 0, counts[n], sorted({r for r in requests[n][1] if 0 <= r < counts[n]}))
         for i, n in enumerate(names)
-        for r in sorted(set(requests[n][1]))
-        if 0 <= r < counts[n]
     ]
-
-    def inside(b: dict) -> Column:
-        cond = F.col(b["col"]).isNotNull()
-        if b["lo"] is not None:
-            cond = (F.col(b["col"]) > F.lit(b["lo"])) & (F.col(b["col"]) < F.lit(b["hi"]))
-        return cond
-
-    def share(b: dict) -> float:
-        return (b["rank"] - b["below"] - b["eq_lo"] + 0.5) / b["inner"]
-
-    def shared(brackets: list[dict]) -> dict[tuple, list[dict]]:
-        groups: dict[tuple, list[dict]] = {}
-        for b in brackets:
-            groups.setdefault((b["col"], b["lo"], b["hi"]), []).append(b)
-        return groups
-
-    while open_brackets:
-        small = [b for b in open_brackets if b["inner"] <= inner_limit]
-        large = [b for b in open_brackets if b["inner"] > inner_limit]
-        if small:
-            groups = list(shared(small).values())
-            aggs = [
-                F.sort_array(F.collect_list(F.when(inside(g[0]), F.col(g[0]["col"])))).alias(f"s{i}")
-                for i, g in enumerate(groups)
-            ]
-            picks = work.agg(*aggs).select(
-                *[
-                    F.element_at(f"s{i}", b["rank"] - b["below"] - b["eq_lo"] + 1).alias(f"p{i}_{j}")
-                    for i, g in enumerate(groups)
-                    for j, b in enumerate(g)
-                ]
-            ).first()
-            for i, g in enumerate(groups):
-                for j, b in enumerate(g):
-                    found[b["name"]][b["rank"]] = picks[f"p{i}_{j}"]
+    cells = [c for c in cells if c[5]]
+    while cells:
+        small, large = [c for c in cells if c[4] <= inner_limit], [c for c in cells if c[4] > inner_limit]
+        for cell, picked in _picked(work, small):
+            for rank, value in zip(cell[5], picked):
+                found[names[cell[0]]][rank] = value
         if not large:
             break
-        aggs = []
-        for i, b in enumerate(large):
-            p, slack = share(b), b["slack"]
-            probs = prob_array([max(0.0, p - slack), min(1.0, p + slack)])
-            aggs.append(F.percentile_approx(F.when(inside(b), F.col(b["col"])), probs, ACCURACY).alias(f"q{i}"))
-            aggs.append(F.min(F.when(inside(b), F.col(b["col"]))).alias(f"a{i}"))
-            aggs.append(F.max(F.when(inside(b), F.col(b["col"]))).alias(f"z{i}"))
-        row = work.agg(*aggs).first()
-        tried = []
-        for i, b in enumerate(large):
-            p, slack = share(b), b["slack"]
-            lo = row[f"a{i}"] if p <= slack else row[f"q{i}"][0]
-            hi = row[f"z{i}"] if p >= 1.0 - slack else row[f"q{i}"][1]
-            tried.append({**b, "lo": lo, "hi": hi, "outer": b})
-        groups = list(shared(tried).items())
-        aggs = []
-        for i, ((col, lo, hi), _) in enumerate(groups):
-            value = F.col(col)
-            aggs += [
-                F.count_if(value < F.lit(lo)).alias(f"b{i}"),
-                F.count_if(value == F.lit(lo)).alias(f"l{i}"),
-                F.count_if((value > F.lit(lo)) & (value < F.lit(hi))).alias(f"i{i}"),
-                F.count_if(value == F.lit(hi)).alias(f"h{i}"),
-            ]
-        row = work.agg(*aggs).first()
-        still = []
-        for i, (_, members) in enumerate(groups):
-            below, eq_lo, inner = row[f"b{i}"], row[f"l{i}"], row[f"i{i}"]
-            for b in members:
-                outer = b.pop("outer")
-                b.update(below=below, eq_lo=eq_lo, inner=inner)
-                offset = b["rank"] - below
-                if not 0 <= offset < eq_lo + inner + row[f"h{i}"]:
-                    still.append({**outer, "slack": outer["slack"] * 4})  # the sketch missed: widen
-                elif offset < eq_lo:
-                    found[b["name"]][b["rank"]] = b["lo"]
-                elif offset >= eq_lo + inner:
-                    found[b["name"]][b["rank"]] = b["hi"]
-                else:
-                    still.append(b)
-        open_brackets = still
+        cells = []
+        for i, lo, hi, below, n, ranks in _cut(work, large):
+            if hi == math.nextafter(lo, inf):  # one value only
+                found[names[i]].update(dict.fromkeys(ranks, lo))
+            else:
+                cells.append((i, lo, hi, below, n, ranks))
     return found
 
 
+def _members(work: DataFrame, cells: list[tuple]) -> DataFrame:
+    """(cell, v): the values of the given cells, read in one pass."""
+    held = [
+        F.when((F.col(f"v{i}") >= F.lit(lo)) & ((F.col(f"v{i}") < F.lit(hi)) | F.lit(hi == math.inf)), F.struct(F.lit(at).alias("cell"), F.col(f"v{i}").alias("v")))
+        for at, (i, lo, hi, *_) in enumerate(cells)
+    ]
+    return work.select(F.explode(F.array_compact(F.array(*held))).alias("x")).select("x.*")
+
+
+def _picked(work: DataFrame, cells: list[tuple]) -> list[tuple[tuple, list[float]]]:
+    """The values at the wanted ranks of small cells. A cell's array is sorted by itself; only the picks leave it."""
+    out = []
+    for begin in range(0, len(cells), CELLS_AT_ONCE):
+        part = cells[begin : begin + CELLS_AT_ONCE]
+        wanted = F.create_map(*[x for at, c in enumerate(part) for x in (F.lit(at), F.array(*[F.lit(r - c[3]) for r in c[5]]))])
+        arrays = _members(work, part).groupBy("cell").agg(F.sort_array(F.collect_list("v")).alias("s"))
+        picks = arrays.select("cell", F.transform(wanted[F.col("cell")], lambda r: F.get("s", r)).alias("p")).collect()
+        out += [(part[r["cell"]], list(r["p"])) for r in picks]
+    return out
+
+
+def _cut(work: DataFrame, cells: list[tuple]) -> list[tuple]:
+    """The smaller cells that hold the wanted ranks of large ones."""
+    inf = math.inf
+    grid = prob_array([k / CUTS for k in range(CUTS + 1)])
+    cuts: dict[int, set[float]] = {}
+    for begin in range(0, len(cells), CELLS_AT_ONCE):
+        part = cells[begin : begin + CELLS_AT_ONCE]
+        for r in _members(work, part).groupBy("cell").agg(F.percentile_approx("v", grid, ACCURACY).alias("q")).collect():
+            i, lo, hi = part[r["cell"]][:3]
+            cuts.setdefault(i, set()).update({lo, hi}, r["q"], (math.nextafter(q, inf) for q in r["q"]))
+    splits = {i: sorted({-inf, inf, *c}) for i, c in cuts.items()}
+    columns = sorted(splits)
+    placed = Bucketizer(
+        inputCols=[f"v{i}" for i in columns], outputCols=[f"b{i}" for i in columns], splitsArray=[splits[i] for i in columns], handleInvalid="keep"
+    ).transform(work)
+    pairs = F.array(*[F.when(F.col(f"v{i}").isNotNull(), F.struct(F.lit(i).alias("i"), F.col(f"b{i}").cast("int").alias("b"))) for i in columns])
+    counted = placed.select(F.explode(F.array_compact(pairs)).alias("x")).groupBy("x.i", "x.b").count().collect()
+    sizes: dict[int, dict[int, int]] = {}
+    for r in counted:
+        sizes.setdefault(r["i"], {})[r["b"]] = r["count"]
+    out = []
+    for i in columns:
+        todo = sorted(rank for c in cells if c[0] == i for rank in c[5])
+        below = 0
+        for b in sorted(sizes[i]):
+            n = sizes[i][b]
+            mine = [rank for rank in todo if below <= rank < below + n]
+            if mine:
+                out.append((i, splits[i][b], splits[i][b + 1], below, n, mine))
+            below += n
+    return out
+
+
 def quantiles(
     df: DataFrame,
     columns: Mapping[str, Column] | Sequence[str],

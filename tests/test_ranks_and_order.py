@@ -122,3 +122,40 @@ def test_no_single_partition_exchange_on_rows(spark, events):
     o = ordered.ordering(events, ["ts"], ["event_id"], buckets=4)
     plan = o.df.withColumn("x", F.lag("value").over(o.window))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_three_passes_on_a_large_table(spark):
+    """Many ranks of three columns, one of them mostly one value, over three million rows."""
+    import time
+
+    n = 3_000_000
+    df = spark.range(n).select(
+        F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("a"), F.when(F.col("id") % 10 < 9, 7.0).otherwise(F.col("id").cast("double")).alias("b"), (-F.col("id")).cast("double").alias("c")
+    )
+    probs = [p / 100 for p in range(50, 100)]
+    begin = time.perf_counter()
+    got = quantiles(df, ["a", "b", "c"], probs, rows=n)
+    assert time.perf_counter() - begin < 120
+    for p, b, c in zip(probs, got["b"], got["c"]):
+        assert c == pytest.approx(-(n - 1) * (1 - p))
+        assert b == 7.0 or p > 0.89
+    exact = df.select("a").orderBy("a").offset(n // 2 - 1).limit(2).collect()
+    assert got["a"][0] == (exact[0]["a"] + exact[1]["a"]) / 2
+
+
+def test_order_by_strings_nulls_and_tied_columns(spark, monkeypatch):
+    """Tuples are cut as the sort sees them: common prefixes, nulls, NaN and two tied columns."""
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(ordered, "MIN_ROWS_PER_BUCKET", 500)
+    rows = spark.range(8000).select(
+        F.col("id"), F.format_string("Customer#%09d", (F.col("id") * 7919) % 8000).alias("name"), F.when(F.col("id") % 10 == 0, F.col("id") * 1.5).alias("sparse"),
+        F.lit("same").alias("t1"), F.lit(3).alias("t2"), F.when(F.col("id") % 3 == 0, float("nan")).otherwise(F.col("id") % 50).alias("d"),
+    )
+    for order in (["name"], ["sparse"], ["t1", "t2"], ["d"], ["t1", "name"]):
+        o = ordered.ordering(rows, order, ["id"], buckets=8)
+        sizes = [r["count"] for r in o.df.groupBy(ordered.BUCKET).count().collect()]
+        assert 6 <= len(sizes) <= 16 and max(sizes) < 8000 / 3
+        got = ordered.with_row_index(rows, order, ["id"])
+        want = rows.select("id", (F.row_number().over(Window.orderBy(*order, "id")) - 1).alias("want"))
+        assert got.join(want, "id").where("row_index != want").count() == 0
