@@ -16,6 +16,7 @@ from oddrows.functions.schema import quoted
 
 BLOCK_ROWS = 4096
 DIRECT_PARTS = 256
+FAN_IN = 64  # vectors that one task adds
 SMALL_BLOCKS = 16  # blocks per core up to which a table is dealt out
 SPREAD_ROWS = 2048
 
@@ -93,9 +94,9 @@ def block_sums(
 ) -> np.ndarray:
     """Sum of a fixed-size vector over all partitions.
 
-    ``measure`` turns a partition into one vector. With many partitions the vectors are
-    first added in groups on the executors, so at most DIRECT_PARTS of them reach the
-    driver. They are added in partition order: the result is repeatable.
+    ``measure`` turns a partition into one vector. While there are many, FAN_IN of them at a time are added on the
+    executors, level by level, so no task holds more than FAN_IN and at most DIRECT_PARTS reach the driver. They are
+    added in partition order: the result is repeatable.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,17 +105,17 @@ def block_sums(
         yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["pid", "v"])
 
     parts = blocks.mapInArrow(run, "pid int, v binary")
-    if partitions > DIRECT_PARTS:
-        groups = min(DIRECT_PARTS, math.ceil(math.sqrt(partitions)))
 
-        def add(table: pa.Table) -> pa.Table:
-            rows = sorted(zip(table.column("pid").to_pylist(), table.column("v").to_pylist()))
-            total = np.zeros(size)
-            for _, v in rows:
-                total += np.frombuffer(v)
-            return pa.table({"pid": pa.array([rows[0][0]], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+    def add(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("pid").to_pylist(), table.column("v").to_pylist()))
+        total = np.zeros(size)
+        for _, v in rows:
+            total += np.frombuffer(v)
+        return pa.table({"pid": pa.array([rows[0][0] // FAN_IN], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
 
-        parts = parts.groupBy(F.pmod("pid", F.lit(groups))).applyInArrow(add, "pid int, v binary")
+    while partitions > DIRECT_PARTS:
+        parts = parts.groupBy(F.floor(F.col("pid") / FAN_IN)).applyInArrow(add, "pid int, v binary")
+        partitions = math.ceil(partitions / FAN_IN)
     total = np.zeros(size)
     for row in sorted(parts.collect(), key=lambda r: r["pid"]):
         total += np.frombuffer(bytes(row["v"]))

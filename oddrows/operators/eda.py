@@ -32,25 +32,27 @@ DATETIME_FORMATS = (
 
 
 def column_metadata(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """(position, column, dtype, is_numeric, missing_count, missing_pct, nunique)."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    """(position, column, dtype, is_numeric, missing_count, missing_pct, nunique).
+
+    Distinct values are counted as (column, value) pairs, summed in each task first: one pass, no copy of a row per column.
+    """
     numbers = set(numeric_columns(df))
-    for i, c in enumerate(df.columns):
-        value = number(c) if c in numbers else quoted(c)
-        aggs += [F.count(value).alias(f"n{i}"), distinct(value).alias(f"d{i}")]
-    cells = [
-        F.struct(
-            F.lit(i).alias("position"), F.lit(f.name).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.lit(isinstance(f.dataType, (T.NumericType, T.BooleanType))).alias("is_numeric"),
-            (F.col("rows") - F.col(f"n{i}")).alias("missing_count"),
-            F.round(F.coalesce((F.col("rows") - F.col(f"n{i}")) / F.col("rows"), F.lit(0.0)) * 100, 3).alias("missing_pct"),
-            F.col(f"d{i}").alias("nunique"),
-        )
-        for i, f in enumerate(df.schema.fields)
-    ]
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+    values = [number(c) + F.lit(0.0) if c in numbers else quoted(c) for c in df.columns]
+    named = df.sparkSession.createDataFrame(
+        [(i, f.name, f.dataType.simpleString(), isinstance(f.dataType, (T.NumericType, T.BooleanType))) for i, f in enumerate(df.schema.fields)],
+        "position int, column string, dtype string, is_numeric boolean")
+    if approximate:
+        cells = [F.struct(F.lit(i).alias("position"), F.count(v).alias("present"), F.approx_count_distinct(v).alias("nunique")) for i, v in enumerate(values)]
+        found = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*cells).alias("cells")).select("rows", F.inline("cells"))
+    else:
+        cells = F.array(*[F.struct(F.lit(i).alias("position"), v.cast("string").alias("v")) for i, v in enumerate(values)])
+        pairs = df.select(F.explode(cells).alias("x")).select("x.*").groupBy("position", "v").count()
+        found = pairs.groupBy("position").agg(
+            F.sum("count").alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("count"))), F.lit(0)).alias("present"), F.count("v").alias("nunique"))
+    gone = F.coalesce(F.col("rows") - F.col("present"), F.lit(0))
+    return named.join(found, "position", "left").select(
+        "position", "column", "dtype", "is_numeric", gone.alias("missing_count"), F.round(F.coalesce(gone / F.col("rows"), F.lit(0.0)) * 100, 3).alias("missing_pct"),
+        F.coalesce("nunique", F.lit(0)).alias("nunique"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -294,16 +296,18 @@ def histograms(df: DataFrame, cols: list[str] | None = None, bins: int = HISTOGR
     return frame.join(counted, ["column", "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def quality_warnings(df: DataFrame) -> DataFrame:
-    """(kind, column, value) rows for missing, constant, skewed, rare and duplicate findings."""
+def quality_warnings(
+    df: DataFrame, meta: DataFrame | None = None, num: DataFrame | None = None, categories: DataFrame | None = None, duplicates: DataFrame | None = None
+) -> DataFrame:
+    """(kind, column, value) rows for missing, constant, skewed, rare and duplicate findings; parts already made may be given."""
     empty: list[DataFrame] = []
-    meta = column_metadata(df)
+    meta = column_metadata(df) if meta is None else meta
     empty.append(
         meta.filter(F.col("missing_pct") > MISSING_WARNING * 100)
         .select(F.lit("missing").alias("kind"), "column", F.col("missing_pct").alias("value"))
     )
     if numeric_columns(df):
-        num = numeric_summary(df)
+        num = numeric_summary(df) if num is None else num
         empty.append(num.filter(F.col("std") < 1e-12).select(F.lit("constant").alias("kind"), "column", F.col("std").alias("value")))
         empty.append(
             num.filter(F.abs("skew") > SKEW_WARNING).select(F.lit("skew").alias("kind"), "column", F.col("skew").alias("value"))
@@ -311,9 +315,9 @@ def quality_warnings(df: DataFrame) -> DataFrame:
     else:
         empty.append(df.sparkSession.createDataFrame([("no_numeric", None, None)], "kind string, column string, value double"))
     if categorical_columns(df):
-        rare = categorical_summary(df).filter((F.col("rare_count") > 0) & (F.col("nunique") > CATEGORICAL_TOP))
+        rare = (categorical_summary(df) if categories is None else categories).filter((F.col("rare_count") > 0) & (F.col("nunique") > CATEGORICAL_TOP))
         empty.append(rare.select(F.lit("rare").alias("kind"), "column", F.col("rare_count").cast("double").alias("value")))
-    dup = duplicate_rows(df).filter(F.col("duplicate_row_count") > 0)
+    dup = (duplicate_rows(df) if duplicates is None else duplicates).filter(F.col("duplicate_row_count") > 0)
     empty.append(
         dup.select(F.lit("duplicates").alias("kind"), F.lit(None).cast("string").alias("column"),
                    F.col("duplicate_row_count").cast("double").alias("value"))
@@ -327,18 +331,18 @@ def eda_report(df: DataFrame, key: list[str], *, max_rows: int | None = None) ->
         df = df.orderBy(*[quoted(k) for k in key]).limit(max_rows)
     report = {
         "overview": df.agg(F.count(F.lit(1)).alias("row_count"), F.lit(len(df.columns)).alias("column_count")),
-        "duplicates": duplicate_rows(df),
-        "columns": column_metadata(df),
+        "duplicates": keep(duplicate_rows(df)),
+        "columns": keep(column_metadata(df)),
         "datetime_columns": datetime_columns(df),
-        "warnings": quality_warnings(df),
     }
     if categorical_columns(df):
-        report["categorical_summary"] = categorical_summary(df)
+        report["categorical_summary"] = keep(categorical_summary(df))
         report["categorical_top"] = categorical_top(df)
     if numeric_columns(df):
         report["numeric_summary"] = numeric_summary(df)
         report["boxplots"] = boxplots(df)
         report["histograms"] = histograms(df)
+    report["warnings"] = quality_warnings(df, report["columns"], report.get("numeric_summary"), report.get("categorical_summary"), report["duplicates"])
     if len(numeric_columns(df)) >= 2:
         cols = top_variance_columns(df)
         report["pearson"] = pearson_matrix(df, cols)

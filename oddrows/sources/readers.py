@@ -63,9 +63,15 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
     return text.select(*[typed(i, c).alias(c) for i, c in enumerate(text.columns)])
 
 
-def read_json_records(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
-    """Records from JSON documents: a list of records, or ``{"data": [...]}`` unwrapped."""
-    df = spark.read.json(path, multiLine=multiline)
+def read_json_records(spark: SparkSession, path: str, *, multiline: bool | None = None) -> DataFrame:
+    """Records from JSON documents: a list of records, or ``{"data": [...]}`` unwrapped.
+
+    Files of one document a line are split over tasks. A document over several lines needs ``multiline=True``, which reads
+    a file in one task; without a choice it is taken only where lines are not documents.
+    """
+    df = spark.read.json(path, multiLine=bool(multiline))
+    if multiline is None and "_corrupt_record" in df.columns:
+        df = spark.read.json(path, multiLine=True)
     fields = {f.name: f.dataType for f in df.schema.fields}
     data = fields.get("data")
     if isinstance(data, T.ArrayType) and isinstance(data.elementType, T.StructType):
