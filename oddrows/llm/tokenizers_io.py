@@ -45,6 +45,6 @@ def _mixed(json_path: str, ranks_path: str, pattern: str):
     other = re.compile(r"[^\x00-ɏ‐-…]|<\|").search
 
     def encode(text: str):
-        return _from_json(json_path)(text) if other(text) else fast.encode_ordinary(text)
+        return _from_json(json_path)(text) if other(text) else fast.encode_to_numpy(text, disallowed_special=())
 
     return encode
