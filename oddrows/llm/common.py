@@ -56,28 +56,34 @@ def per_batch(run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows: i
     return stream
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "left", wide: bool = False) -> DataFrame:
     """``left`` joined to ``right`` (one row a key; ``weight``: how many left rows have the key) whatever the skew.
 
     Keys with at least ``HOT_SHARE`` of the ``total`` left rows are at most ``1 / HOT_SHARE``, so their rows are
     broadcast; left rows that meet one there never enter the shuffled join under that key.
-    Key columns must not be null.
+    ``wide``: rows are costly to move, so those already met take no part in the shuffle, at the price of computing
+    ``left`` twice. Key columns must not be null.
     """
     cut = max(1.0, total * HOT_SHARE)
     values = [c for c in right.columns if c not in keys]
     hot = right.where(F.col(weight) >= cut).select(*keys, F.struct(*values).alias("__hot"))
     cold = right.where(F.col(weight) < cut).select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.struct(*values).alias("__cold"))
     met = left.join(F.broadcast(hot), keys, "left")
-    # Rows already answered carry no key: Spark deals a null key of an outer join's streamed side anywhere if it is salted.
-    salted = met.withColumns({f"__l_{k}": F.when(F.col("__hot").isNull(), F.col(k)) for k in keys}).withColumn(
-        "__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(4096))).cast("int")
-    )
-    cold = cold.withColumn("__r_salt", F.lit(0))
-    on = [F.col(f"__l_{k}") == F.col(f"__r_{k}") for k in keys] + [F.col("__salt") == F.col("__r_salt")]
-    out = salted.join(cold, on, "left").withColumn("__any", F.coalesce("__hot", "__cold"))
-    if how == "inner":
-        out = out.where(F.col("__any").isNotNull())
-    return out.select(*left.columns, *[F.col(f"__any.`{v}`").alias(v) for v in values])
+    same = [F.col(f"__l_{k}") == F.col(f"__r_{k}") for k in keys]
+    if wide:
+        rest = met.where(F.col("__hot").isNull()).withColumns({f"__l_{k}": F.col(k) for k in keys}).join(cold, same, how)
+        rest = rest.select(*[F.col(f"`{c}`") for c in left.columns], F.col("__cold").alias("__any"))
+        out = met.where(F.col("__hot").isNotNull()).select(*[F.col(f"`{c}`") for c in left.columns], F.col("__hot").alias("__any")).unionByName(rest)
+    else:
+        # Met rows carry no key but a salt of their own, so that they are dealt evenly.
+        salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(4096))).cast("int")
+        salted = met.withColumns({f"__l_{k}": F.when(F.col("__hot").isNull(), F.col(k)) for k in keys} | {"__salt": salt})
+        # (The right side's salt is always 0, but no constant: else Spark would drop it from the join's keys.)
+        zero = F.pmod(F.xxhash64(*[F.col(f"__r_{k}") for k in keys]), F.lit(1)).cast("int")
+        out = salted.join(cold.withColumn("__r_salt", zero), [*same, F.col("__salt") == F.col("__r_salt")], "left").withColumn("__any", F.coalesce("__hot", "__cold"))
+        if how == "inner":
+            out = out.where(F.col("__any").isNotNull())
+    return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"__any.`{v}`").alias(v) for v in values])
 
 
 def append(df: DataFrame, inputs: list[Column], start: Callable[[], Callable], fields: list[tuple[str, str]]) -> DataFrame:

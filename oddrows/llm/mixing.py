@@ -65,7 +65,7 @@ def mix(
     rates = source_rates(docs, weights, source_col, text_col, epochs, temperature).withColumn("__cdf", poisson_cdf(F.col("__rate")))
     own = [c for c in docs.columns if c not in (copy_col, order_col)]
     keyed = docs.select(*[F.col(f"`{c}`") for c in own]).withColumns({"__source": _key(source_col), "__u": unit_hash(seed, F.col(f"`{id_col}`"))})
-    known = lookup(keyed, rates, ["__source"], "__rows", docs.count())
+    known = lookup(keyed, rates, ["__source"], "__rows", docs.count(), wide=True)
     # The inverse at u: as many as the distribution's steps that u has passed.
     drawn = known.withColumn("__n", F.size(F.filter("__cdf", lambda p: p <= F.col("__u")))).where("__n > 0")
     copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
