@@ -8,7 +8,7 @@ similarity. If a coordinate got no dart, the rank limit is doubled; the darts be
 
 **Classes.** Equal texts are one node. Nodes that share a band are a bucket. A bucket is not expanded into pairs: the
 nodes with the most company over all their buckets lead it, leaders are compared with the rest, and links join classes.
-As long as a bucket has nodes of two classes that were not compared, it gets more leaders, eight times as many a round.
+As long as a bucket has nodes of two classes that were not compared, it gets more leaders, sixteen times as many a round.
 So each pair of a bucket is compared or is in one class already. A pair whose signatures agree in less than
 ``MIN_ESTIMATE`` (four deviations below the threshold) is not checked; all others are, by the exact similarity.
 
@@ -159,8 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Each node points to its smallest neighbour or itself, then to what that one points to.
         near = materialize(both(edges).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
-        jump = near.join(near.select(F.col("a").alias("to"), F.col("to").alias("root")), "to").select(F.col("a").alias("node"), "root")
-        jump = materialize(jump)
+        jump = materialize(near.join(near.select(F.col("a").alias("to"), F.col("to").alias("root")), "to").select(F.col("a").alias("node"), "root"))
         roots = jump if roots is None else materialize(
             roots.join(jump.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
         )
@@ -204,22 +203,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if tried is not None:
             same = (F.least(found["a"], found["b"]) == tried["x"]) & (F.greatest(found["a"], found["b"]) == tried["y"])
             found = found.join(tried, same, "left_anti")
-        found = materialize(found)
-        # First each node with the leader it looks most like; then what still joins two classes.
-        best = found.groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
-        for wave in range(2):
-            todo = best if wave == 0 else found.select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")  # noqa: F821
-            if wave:
-                of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
-                todo = todo.join(of("a"), "a").join(of("b"), "b").where("ra != rb").select("a", "b")
-            checked = materialize(_verified(todo, texts))
-            links = checked.where("near")
-            if not links.isEmpty():
-                root = _merged(root, links)
-            seen = checked.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-            tried = seen if tried is None else tried.unionByName(seen)
+        checked = materialize(_verified(found, texts))
+        links = checked.where("near")
+        if not links.isEmpty():
+            root = _merged(root, links)
+        seen = checked.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        tried = seen if tried is None else tried.unionByName(seen)
         open_members = materialize(state.drop("root").join(leaders.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti"))
-        leaders_each *= 8
+        leaders_each *= 16
     first = root.join(nodes.select("node", "first_id"), "node")
     ids = first.groupBy("root").agg(F.min("first_id").alias("class_id"))
     by_node = nodes.select("node", "copies", "first_id").join(root, "node", "left").join(ids, "root", "left").select(
