@@ -6,8 +6,8 @@ compared on the input; overlaps count.
 1. **Anchors.** In each window of ``width`` bytes the ``GRAM``-byte strings with the smallest mixed polynomial hash are
    anchors. Equal windows have anchors at equal places, so a repeated window always holds an anchor whose hash occurs
    again. Anchors are counted in Spark; those that occur once are dropped, and with them nearly all of the corpus.
-2. **Suffixes.** What is left around an anchor (the bytes that any window with it can hold) is its context. Equal contexts
-   are combined before the shuffle. The suffixes of all contexts of an anchor are sorted bucket by bucket (a bucket:
+2. **Suffixes.** What is left around an anchor (the bytes of all windows that have it as an anchor) is its context. Equal
+   contexts are combined before the shuffle. The suffixes of all contexts of an anchor are sorted bucket by bucket (a bucket:
    same anchor, same distance to it) by a merge sort. A comparison finds the common extension of two suffixes by binary
    search on prefix polynomial hashes, so it takes logarithmically many steps. Neighbours that agree in ``width`` bytes
    are repeats; their bytes are compared to rule out collisions of the hash.
@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from oddrows.llm.common import append, lookup, materialize, per_batch, text_of
 
 WIDTH = 200
-GRAM = 32
+GRAM = 64
 MAX_CONTEXTS = 4096
 #: Bytes of a text that are hashed at once, and contexts that are sorted at once.
 BLOCK_BYTES = 1 << 20
 BLOCK_CONTEXTS = 512
+#: Bits of the map that tells texts without repeats before they are shuffled: a fixed size, 2 MB.
+MAP_BITS = 1 << 24
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _RADIX = 0xD6E8FEB86659FD93
 _INVERSE = pow(_RADIX, -1, 1 << 64)
@@ -70,11 +72,12 @@ def _sliding(x: np.ndarray, width: int, reduce: np.ufunc, pad: int) -> np.ndarra
     return reduce(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors_in(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of joined texts that end at ``ends``."""
+def anchors_in(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
+    """Anchors of joined texts that end at ``ends``, as rows: place, hash (as signed), first and last start of the windows
+    that have it as an anchor. Those windows are neighbours, since all that lies between two of them is no smaller."""
     n = len(data) - width + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros((4, 0), np.int64)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * _powers(_INVERSE, len(data)), out=sums[1:])
     grams = _mix((sums[gram:] - sums[:-gram]) * _powers(_RADIX, len(data) - gram + 1)) | np.uint64(1)
@@ -86,33 +89,48 @@ def anchors_in(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int
         inside[max(0, e - width + 1) : min(n, e)] = False
     least[~inside] = 0
     padded = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
-    most = _sliding(padded, span, np.maximum, 0)
-    at = np.flatnonzero(most == grams)
-    return at, grams[at]
-
-
-def text_anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Anchor places and hashes of each text; long texts in blocks that overlap by a window."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64)) for _ in texts]
+    at = np.flatnonzero(_sliding(padded, span, np.maximum, 0) == grams)
+    # Runs of windows with one smallest hash; an anchor's run is the last of its hash that begins at or before it.
+    begins = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    ends_ = np.append(begins[1:], n) - 1
+    values, number = np.unique(least[begins], return_inverse=True)
+    key = number * (len(data) + 1) + begins
+    order = np.argsort(key)
+    wanted = np.searchsorted(values, grams[at]) * (len(data) + 1) + at
+    run = order[np.searchsorted(key[order], wanted, side="right") - 1]
+    return np.stack([at, grams[at].view(np.int64), np.maximum(begins[run], at - span + 1), np.minimum(ends_[run], at)])
+
+
+def text_anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> list[np.ndarray]:
+    """The anchors of each text; long texts in blocks that overlap by a window."""
+    out = [np.zeros((4, 0), np.int64) for _ in texts]
     short = [i for i, t in enumerate(texts) if width <= len(t) <= BLOCK_BYTES]
     if short:
         ends = np.cumsum([len(texts[i]) for i in short])
-        at, h = anchors_in(np.frombuffer(b"".join(texts[i] for i in short), np.uint8), ends, width, gram)
-        cuts = np.searchsorted(at, ends)
+        found = anchors_in(np.frombuffer(b"".join(texts[i] for i in short), np.uint8), ends, width, gram)
+        cuts = np.searchsorted(found[0], ends)
         for j, i in enumerate(short):
-            part = slice(cuts[j - 1] if j else 0, cuts[j])
-            out[i] = (at[part] - (ends[j] - len(texts[i])), h[part])
+            part = found[:, cuts[j - 1] if j else 0 : cuts[j]].copy()
+            part[[0, 2, 3]] -= ends[j] - len(texts[i])
+            out[i] = part
     for i, t in enumerate(texts):
         if len(t) > BLOCK_BYTES:
-            data, found = np.frombuffer(t, np.uint8), {}
+            data, merged = np.frombuffer(t, np.uint8), {}
             for a in range(0, len(t) - width + 1, BLOCK_BYTES):
                 block = data[a : a + BLOCK_BYTES + width - 1]
-                at, h = anchors_in(block, np.array([len(block)]), width, gram)
-                found.update(zip((at + a).tolist(), h.tolist()))
-            out[i] = (np.array(sorted(found), np.int64), np.array([found[p] for p in sorted(found)], np.uint64))
+                for place, h, first, last in zip(*(anchors_in(block, np.array([len(block)]), width, gram).tolist())):
+                    was = merged.get(place + a, (h, first + a, last + a))
+                    merged[place + a] = (h, min(was[1], first + a), max(was[2], last + a))
+            out[i] = np.array([(p, *merged[p]) for p in sorted(merged)], np.int64).reshape(-1, 4).T
     return out
 
 
+def _packed(found: np.ndarray, width: int) -> list[int]:
+    """Place, reach to the left and reach to the right of each anchor's context in one number."""
+    place, _, first, last = found
+    return ((place << 24) | ((place - first) << 12) | (last + width - place)).tolist()
+
+
 class Contexts:
     """Contexts of some anchors, aligned at the anchor, with prefix hashes."""
 
@@ -125,94 +143,95 @@ class Contexts:
         for row, (c, a) in enumerate(zip(contexts, self.first.tolist())):
             self.bytes[row, a : a + len(c)] = np.frombuffer(c, np.uint8)
         self.groups = np.array(groups)
-        self.sums = np.zeros((len(contexts), left + width + 1), np.uint64)
-        np.cumsum(_VALUES[self.bytes] * _powers(_INVERSE, left + width), axis=1, out=self.sums[:, 1:])
-
-    def same(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, length) -> np.ndarray:
-        """Do rows a and b have equal hashes of ``length`` bytes from column ``at``?"""
-        return self.sums[a, at + length] - self.sums[a, at] == self.sums[b, at + length] - self.sums[b, at]
-
-    def less(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(suffix a < suffix b, they agree in a whole window), by binary search for the common extension."""
-        equal = self.same(a, b, at, self.width)
-        less = np.zeros(len(a), bool)
-        todo = np.flatnonzero(~equal)
-        if len(todo):
-            x, y, s = a[todo], b[todo], at[todo]
-            low, high = np.zeros(len(todo), np.int64), np.full(len(todo), self.width - 1)
-            while (low < high).any():
-                middle = (low + high + 1) // 2
-                longer = self.same(x, y, s, middle)
-                low, high = np.where(longer, middle, low), np.where(longer, high, middle - 1)
-            less[todo] = self.bytes[x, s + low] < self.bytes[y, s + low]
-        return less, equal
+        sums = np.zeros((len(contexts), left + width + 1), np.uint64)
+        np.cumsum(_VALUES[self.bytes] * _powers(_INVERSE, left + width), axis=1, out=sums[:, 1:])
+        self.stride, self.sums = left + width + 1, sums.ravel()
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
         """(row, column) of every suffix whose first ``width`` bytes another context of its group has at that column."""
-        row = np.repeat(np.arange(len(self.bytes)), self.last - self.first + 1)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(self.last - self.first + 1) - (self.last - self.first + 1), self.last - self.first + 1) + self.first[row]
+        size = self.last - self.first + 1
+        row = np.repeat(np.arange(len(self.bytes)), size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + self.first[row]
         bucket = self.groups[row] * self.columns + at
         order = np.argsort(bucket, kind="stable")
+        shared = np.bincount(bucket, minlength=1)[bucket[order]] > 1
+        order = order[shared]
         row, at, bucket = row[order], at[order], bucket[order]
+        if not len(row):
+            return row, at
+        # Suffixes of one bucket begin in the same column, so prefix sums are compared without a factor.
+        self.start = row * self.stride + at
+        self.whole = self.sums[self.start + self.width] - self.sums[self.start]
         head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         size = np.diff(np.append(head, len(row)))
-        base, size = np.repeat(head, size), np.repeat(size, size)
-        row = self._sorted(row, at, base, size)
-        pair = np.flatnonzero((bucket[1:] == bucket[:-1]))
-        pair = pair[self.same(row[pair], row[pair + 1], at[pair], self.width)]
-        true = self._verified(row[pair], row[pair + 1], at[pair])
+        item = self._sorted(np.repeat(head, size), np.repeat(size, size))
+        pair = np.flatnonzero((bucket[1:] == bucket[:-1]) & (self.whole[item[1:]] == self.whole[item[:-1]]))
+        true = self._verified(row[item[pair]], row[item[pair + 1]], at[pair])
         hit = np.zeros(len(row), bool)
-        hit[pair[true]] = hit[pair[true] + 1] = True
+        hit[item[pair[true]]] = hit[item[pair[true] + 1]] = True
         for b in np.unique(bucket[pair[~true]]).tolist():  # a hash collision: that bucket is decided by its bytes
-            items = np.flatnonzero(bucket == b)
             seen: dict[bytes, list[int]] = {}
-            for i in items.tolist():
+            for i in np.flatnonzero(bucket == b).tolist():
+                hit[i] = False
                 seen.setdefault(self.bytes[row[i], at[i] : at[i] + self.width].tobytes(), []).append(i)
-            hit[items] = False
             for same in seen.values():
                 hit[same] = len(same) > 1
         return row[hit], at[hit]
 
-    def _sorted(self, row: np.ndarray, at: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Rows in the order of their suffixes within each bucket: a merge sort of all buckets at once.
+    def less(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix i < suffix j, they agree in a whole window): the end of their common extension is found by binary
+        search on the prefix hashes, and the bytes after it decide."""
+        equal = self.whole[i] == self.whole[j]
+        less = np.zeros(len(i), bool)
+        todo = np.flatnonzero(~equal)
+        if len(todo):
+            x, y = self.start[i[todo]], self.start[j[todo]]
+            apart = self.sums[x] - self.sums[y]
+            low, high = np.zeros(len(todo), np.int64), np.full(len(todo), self.width - 1)
+            for _ in range(int(self.width).bit_length()):
+                middle = (low + high + 1) >> 1
+                longer = self.sums[x + middle] - self.sums[y + middle] == apart
+                low, high = np.where(longer, middle, low), np.where(longer, high, np.maximum(low, middle - 1))
+            data = self.bytes.ravel()  # a row of bytes is one shorter than its sums
+            less[todo] = data[x - x // self.stride + low] < data[y - y // self.stride + low]
+        return less, equal
+
+    def _sorted(self, base: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Items in the order of their suffixes within each bucket: a merge sort of all buckets at once.
 
-        In a merge an element's place is its own in its run plus how many of the other run go before it.
+        In a merge an item's place is its own in its run plus how many of the other run go before it.
         """
-        width = 1
+        item, width = np.arange(len(base)), 1
+        own = item - base
         while width < size.max(initial=0):
-            own = np.arange(len(row)) - base
             run = own // width
-            other = (run ^ 1) * width
-            low, high = np.minimum(other, size), np.minimum(other + width, size)
+            low = np.minimum((run ^ 1) * width, size)
+            high = np.minimum(low + width, size)
             act = np.flatnonzero(low < high)
-            lo, hi, start = low[act].copy(), high[act].copy(), low[act]
-            right = (run[act] & 1).astype(bool)
-            while (open_ := lo < hi).any():
-                k = np.flatnonzero(open_)
-                middle = (lo[k] + hi[k]) // 2
-                less, equal = self.less(row[base[act[k]] + middle], row[act[k]], at[act[k]])
+            lo, hi, from_, right = low[act], high[act], base[act], (run[act] & 1).astype(bool)
+            start = lo.copy()
+            k = np.arange(len(act))
+            while len(k):
+                middle = (lo[k] + hi[k]) >> 1
+                less, equal = self.less(item[from_[k] + middle], item[act[k]])
                 before = less | (equal & right[k])
                 lo[k] = np.where(before, middle + 1, lo[k])
                 hi[k] = np.where(before, hi[k], middle)
-            place = np.arange(len(row))
-            place[act] = base[act] + (run[act] // 2) * 2 * width + (own[act] - run[act] * width) + (lo - start)
-            moved = np.empty_like(row)
-            moved[place] = row
-            row, width = moved, width * 2
-        return row
+                k = k[lo[k] < hi[k]]
+            place = np.arange(len(item))
+            place[act] = from_ + (run[act] >> 1) * 2 * width + (own[act] - run[act] * width) + (lo - start)
+            moved = np.empty_like(item)
+            moved[place] = item
+            item, width = moved, width * 2
+        return item
 
     def _verified(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Byte comparison: each pair of contexts once, whatever the number of its suffixes."""
         pairs, which = np.unique(a * len(self.bytes) + b, return_inverse=True)
-        true = np.zeros(len(a), bool)
-        for begin in range(0, len(pairs), 4096):
-            x, y = np.divmod(pairs[begin : begin + 4096], len(self.bytes))
-            differ = np.zeros((len(x), self.bytes.shape[1] + 1), np.int32)
-            np.cumsum(self.bytes[x] != self.bytes[y], axis=1, out=differ[:, 1:])
-            mine = np.flatnonzero((which >= begin) & (which < begin + 4096))
-            w = which[mine] - begin
-            true[mine] = differ[w, at[mine] + self.width] == differ[w, at[mine]]
-        return true
+        x, y = np.divmod(pairs, len(self.bytes))
+        differ = np.zeros((len(x), self.bytes.shape[1] + 1), np.int32)
+        np.cumsum(self.bytes[x] != self.bytes[y], axis=1, out=differ[:, 1:])
+        return differ[which, at + self.width] == differ[which, at]
 
 
 def _runs(columns: np.ndarray, origin: int, width: int) -> list[int]:
@@ -228,13 +247,25 @@ def _keys(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(c, F.lit(0)).alias("__did"), F.xxhash64(c.isNull(), text_of(text_col)).alias("__dh")]
 
 
-def _context(text: bytes, at: int, width: int, gram: int) -> tuple[bytes, int, bytes]:
-    left = min(at, width - gram)
-    context = text[at - left : at + width]
+def _suspect(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with ``__maybe``: false where no row of ``found`` has the keys. The map of key hashes has a fixed size, so it is
+    broadcast; if it fills up, more rows are suspected than need be and nothing else changes."""
+    bit = F.pmod(F.xxhash64("__did", "__dh"), F.lit(MAP_BITS)) + 1
+    maps = found.select(F.bitmap_bucket_number(bit).alias("__bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("__bucket").agg(F.bitmap_construct_agg("at").alias("__map"))
+    byte = F.conv(F.hex(F.substring(F.col("__map"), (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.floor(byte / F.pow(F.lit(2), F.col("__at") % 8)) % 2 == 1
+    placed = rows.withColumns({"__bucket": F.bitmap_bucket_number(bit), "__at": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "__bucket", "left")
+    return placed.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(hit, F.lit(False)).alias("__maybe"))
+
+
+def _context(text: bytes, packed: int) -> tuple[bytes, int, bytes]:
+    """The bytes of all windows that have the anchor, how many lie before it, and a digest."""
+    at, left, right = packed >> 24, (packed >> 12) & 4095, packed & 4095
+    context = text[at - left : at + right]
     return context, left, xxhash.xxh3_128_digest(context, seed=left)
 
 
-def _contexts(around: DataFrame, width: int, gram: int) -> DataFrame:
+def _contexts(around: DataFrame) -> DataFrame:
     """Different contexts of each anchor with their number of places, combined in the task first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +280,7 @@ def _contexts(around: DataFrame, width: int, gram: int) -> DataFrame:
             for text, places, hashes in zip(*batch.columns):
                 text = text.as_py()
                 for at, anchor in zip(places.as_py(), hashes.as_py()):
-                    context, left, digest = _context(text, at, width, gram)
+                    context, left, digest = _context(text, at)
                     slot = held.setdefault((anchor, digest), [context, left, 0])
                     slot[2] += 1
                 if len(held) > 20_000:
@@ -266,21 +297,22 @@ def _sort_task(width: int, gram: int):
 
     def settle(held: list[list]) -> pa.RecordBatch | None:
         """held: anchor, digest, context, left, n of whole anchors."""
-        number, rows = {}, []
-        for x in held:
-            number.setdefault(x[0], len(number))
-        for begin, end in _blocks([x[0] for x in held]):
-            part = held[begin:end]
-            c = Contexts([x[2] for x in part], [x[3] for x in part], [number[x[0]] for x in part], width, gram)
+        rows, several = [], []
+        for i, x in enumerate(held):
+            alone = (not i or held[i - 1][0] != x[0]) and (i + 1 == len(held) or held[i + 1][0] != x[0])
+            if not alone:
+                several.append(x)
+            if x[4] > 1:  # what occurs at two places with its whole context is repeated all over
+                rows.append((x[0], x[1], x[4], [-x[3], len(x[2]) - x[3]]))
+        for begin, end in _blocks([x[0] for x in several]):
+            part, number = several[begin:end], {}
+            groups = [number.setdefault(x[0], len(number)) for x in part]
+            c = Contexts([x[2] for x in part], [x[3] for x in part], groups, width, gram)
             row, at = c.repeated()
             order = np.lexsort((at, row))
             row, at = row[order], at[order]
             edges = np.searchsorted(row, np.arange(len(part) + 1))
-            for i, (anchor, digest, _, _, n) in enumerate(part):
-                # What occurs at two places with its whole context is repeated all over.
-                columns = np.arange(c.first[i], c.last[i] + 1) if n > 1 else at[edges[i] : edges[i + 1]]
-                if len(columns):
-                    rows.append((anchor, digest, n, _runs(columns, origin, width)))
+            rows += [(x[0], x[1], x[4], _runs(at[a:e], origin, width)) for x, a, e in zip(part, edges[:-1], edges[1:]) if x[4] == 1 and a < e]
         if not rows:
             return None
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32())))], names=names)
@@ -340,19 +372,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     def start():
         def make(data: pa.Array) -> list[pa.Array]:
             found = text_anchors(data.to_pylist(), width, gram)
-            return [pa.array([p.tolist() for p, _ in found], pa.list_(pa.int32())), pa.array([h.view(np.int64).tolist() for _, h in found], pa.list_(pa.int64()))]
+            return [pa.array([_packed(x, width) for x in found], pa.list_(pa.int64())), pa.array([x[1].tolist() for x in found], pa.list_(pa.int64()))]
 
         return make
 
-    found = append(rows.withColumns({"n_bytes": F.octet_length("data").cast("long"), "sha256": F.sha2("data", 256)}), [F.col("data")], start, [("places", "array<int>"), ("hashes", "array<long>")])
+    found = append(rows.withColumns({"n_bytes": F.octet_length("data").cast("long"), "sha256": F.sha2("data", 256)}), [F.col("data")], start, [("places", "array<long>"), ("hashes", "array<long>")])
     every = materialize(found.drop("data").withColumn("row", F.monotonically_increasing_id()))
     spread = every.select("row", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("row", F.col("x.places").alias("place"), F.col("x.hashes").alias("anchor"))
     again = spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     # A text has boundedly many anchors for its length, so the lists below are no longer than it.
     mine = spread.join(again, "anchor").groupBy("row").agg(F.collect_list(F.struct("place", "anchor")).alias("x"))
-    mine = mine.join(every.select("row", "__did", "__dh"), "row").select("row", "__did", "__dh", F.col("x.place").alias("places"), F.col("x.anchor").alias("hashes"))
-    around = materialize(rows.select("__did", "__dh", "data").join(mine, ["__did", "__dh"]))
-    contexts = materialize(_contexts(around, width, gram))
+    mine = materialize(mine.join(every.select("row", "__did", "__dh"), "row").select("row", "__did", "__dh", F.col("x.place").alias("places"), F.col("x.anchor").alias("hashes")))
+    suspects = _suspect(rows.select("__did", "__dh", "data"), mine).where("__maybe").drop("__maybe")
+    around = materialize(suspects.join(mine, ["__did", "__dh"]))
+    contexts = materialize(_contexts(around))
     crowded = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > max_contexts)
     crowded = contexts.join(crowded.select("anchor"), "anchor", "left_semi").select("anchor", "digest").distinct().groupBy("anchor").count().where(F.col("count") > max_contexts).select("anchor")
     crowded = materialize(crowded)
@@ -365,7 +398,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     def places(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
         for row, text, at, anchors in zip(*[c.to_pylist() for c in batch.columns]):
-            out += [(row, a, p, _context(text, p, width, gram)[2]) for p, a in zip(at, anchors)]
+            out += [(row, a, p >> 24, _context(text, p)[2]) for p, a in zip(at, anchors)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["row", "anchor", "place", "digest"])
 
     members = around.select("row", "data", "places", "hashes").mapInArrow(per_batch(places), "row long, anchor long, place int, digest binary")
@@ -399,11 +432,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the repeated bytes taken out of their texts; no row is dropped."""
     _, changed = repeats(docs, id_col, text_col, **options)
-    left = _readable(changed)
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *_keys(id_col, text_col))
-    met = keyed.join(left.dropDuplicates(["__did", "__dh"]), ["__did", "__dh"], "left")
+    left = materialize(_readable(changed).dropDuplicates(["__did", "__dh"]))
+    keyed = _suspect(docs.select(*[F.col(f"`{c}`") for c in docs.columns], *_keys(id_col, text_col)), left)
     text = F.coalesce("__kept", F.col(f"`{text_col}`")).alias(text_col)
-    return met.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    met = keyed.where("__maybe").join(left, ["__did", "__dh"], "left").select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return keyed.where("not __maybe").select(*docs.columns).unionByName(met)
 
 
 def _readable(changed: DataFrame) -> DataFrame:

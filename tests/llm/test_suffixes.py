@@ -59,9 +59,9 @@ def test_long_texts_are_cut_in_blocks(monkeypatch):
 
 def test_suffixes_are_sorted_and_collisions_are_told_apart(monkeypatch):
     rng = np.random.default_rng(2)
-    stock = [bytes(rng.integers(97, 99, 368, dtype=np.uint8)) for _ in range(12)]
+    stock = [bytes(rng.integers(97, 99, 336, dtype=np.uint8)) for _ in range(12)]
     contexts = [stock[i] for i in rng.integers(0, 12, 40)] + stock[:1]
-    c = suffixes.Contexts(contexts, [168] * len(contexts), [0] * len(contexts))
+    c = suffixes.Contexts(contexts, [136] * len(contexts), [0] * len(contexts))
     n = len(contexts)
     c.start = np.arange(n) * c.stride
     c.whole = c.sums[c.start + 200] - c.sums[c.start]
@@ -69,12 +69,12 @@ def test_suffixes_are_sorted_and_collisions_are_told_apart(monkeypatch):
     assert [contexts[i][:200] for i in order] == sorted(x[:200] for x in contexts)
 
     def want(rows):
-        seen = Counter((s, x[s : s + 200]) for x in rows for s in range(169))
-        return {(i, s) for i, x in enumerate(rows) for s in range(169) if seen[s, x[s : s + 200]] > 1}
+        seen = Counter((s, x[s : s + 200]) for x in rows for s in range(137))
+        return {(i, s) for i, x in enumerate(rows) for s in range(137) if seen[s, x[s : s + 200]] > 1}
 
     assert set(zip(*map(np.ndarray.tolist, c.repeated()))) == want(contexts)
-    rows = [bytes([97 + i]) * 368 for i in range(3)]
-    broken = suffixes.Contexts(rows, [168] * 3, [0] * 3)
+    rows = [bytes([97 + i]) * 336 for i in range(3)]
+    broken = suffixes.Contexts(rows, [136] * 3, [0] * 3)
     broken.sums[:] = 0  # every hash collides
     assert len(broken.repeated()[0]) == 0
 
