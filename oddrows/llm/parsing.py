@@ -58,7 +58,7 @@ def next_level(names: np.ndarray, firsts: np.ndarray, label: np.ndarray | None =
     """Phrase names of the next level and the places of each text's first phrase. No text here is empty."""
     first = np.zeros(len(names), bool)
     first[firsts] = True
-    # Runs of one name become one name.
+    # Runs of one name become one name. Neighbours then differ, in their labels too.
     head = first.copy()
     head[1:] |= names[1:] != names[:-1]
     if not head.all():
@@ -69,7 +69,6 @@ def next_level(names: np.ndarray, firsts: np.ndarray, label: np.ndarray | None =
         long = length > 1
         names = names.copy()
         names[long] = _mix(names[long] + length[long] * _RADIX)
-        label = None if long.any() else label
     firsts = np.flatnonzero(first)
     tossed = names if label is None else label
     for _ in range(4 if tossed.dtype == np.uint64 else 3):
@@ -149,9 +148,11 @@ def _descending(rows: DataFrame) -> DataFrame:
     shares = [i / wanted for i in range(1, wanted)]
     cuts = rows.agg(F.percentile_approx(F.col("id"), F.array(*[F.lit(s) for s in shares]), 100 * wanted)).first()[0] if shares else None
     splits = [float("-inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
-    ranged = rows.withColumn("__id", F.col("id").cast("double"))
-    ranged = Bucketizer(inputCol="__id", outputCol="__range", splits=splits).transform(ranged).drop("__id")
-    ranged = ranged.withColumn("__range", F.col("__range").cast("int"))
+    if len(splits) > 2:
+        ranged = Bucketizer(inputCol="__id", outputCol="__range", splits=splits).transform(rows.withColumn("__id", F.col("id").cast("double"))).drop("__id")
+        ranged = ranged.withColumn("__range", F.col("__range").cast("int"))
+    else:
+        ranged = rows.withColumn("__range", F.lit(0))
     # One row a range: its largest id, which the next higher range (or, around the end, the lowest) must see.
     tops = sorted((r[0], r[1]) for r in ranged.groupBy("__range").agg(F.max("id")).collect())
     if not tops:
