@@ -112,7 +112,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Index:
 @query("op9_toxicity")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, toxicity_model(docs, table(spark, folder, "labels")))
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, folder, "labels")), carry=["doc_id"])
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 

@@ -1,42 +1,43 @@
-"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over an inverted index of all their words.
 
 **Fit.** At most ``max_examples`` labelled rows become examples: of each class those with the smallest hash of the id,
-weighted back to the class's share among all labelled rows. Terms are chosen by the chi-square of their presence
-against the label over the examples, where one class has them ``MIN_LIFT`` times as often as the other (longer texts of one
-class alone do not make its common words telling); document frequencies of the chosen terms are counted over all documents.
+weighted back to the class's share among all labelled rows. Every word of an example is indexed, whatever its label or count.
+A word's weight is its TF-IDF times 1 + chi-square x ln(lift) ** 2 of its presence against the label over the examples: plain TF-IDF
+finds texts of one subject, not of one label, so telling words weigh more (the lift keeps the common words of longer texts of one
+class from counting as telling), but none weighs less than its TF-IDF. Document frequencies are of all documents: those of the examples' words, and of up to ``MAX_KNOWN`` words that no example has, are
+broadcast.
 
-**Search.** Postings of a term lie in blocks of examples, and every (term, block) keeps its largest weight. The weights of a
-query's terms give each block an upper bound; blocks are scored exactly in falling order of their bound until no bound
-exceeds the k-th best cosine. So the k nearest are exact.
+**Search.** Every posting of a query's words is added up, so the k nearest are exact. A text's norm is over all its words.
+Words that are not broadcast are in one document, or else a join on the word finds their frequency (``rare``).
 
 **Score.** Neighbours vote with 1 / (1.05 - cosine) times their class weight. Each example is scored without itself, and
 isotonic regression of the labels on those votes makes votes into probabilities. ``evidence`` holds the nearest examples.
 
-Defined cases: null and empty texts, and texts without a chosen term, get the toxic share of the examples without such a
-term; labels that repeat an id count as toxic if one of them says so; null labels are not used; without labels of both
-classes every score is the share of toxic labels (0 if there are none); ties in cosine go by the example's place; rows
-that repeat get equal scores; an empty table gives no row.
+Defined cases: null and empty texts, and texts that share no word with an example, get the toxic share of the examples without
+words; a word that no fitted document has counts as in one; labels that repeat an id count as toxic if one of them says so; null
+labels are not used; without labels of both classes every score is the share of toxic labels (0 if there are none); ties in cosine
+go by the example's place; rows that repeat get equal scores; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddrows.llm.common import append, per_batch, text_of
+from oddrows.llm.common import append, materialize, per_batch, text_of
 
 MAX_EXAMPLES = 8192
-MAX_TERMS = 1024
-MIN_CHI2 = 20.0
-MIN_LIFT = 3.0
+#: Words outside the examples whose document frequencies are broadcast.
+MAX_KNOWN = 1 << 19
+HELD_WORDS = 300_000
 NEIGHBOURS = 50
-BLOCK = 64
 THRESHOLD = 0.3
 _SPACE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -48,62 +49,52 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Examples by term, in blocks."""
+    """Examples by term. Terms without a posting are words that only other documents have."""
 
     terms: dict[bytes, int]
-    idf: np.ndarray
+    idf: np.ndarray  # times the factor for telling words
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
     prior: float
     empty: float = 0.0
-    starts: np.ndarray = field(default=None)  # [term, block] -> first posting
+    once: float = 1.0  # idf of a word in one document
+    rare: DataFrame | None = None  # (word, n) of words in several documents that are no terms
+    starts: np.ndarray = field(default=None)  # term -> first posting
     docs: np.ndarray = field(default=None)
     values: np.ndarray = field(default=None)
-    block_max: np.ndarray = field(default=None)
     votes: np.ndarray = field(default=None)
     chances: np.ndarray = field(default=None)
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, counts: dict[int, int], rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights over the whole text's norm; ``rest``: the sum of squares of words that are no terms."""
         t = np.fromiter(sorted(counts), np.int64, len(counts))
         v = (1 + np.log(np.array([counts[i] for i in t.tolist()], np.float64))) * self.idf[t]
-        norm = np.sqrt((v * v).sum())
-        return (t, v / norm) if norm > 0 else (t[:0], v[:0])
+        norm = np.sqrt((v * v).sum() + rest)
+        return (t, v / norm) if len(t) and norm > 0 else (t[:0], v[:0])
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Postings from the examples' vectors, in the examples' order."""
-        n, blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
-        t = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
-        d = np.repeat(np.arange(n), [len(v[0]) for v in vectors]) if n else np.zeros(0, np.int64)
-        w = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
+        t = np.concatenate([np.zeros(0, np.int64), *[v[0] for v in vectors]])
+        d = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors]) if vectors else np.zeros(0, np.int64)
+        w = np.concatenate([np.zeros(0), *[v[1] for v in vectors]])
         order = np.lexsort((d, t))
-        t, self.docs, self.values = t[order], d[order], w[order]
-        self.starts = np.searchsorted(t * blocks + self.docs // BLOCK, np.arange(len(self.terms) * blocks + 1))
-        self.block_max = np.zeros((len(self.terms), blocks))
-        np.maximum.at(self.block_max, (t, self.docs // BLOCK), self.values)
+        self.docs, self.values = d[order], w[order]
+        self.starts = np.searchsorted(t[order], np.arange(len(self.idf) + 1))
 
     def nearest(self, t: np.ndarray, v: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k examples with the largest positive cosine."""
-        blocks = self.block_max.shape[1]
-        bounds = v @ self.block_max[t]
-        best_d, best_c = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            floor = best_c[-1] if len(best_c) == k else 0.0
-            if bounds[b] <= floor + 1e-12:
-                break
-            cosines = np.zeros(BLOCK)
-            for ti, vi in zip(t.tolist(), v.tolist()):
-                a, e = self.starts[ti * blocks + b], self.starts[ti * blocks + b + 1]
-                if a < e:
-                    cosines[self.docs[a:e] - b * BLOCK] += vi * self.values[a:e]
-            found = np.flatnonzero(cosines > 0)
-            d, c = found + b * BLOCK, cosines[found]
-            if without >= 0:
-                d, c = d[d != without], c[d != without]
-            best_d, best_c = np.concatenate([best_d, d]), np.concatenate([best_c, c])
-            top = np.lexsort((best_d, -best_c))[:k]
-            best_d, best_c = best_d[top], best_c[top]
-        return best_d, best_c
+        met = [(a, e, x) for a, e, x in zip(self.starts[t].tolist(), self.starts[t + 1].tolist(), v.tolist()) if a < e]
+        if not met:
+            return np.zeros(0, np.int64), np.zeros(0)
+        cosines = np.bincount(np.concatenate([self.docs[a:e] for a, e, _ in met]), np.concatenate([x * self.values[a:e] for a, e, x in met]))
+        if 0 <= without < len(cosines):
+            cosines[without] = 0
+        d = np.flatnonzero(cosines > 0)
+        if len(d) > k:
+            d = d[cosines[d] >= np.partition(cosines[d], -k)[-k]]
+        d = d[np.lexsort((d, -cosines[d]))[:k]]
+        return d, cosines[d]
 
     def vote(self, d: np.ndarray, c: np.ndarray) -> float:
         w = self.weights[d] / (1.05 - np.minimum(c, 1.0))
@@ -126,47 +117,80 @@ class Index:
         self.votes = np.array([x for p in pools for x in (p[2], p[3])] or [0.0])
         self.chances = np.array([(p[1] + self.prior) / (p[0] + 1.0) for p in pools for _ in range(2)] or [self.prior])
 
-    def score(self, counts: dict[int, int], k: int, top: int = 3) -> tuple[float, list[dict]]:
-        t, v = self.vector(counts)
-        if not len(t):
+    def judge(self, d: np.ndarray, c: np.ndarray, top: int = 3) -> tuple[float, list[dict]]:
+        """Score and evidence from the nearest examples."""
+        if not len(d):
             return self.empty, []
-        d, c = self.nearest(t, v, k)
         chance = float(np.interp(self.vote(d, c), self.votes, self.chances))
         return min(1.0, max(0.0, chance)), [{"doc_id": int(self.ids[i]), "cosine": float(x), "label": int(self.labels[i])} for i, x in zip(d[:top], c[:top])]
 
+    def bag(self, text: str) -> tuple[dict[int, int], dict[bytes, int]]:
+        """How often each term is in a text, and each word that is no term."""
+        counts = Counter(words_of(text))
+        other = {w: n for w, n in counts.items() if w not in self.terms}
+        return {self.terms[w]: n for w, n in counts.items() if w not in other}, other
+
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def _sets(examples: DataFrame) -> DataFrame:
-    """(term, toxic), each term once an example."""
+def _frequencies(docs: DataFrame, text_col: str) -> DataFrame:
+    """(word, n): in how many documents each word is; a task sums what it can hold before the shuffle."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        for batch in batches:
+            for text in batch.column(0):
+                held.update(set(words_of(text.as_py())))
+                if len(held) > HELD_WORDS:
+                    yield flush()
+                    held.clear()
+        yield flush()
+
+    return docs.select(text_of(text_col)).mapInArrow(task, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _bags(examples: DataFrame) -> pa.Table:
+    """id, toxic, and each example's words with their counts."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = [(w, y) for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in set(words_of(text))]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([y for _, y in rows], pa.int32())], names=["term", "toxic"])
+        made = [Counter(words_of(t)) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), batch.column(1), pa.array([list(c) for c in made], pa.list_(pa.binary())), pa.array([list(c.values()) for c in made], pa.list_(pa.int32())),
+        ], names=["id", "toxic", "words", "counts"])
 
-    return examples.select(text_of("text"), "toxic").mapInArrow(per_batch(run), "term binary, toxic int")
+    return examples.select("__id", "toxic", "text").mapInArrow(per_batch(run), "id long, toxic int, words array<binary>, counts array<int>").toArrow()
 
 
-def _frequencies(docs: DataFrame, text_col: str, terms: list[bytes]) -> dict[bytes, int]:
-    """In how many documents each chosen term is: counted over all of them, summed in each task first."""
-    wanted = frozenset(terms)
+def _telling(bags: pa.Table, terms: dict[bytes, int]) -> np.ndarray:
+    """1 + chi-square x ln(lift) ** 2 of each term's presence against the label; 1 for a term that no example has."""
+    seen, n = np.zeros((2, len(terms))), np.zeros(2)
+    for batch in bags.select(["toxic", "words"]).to_batches(256):
+        for r in batch.to_pylist():
+            n[r["toxic"]] += 1
+            seen[r["toxic"], [terms[w] for w in r["words"]]] += 1
+    b, a = seen
+    chi2 = n.sum() * (a * (n[0] - b) - b * (n[1] - a)) ** 2 / np.maximum(n[1] * n[0] * (a + b) * (n.sum() - a - b), 1)
+    return 1 + chi2 * np.log((a + 1) * (n[0] + 2) / ((b + 1) * (n[1] + 2))) ** 2
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+
+def _known(counts: DataFrame, own: list[bytes], cut: int) -> pa.Table:
+    """(word, n) of the words ``own`` and of those in at least ``cut`` documents."""
+    shared = counts.sparkSession.sparkContext.broadcast(frozenset(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(wanted.intersection(words_of(text.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            yield batch.filter(pa.array([n >= cut or w in wanted for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
 
-    rows = docs.select(text_of(text_col)).mapInArrow(task, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {bytes(r["term"]): r["n"] for r in rows.collect()}
+    return counts.select("word", "n").mapInArrow(run, "word binary, n long").toArrow()
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_chi2: float = MIN_CHI2, min_lift: float = MIN_LIFT, k: int = NEIGHBOURS,
+    max_examples: int = MAX_EXAMPLES, max_known: int = MAX_KNOWN, k: int = NEIGHBOURS,
 ) -> Index:
     """The index over at most ``max_examples`` of ``labels`` (leave out rows that must not be learnt from before)."""
     known = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("__id")).agg(F.max((F.col(f"`{label_col}`") > 0).cast("int")).alias("toxic"))
@@ -185,29 +209,23 @@ def fit(
         index.build([])
         index.calibrate([], k)
         return index
-    n1, n0 = F.lit(float(used[1])), F.lit(float(used[0]))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi2 = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n1 * n0 * (a + b) * (n1 + n0 - a - b))
-    lift = (a + 1) * (n0 + 2) / ((b + 1) * (n1 + 2))
-    counted = _sets(examples).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    best = counted.where((a + b >= 5) & (a + b < n1 + n0) & (chi2 >= min_chi2) & ((lift >= min_lift) | (lift <= 1 / min_lift))).orderBy(chi2.desc(), "term").limit(max_terms).select("term")
-    terms = sorted(bytes(r["term"]) for r in best.collect())
-    index.terms = {w: i for i, w in enumerate(terms)}
-    frequency, n = _frequencies(docs, text_col, terms), docs.count()
-    index.idf = np.array([np.log((1 + n) / (1 + frequency.get(w, 0))) + 1 for w in terms])
-    known_terms = index.terms
-
-    def bags(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        made = [Counter(filter(known_terms.__contains__, words_of(t))) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array([[known_terms[w] for w in c] for c in made], pa.list_(pa.int32())), pa.array([list(c.values()) for c in made], pa.list_(pa.int32())),
-        ], names=["id", "toxic", "terms", "counts"])
-
-    # Bounded: max_examples rows of at most max_terms counts.
-    rows = examples.select("__id", "toxic", "text").mapInArrow(per_batch(bags), "id long, toxic int, terms array<int>, counts array<int>").collect()
-    vectors = {r["id"]: index.vector(dict(zip(r["terms"], r["counts"]))) for r in rows}
-    lead = lambda i: int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1
-    rows.sort(key=lambda r: (lead(r["id"]), (r["id"] * 0x9E3779B97F4A7C15) % 2**64))  # examples alike lie in the same blocks
+    counts, n = materialize(_frequencies(docs, text_col)), docs.count()
+    # The smallest power of two such that at most max_known words are in as many documents.
+    held, power = {r["p"]: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).alias("p")).count().collect()}, 1
+    while sum(c for p, c in held.items() if p >= power) > max_known:
+        power += 1
+    cut = 2**power
+    rows = _bags(examples).combine_chunks()  # bounded: the words of max_examples rows
+    words = pa.chunked_array([c.flatten() for c in rows["words"].chunks], pa.binary())
+    known = _known(counts, words.unique().to_pylist(), cut)
+    index.terms = {w: i for i, w in enumerate(sorted(known["word"].to_pylist()))}
+    index.idf = np.zeros(len(index.terms))
+    index.idf[[index.terms[w] for w in known["word"].to_pylist()]] = np.log((1 + n) / (1 + known["n"].to_numpy())) + 1
+    index.idf *= _telling(rows, index.terms)
+    index.once = float(np.log((1 + n) / 2) + 1)
+    index.rare = counts.where((F.col("n") > 1) & (F.col("n") < cut)) if cut > 2 else None
+    vectors = {r["id"]: index.vector({index.terms[w]: c for w, c in zip(r["words"], r["counts"])}) for batch in rows.select(["id", "words", "counts"]).to_batches(256) for r in batch.to_pylist()}
+    rows = sorted(rows.select(["id", "toxic"]).to_pylist(), key=lambda r: (r["id"] * 0x9E3779B97F4A7C15) % 2**64)
     index.ids = np.array([r["id"] for r in rows], np.int64)
     index.labels = np.array([r["toxic"] for r in rows], np.float64)
     share = {y: sizes[y] / used[y] for y in used}
@@ -219,26 +237,86 @@ def fit(
     return index
 
 
-def score(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHBOURS) -> DataFrame:
-    """``docs`` with score (0 to 1) and evidence (the nearest examples)."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples x max_terms
+def _evidence(found: list[tuple[float, list[dict]]]) -> list[pa.Array]:
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+    return [pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], kind)]
+
+
+def _each_text_once(make, texts: pa.Array, seen: dict[bytes, tuple]) -> list[tuple]:
+    """``make`` of every text; equal texts of a task are worked on once."""
+    out = []
+    for text in texts.to_pylist():
+        key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if key not in seen:
+            if len(seen) > 10_000:
+                seen.clear()
+            seen[key] = make(text)
+        out.append(seen[key])
+    return out
 
-    def start():
+
+def score(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHBOURS, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (of it only ``carry``, if given) with score (0 to 1) and evidence (the nearest examples)."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(index, rare=None))  # bounded by the examples' words and max_known
+    fields = [("score", "double"), ("evidence", "array<struct<doc_id: long, cosine: double, label: int>>")]
+    columns = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "evidence")]
+    text, own = text_of(text_col), [F.col(f"`{c}`") for c in columns]
+    if index.rare is None:
+
+        def start():
+            index, seen = shared.value, {}
+
+            def one(text: str) -> tuple[float, list[dict]]:
+                terms, other = index.bag(text)
+                rest = sum(((1 + np.log(n)) * index.once) ** 2 for n in other.values())
+                return index.judge(*index.nearest(*index.vector(terms, rest), k))
+
+            return lambda texts: _evidence(_each_text_once(one, texts, seen))
+
+        return append(docs.select(*own, text.alias("__text")), [F.col("__text")], start, fields).drop("__text")
+
+    # Rare words are in few documents, and so are the texts that have them: neither join has a hot key.
+    keys = [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit("again"), text).alias("__k2")]
+
+    def lines(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        found = [index.bag(t)[1] for t in batch.column(2).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0).take(at), batch.column(1).take(at), pa.array([w for f in found for w in f], pa.binary()), pa.array([c for f in found for c in f.values()], pa.int64()),
+        ], names=["__k1", "__k2", "word", "tf"])
+
+    other = docs.select(*keys, text.alias("__text")).mapInArrow(per_batch(lines), "__k1 long, __k2 long, word binary, tf long").dropDuplicates(["__k1", "__k2", "word"])
+    idf = F.lit(index.once) + F.log(2 / (1 + F.coalesce("n", F.lit(1))))
+    rest = other.join(index.rare, "word", "left").groupBy("__k1", "__k2").agg(F.sum(F.pow((1 + F.log("tf")) * idf, 2)).alias("__rest"))
+
+    def search():
         index, seen = shared.value, {}
 
+        def one(text: str) -> tuple[list[int], list[float], float, bool]:
+            terms, other = index.bag(text)
+            d, c = index.nearest(*index.vector(terms), k)
+            square = sum(((1 + np.log(n)) * index.idf[t]) ** 2 for t, n in terms.items())
+            return d.tolist(), c.tolist(), float(square), bool(other)
+
         def make(texts: pa.Array) -> list[pa.Array]:
-            found = []
-            for text in texts:
-                bag = Counter(filter(index.terms.__contains__, words_of(text.as_py())))
-                key = tuple(sorted((index.terms[w], n) for w, n in bag.items()))
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    seen[key] = index.score(dict(key), k)
-                found.append(seen[key])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-            return [pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], kind)]
+            found = zip(*_each_text_once(one, texts, seen))
+            return [pa.array(c, t) for c, t in zip(found, (pa.list_(pa.int32()), pa.list_(pa.float64()), pa.float64(), pa.bool_()))]
+
+        return make
+
+    def finish():
+        index = shared.value
+
+        def make(places: pa.Array, cosines: pa.Array, square: pa.Array, rest: pa.Array) -> list[pa.Array]:
+            part = [np.sqrt(s / (s + r)) if s else 0.0 for s, r in zip(square.to_pylist(), rest.to_pylist())]
+            return _evidence([index.judge(np.array(d, np.int64), np.array(c) * x) for d, c, x in zip(places.to_pylist(), cosines.to_pylist(), part)])
 
         return make
 
-    return append(docs, [text_of(text_col)], start, [("score", "double"), ("evidence", "array<struct<doc_id: long, cosine: double, label: int>>")])
+    near = [("__places", "array<int>"), ("__cosines", "array<double>"), ("__square", "double"), ("__open", "boolean")]
+    searched = append(docs.select(*own, *keys, text.alias("__text")), [F.col("__text")], search, near).drop("__text")
+    # Texts without such words meet nothing; a number instead of their second key deals them out evenly.
+    dealt = searched.withColumn("__k2", F.when(F.col("__open"), F.col("__k2")).otherwise(F.monotonically_increasing_id()))
+    joined = dealt.join(rest, ["__k1", "__k2"], "left").select(*own, *[F.col(c) for c, _ in near[:3]], F.coalesce("__rest", F.lit(0.0)).alias("__rest"))
+    return append(joined, [F.col(c) for c in ("__places", "__cosines", "__square", "__rest")], finish, fields).select(*columns, "score", "evidence")

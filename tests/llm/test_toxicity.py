@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +71,31 @@ def test_odd_rows(spark, odd, none, planted):
     assert toxicity.score(odd, index).where("score is null or score < 0 or score > 1").count() == 0
     for few in (labels.where("false"), labels.where("toxic = 0")):
         assert {r["score"] for r in toxicity.score(odd, toxicity.fit(docs, few)).collect()} == {0.0}
+
+
+def test_cosines_are_over_whole_texts(spark):
+    """Every word counts, also rare ones, those of both classes and those of no example; with and without the join of rare words."""
+    words = [prose(60, i).split() + [f"only{i}", f"pair{i // 2}", f"seven{i // 7}"] for i in range(90)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id long, toxic int")
+    df = Counter(w for x in words for w in set(x))
+    idf = {w: np.log((1 + len(words)) / (1 + n)) + 1 for w, n in df.items()}
+    told = {}
+    for w in df:
+        (b, a), (n0, n1) = [[sum(w in words[i] for i in range(40) if (i % 3 == 0) == y) for y in (False, True)], [26, 14]]
+        chi2 = 40 * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * (a + b) * (40 - a - b)) if 0 < a + b < 40 else 0
+        told[w] = 1 + chi2 * np.log((a + 1) * (n0 + 2) / ((b + 1) * (n1 + 2))) ** 2
+    vectors = [{w: (1 + np.log(n)) * idf[w] * told[w] for w, n in Counter(x).items()} for x in words]
+    norm = [np.sqrt(sum(v * v for v in x.values())) for x in vectors]
+    made = []
+    for known in (toxicity.MAX_KNOWN, 10):
+        index = toxicity.fit(docs, labels, max_known=known)
+        assert (index.rare is None) == (known > 10) and {w.encode() for x in words[:40] for w in x} <= set(index.terms)
+        rows = {r["doc_id"]: r for r in toxicity.score(docs, index).collect()}
+        assert len(rows) == len(words)
+        for i, x in enumerate(vectors):
+            cosine = [sum(v * y.get(w, 0.0) for w, v in x.items()) / norm[i] / norm[j] for j, y in enumerate(vectors[:40])]
+            got = rows[i]["evidence"]
+            assert np.allclose([e["cosine"] for e in got], sorted(cosine, reverse=True)[:3]) and np.allclose([cosine[e["doc_id"]] for e in got], [e["cosine"] for e in got])
+        made.append([rows[i]["score"] for i in range(len(words))])
+    assert np.allclose(*made)
