@@ -232,16 +232,15 @@ def _merged(root: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the class's smallest id. Texts without words stay."""
+    """``docs`` with one row of each class: that of the class's smallest id. Texts without words all stay, also where ids are null or repeat."""
     found = classes(docs, id_col, text_col)
     first = found.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("k")).select("k.id", "k.node")
-    keep = first.unionByName(found.where(F.col("class_key").isNull()).select("id", "node").distinct()).select(
-        F.coalesce("id", F.lit(0)).alias("__id"), F.col("id").isNull().alias("__no_id"), F.coalesce("node", F.lit(b"")).alias("__node")
-    )
+    keep = first.select(F.coalesce("id", F.lit(0)).alias("__id"), F.col("id").isNull().alias("__no_id"), F.col("node").alias("__node"))
     text = normal(text_col)
     keyed = docs.withColumn("__t", text).select(
         *[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("__id"), F.col(f"`{id_col}`").isNull().alias("__no_id"),
         F.when(F.col("__t") != "", F.unhex(F.md5("__t"))).otherwise(F.lit(b"")).alias("__node"),
     )
     keys = ["__id", "__no_id", "__node"]
-    return keyed.join(keep, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    bare = docs.where(text == "")
+    return keyed.where(F.col("__node") != F.lit(b"")).join(keep, keys, "left_semi").dropDuplicates(keys).select(*docs.columns).unionByName(bare)

@@ -91,3 +91,9 @@ def test_skew_joins_do_not_expand_a_group(spark):
     rows = neardup.classes(docs).collect()
     assert {r["class_id"] for r in rows} == {0} and {r["copies"] for r in rows} == {300}
     assert neardup.deduplicate(spark.createDataFrame([(i, prose(60, 1), "en", "s", 1) for i in range(300)], DOC)).count() == 1
+
+
+def test_rows_without_words_all_stay(spark):
+    docs = spark.createDataFrame([(None, None), (None, ""), (None, ""), (3, " "), (3, " "), (4, "one word more"), (4, "one word more")], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in neardup.deduplicate(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, None), (None, ""), (None, ""), (3, " "), (3, " "), (4, "one word more")], key=repr)
