@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddrows.llm import chat, lm, mixing, neardup, packing, parsing, quality, suffixes, tokenizers_io, toxicity, warc
-from oddrows.llm.common import table
+from oddrows.llm import chat, lm, mixing, neardup, packing, parsing, periodic, quality, suffixes, tokenizers_io, toxicity, warc
+from oddrows.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,3 +141,31 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_lm_scores")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(table(spark, folder, "documents"), bpe_encoder(), VOCABULARY)
+
+
+def planted_period() -> Column:
+    """The text; one in ten by id repeats its words from some word on, as the query's contract says."""
+    words = F.regexp_extract_all(text_of(), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    at = lambda w: F.pmod(F.floor(h / 10), F.size(w))
+    period = lambda w: 1 + F.floor((F.size(w) - at(w)) / (3 + F.pmod(F.floor(h / 10), F.lit(8))))
+
+    def repeated(w: Column) -> Column:
+        a, p = at(w), period(w)
+        place = F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.element_at(w, (1 + F.when(i < a, i).otherwise(a + F.pmod(i - a, p))).cast("int")))
+        return F.array_join(place, " ")
+
+    # (A one-element array binds the words once.)
+    return F.when((h % 10 == 0) & (F.size(words) > 0), F.element_at(F.transform(F.array(words), repeated), 1)).otherwise(text_of())
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", planted_period().alias("text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("before"), (-r.period).alias("short"))))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    found = periodic.find_runs(docs).select("doc_id", "runs", "collapsed", best.alias("best"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.short")).alias("period"),
+        F.floor(F.col("best.length") * 1000 / -F.col("best.short")).alias("exponent_milli"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
