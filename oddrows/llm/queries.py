@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddrows.llm import chat, lm, mixing, neardup, packing, parsing, periodic, quality, suffixes, tokenizers_io, toxicity, warc
+from oddrows.llm import chat, lm, mixing, neardup, packing, parsing, periodic, prefixes, quality, suffixes, tokenizers_io, toxicity, warc
 from oddrows.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +169,59 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.short")).alias("period"),
         F.floor(F.col("best.length") * 1000 / -F.col("best.short")).alias("exponent_milli"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: SQL: the crc32 table from its rule, and the crc32 of a short ASCII string.
+CRC_TABLE = (
+    "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS crc_table "
+    "FROM range(256) r(i)"
+)
+
+
+def crc_sql(text: str) -> str:
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INT, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda x, y: xor(x >> 8, crc_table[(xor(x, y) & 255) + 1])), 4294967295)"
+
+
+TRIE_SQL = f"""
+WITH crc AS ({CRC_TABLE}),
+turns AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (
+    SELECT c, list(sha256(length(role) || ':' || role || text) ORDER BY pos) AS t,
+           list(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) ORDER BY pos) AS w, {crc_sql("c::VARCHAR")} % 4 AS h
+    FROM turns, crc GROUP BY c, crc_table
+),
+built AS (
+    SELECT a.c, list_concat(coalesce(b.t[:a.h], []), a.t[a.h + 1:]) AS t, list_concat(coalesce(b.w[:a.h], []), a.w[a.h + 1:]) AS w
+    FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 20
+),
+steps AS (
+    SELECT c, d, md5(array_to_string(t[:d], '')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(t[:d - 1], '')) END AS above,
+           CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words, d = len(t) AS ends
+    FROM (SELECT *, unnest(range(len(t) + 1)) AS d FROM built)
+),
+nodes AS (
+    SELECT d, node, any_value(above) AS above, min(c) AS c, count(*) AS n, any_value(words) AS words,
+           sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+    FROM steps GROUP BY d, node
+),
+kids AS (SELECT d - 1 AS d, above AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (d, node)),
+sums AS (
+    SELECT s.d, s.node, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n - 1) * n.words) AS saved
+    FROM full_nodes n JOIN steps s ON s.c = n.c AND s.d <= n.d GROUP BY s.d, s.node
+)
+SELECT n.c AS conv_id, n.d AS depth, p.c AS parent_conv_id, n.n AS n_convs, n.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s USING (d, node) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = n.above
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    sequences, _ = prefixes.encode(table(spark, folder, "conversations"))
+    nodes = prefixes.prefix_trie(prefixes.rebuilt(sequences))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
