@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddrows.llm import chat, lm, mixing, neardup, packing, parsing, periodic, prefixes, quality, suffixes, tokenizers_io, toxicity, warc
+from oddrows.llm import chat, countjoin, lm, mixing, neardup, packing, parsing, periodic, prefixes, quality, suffixes, tokenizers_io, toxicity, warc
 from oddrows.llm.common import table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,3 +225,28 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     sequences, _ = prefixes.encode(table(spark, folder, "conversations"))
     nodes = prefixes.prefix_trie(prefixes.rebuilt(sequences))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+JACCARD_SQL = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+),
+grams AS (
+    SELECT DISTINCT r, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS g
+    FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r AS a, r AS b FROM words UNION SELECT reach.a, steps.b FROM reach JOIN steps ON steps.a = reach.b)
+SELECT w.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(t.doc_id) AS component_id
+FROM words w LEFT JOIN sizes s USING (r) JOIN reach ON reach.a = w.r JOIN words t ON t.r = reach.b
+GROUP BY w.r, w.doc_id
+"""
+
+
+@query("op11_ngram_jaccard", JACCARD_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return countjoin.link_components(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
