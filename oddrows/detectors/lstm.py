@@ -20,7 +20,6 @@ from oddrows.operators.ordered import BUCKET, HALO, ordering, with_halo
 from oddrows.session import keep
 
 EPOCHS = 15
-SEARCH_EPOCHS = 6
 BLOCK_ROWS = 2048
 CHUNK = 1024
 SEQUENCE_SCHEMA = "start int, own int, ids binary, x binary"

@@ -41,6 +41,26 @@ class NeighbourGraph:
         take = F.least(F.col("w"), F.lit(k) - F.coalesce(before, F.lit(0)))
         return every.withColumn("take", take).filter(F.col("take") > 0).select("gid", "nbr", "distance", "take")
 
+    def lof_deviation(self, ks: Sequence[int]) -> list[float]:
+        """Deviation of the local outlier factors of all rows for each k, all of them in the same joins."""
+        ks = [max(1, min(k, self.rows - 1)) for k in ks]
+        w = self.points.select("gid", "w")
+        own = w.filter(F.col("w") > 1).select("gid", F.col("gid").alias("nbr"), F.lit(0.0).alias("distance"), (F.col("w") - 1).alias("w"), F.lit(0).alias("rank"))
+        other = self.edges.filter(F.col("rank") <= max(ks)).join(w.select(F.col("gid").alias("nbr"), "w"), "nbr")
+        every = other.select("gid", "nbr", "distance", "w", "rank").unionByName(own)
+        before = F.coalesce(F.sum("w").over(Window.partitionBy("gid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        takes = [F.greatest(F.lit(0), F.least(F.col("w"), F.lit(k) - F.col("before"))).alias(f"t{i}") for i, k in enumerate(ks)]
+        edges = keep(every.withColumn("before", before).filter(F.col("before") < max(ks)).select("gid", "nbr", "distance", *takes))
+        each = range(len(ks))
+        reach = edges.groupBy("gid").agg(*[F.max(F.when(F.col(f"t{i}") > 0, F.col("distance"))).alias(f"d{i}") for i in each]).withColumnRenamed("gid", "nbr")
+        reached = [F.sum(F.col(f"t{i}") * F.greatest(f"d{i}", "distance")) / F.sum(f"t{i}") for i in each]
+        density = keep(edges.join(reach, "nbr").groupBy("gid").agg(*[(F.lit(1.0) / (r + 1e-10)).alias(f"l{i}") for i, r in zip(each, reached)]))
+        around = edges.join(density.withColumnRenamed("gid", "nbr"), "nbr").groupBy("gid").agg(*[(F.sum(F.col(f"t{i}") * F.col(f"l{i}")) / F.sum(f"t{i}")).alias(f"a{i}") for i in each])
+        scores = around.join(density, "gid").join(w, "gid").select("w", *[(F.col(f"a{i}") / F.col(f"l{i}")).alias(f"s{i}") for i in each])
+        total = scores.agg(F.sum("w"), *[F.sum(F.col("w") * F.col(f"s{i}")) for i in each], *[F.sum(F.col("w") * F.col(f"s{i}") * F.col(f"s{i}")) for i in each]).first()
+        n, first, second = total[0] or 1, total[1: 1 + len(ks)], total[1 + len(ks):]
+        return [math.sqrt(max(0.0, (q or 0.0) / n - ((m or 0.0) / n) ** 2)) for m, q in zip(first, second)]
+
     def rows_with(self, scores: DataFrame) -> DataFrame:
         """Point scores back on the table's rows, joined on the vector."""
         vectors = F.array(*[quoted(f).cast("double") for f in self.features])

@@ -90,15 +90,23 @@ def score_rows(
 
 
 def block_sums(
-    blocks: DataFrame, measure: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, partitions: int
+    blocks: DataFrame, measure: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, partitions: int,
+    combine: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add,
 ) -> np.ndarray:
     """Sum of a fixed-size vector over all partitions.
 
     ``measure`` turns a partition into one vector. While there are many, FAN_IN of them at a time are added on the
     executors, level by level, so no task holds more than FAN_IN and at most DIRECT_PARTS reach the driver. They are
-    added in partition order: the result is repeatable.
+    added in partition order: the result is repeatable. ``combine`` may replace the addition; without any partition the
+    result is zero.
     """
 
+    def folded(vectors: list[bytes]) -> np.ndarray:
+        total = np.frombuffer(vectors[0]).copy() if vectors else np.zeros(size)
+        for v in vectors[1:]:
+            total = combine(total, np.frombuffer(v))
+        return total
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = measure(batches)
         pid = TaskContext.get().partitionId()
@@ -108,15 +116,10 @@ def block_sums(
 
     def add(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("pid").to_pylist(), table.column("v").to_pylist()))
-        total = np.zeros(size)
-        for _, v in rows:
-            total += np.frombuffer(v)
+        total = folded([v for _, v in rows])
         return pa.table({"pid": pa.array([rows[0][0] // FAN_IN], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
 
     while partitions > DIRECT_PARTS:
         parts = parts.groupBy(F.floor(F.col("pid") / FAN_IN)).applyInArrow(add, "pid int, v binary")
         partitions = math.ceil(partitions / FAN_IN)
-    total = np.zeros(size)
-    for row in sorted(parts.collect(), key=lambda r: r["pid"]):
-        total += np.frombuffer(bytes(row["v"]))
-    return total
+    return folded([bytes(row["v"]) for row in sorted(parts.collect(), key=lambda r: r["pid"])])

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from oddrows.detectors.autoencoder import autoencoder_scorer
 from oddrows.detectors.domain import domain_scores
-from oddrows.detectors.forest import forest_scorer
+from oddrows.detectors.forest import isolation_forest
 from oddrows.detectors.lstm import lstm_autoencoder, pack_sequences
 from oddrows.detectors.neighbours import NeighbourGraph
 from oddrows.detectors.ocsvm import svm_scorer
 from oddrows.detectors.registry import select_detectors
-from oddrows.detectors.search import LSTM_REACH, search, search_lstm
+from oddrows.detectors.search import LSTM_REACH, neighbours_needed, search
 from oddrows.functions import labels as L
 from oddrows.functions.schema import numeric_columns, quoted
 from oddrows.operators import ensemble as E
@@ -85,22 +85,22 @@ class Detection:
 
 
 def model_scores(
-    prepared: Prepared, key: str, names: Sequence[str], params: Mapping[str, dict], order_by: Sequence[str], sequence_blocks: DataFrame | None
+    prepared: Prepared, key: str, names: Sequence[str], params: Mapping[str, dict], order_by: Sequence[str], sequence_blocks: DataFrame | None,
+    blocks: DataFrame | None = None, graph: NeighbourGraph | None = None,
 ) -> list[DataFrame]:
     """Score tables (key, one column per detector). Row-wise detectors share one pass."""
     df, features, rows = prepared.df, prepared.features, prepared.rows
     scorers = {}
-    blocks = keep(pack_rows(df, features, total=rows)) if {"ocsvm", "autoencoder"} & set(names) else None
-    if "iforest" in names:
-        scorers["iforest"] = forest_scorer(df, key, features, rows, **params.get("iforest", {}))
     if "ocsvm" in names:
         scorers["ocsvm"] = svm_scorer(df, features, rows, blocks=blocks, **params.get("ocsvm", {}))
     if "autoencoder" in names:
         scorers["autoencoder"] = autoencoder_scorer(df, features, rows, blocks=blocks, **params.get("autoencoder", {}))
     parts = [score_rows(df, [key], features, scorers, rows)] if scorers else []
+    if "iforest" in names:
+        parts.append(isolation_forest(df, key, features, rows, **params.get("iforest", {})))
     near = {n: params.get(n, {}).get("k", 20) for n in ("lof", "knn_distance") if n in names}
     if near:  # one neighbour search at the larger k serves both
-        graph = NeighbourGraph(df, key, features, max(near.values()), rows)
+        graph = graph or NeighbourGraph(df, key, features, max(near.values()), rows)
         points = [graph.lof(k) if n == "lof" else graph.knn_distance(k) for n, k in near.items()]
         joined = points[0] if len(points) == 1 else points[0].join(points[1], "gid")
         parts.append(graph.rows_with(joined).select(key, *near))
@@ -156,15 +156,16 @@ def detect(
 
     chosen = dict(params or {})
     missing = [n for n in names if n not in chosen]
-    chosen.update(search(prepared.df, ROW, prepared.features, rows, [n for n in missing if n != "lstm"], seed=seed))
     sequence_blocks = None
     if "lstm" in names:
         reach = max(LSTM_REACH, chosen.get("lstm", {}).get("seq_len", 0) - 1)
         sequence_blocks = keep(pack_sequences(prepared.df, ROW, prepared.features, [ROW], reach, total=rows))
-        if "lstm" in missing:
-            chosen["lstm"] = search_lstm(sequence_blocks, rows, width, seed=seed)
+    blocks = keep(pack_rows(prepared.df, prepared.features, total=rows)) if {"ocsvm", "autoencoder"} & set(names) else None
+    nearest = neighbours_needed(names, rows, width, chosen, seed)
+    graph = NeighbourGraph(prepared.df, ROW, prepared.features, nearest, rows) if nearest else None
+    chosen.update(search(prepared.df, ROW, prepared.features, rows, missing, seed=seed, blocks=blocks, sequence_blocks=sequence_blocks, graph=graph).best)
 
-    parts = model_scores(prepared, ROW, names, chosen, [ROW], sequence_blocks)
+    parts = model_scores(prepared, ROW, names, chosen, [ROW], sequence_blocks, blocks, graph)
     cols = kept if domain_columns == "features" else [c for c in numeric_columns(base) if c != ROW]
     # Domain scores are computed under their own names so that no data column can clash.
     domain_input = base.select(ROW, *[quoted(c).alias(f"c{i}") for i, c in enumerate(cols)])

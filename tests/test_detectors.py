@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from oddrows.detectors import autoencoder, forest, lstm, ocsvm, search
-from oddrows.detectors.registry import select_detectors, train
+from oddrows.detectors.gradient import adam
+from oddrows.detectors.registry import DETECTORS, select_detectors, train
 from oddrows.operators.blocks import DIRECT_PARTS, block_sums, pack_rows
 
 
@@ -97,10 +98,57 @@ def test_short_table_is_one_window(spark):
 
 def test_trees_isolate_every_row():
     x = np.random.default_rng(1).normal(size=(64, 3))
-    feature, cut, left, right, path = forest.build_tree(x, np.random.default_rng(2))
-    assert (left[feature >= 0] > 0).all() and (path[feature < 0] > 0).all()
-    constant = forest.build_tree(np.ones((9, 2)), np.random.default_rng(2))
-    assert len(constant[0]) == 1 and constant[4][0] == pytest.approx(float(forest.average_path(9)))
+    tree = forest.build_tree(x)
+    inner = tree.feature >= 0
+    assert (tree.left[inner] > 0).all() and (tree.path[~inner] > 0).all()
+    assert (np.bincount(tree.place(x), minlength=len(inner))[~inner] > 0).all()
+    constant = forest.build_tree(np.ones((9, 2)))
+    assert len(constant.number) == 1 and constant.path[0] == pytest.approx(float(forest.average_path(9)))
+
+
+def plain_forest(x, ids, trees, psi, seed=42):
+    """The same forest grown in memory, one tree after the other."""
+    total = np.zeros(len(x))
+    for t in range(trees):
+        drawn = np.argsort(forest.order_of_rows(seed, t, ids), kind="stable")[:psi]
+        tree = forest.build_tree(x[drawn], seed, t)
+        total += tree.path[tree.place(x)]
+    return np.power(2.0, -total / (trees * forest.average_path(psi)))
+
+
+@pytest.mark.parametrize("share,cells", [(1.0, 1 << 23), (0.7, 1 << 23), (1.0, 450), (0.7, 450), (0.02, 90)])
+def test_forests_are_those_of_plain_trees_however_they_are_grown(spark, share, cells):
+    """Copied rows, a coarse and a constant column; tables that fit a task and tables that are cut near the root."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 4))
+    x[:, 2], x[:, 3] = np.round(x[:, 2]), 5.0
+    x[:300] = x[0]
+    df, names = frame(spark, x)
+    got = forest.isolation_forest(df.repartition(5), "id", names, n_estimators=12, max_samples=share, node_cells=cells).toPandas().sort_values("id")["iforest"].to_numpy()
+    assert np.allclose(got, plain_forest(x, np.arange(1500), 12, int(1500 * share)), rtol=1e-12)
+
+
+@pytest.mark.parametrize("rows,trees", [(7200, 10), (500_000, 3)])
+def test_every_drawn_row_is_used_at_any_size(spark, rows, trees):
+    """No pool and no cap: as many rows as asked for reach the leaves of each tree."""
+    df = spark.range(rows).selectExpr("id", "CAST(xxhash64(id) % 100000 AS DOUBLE) AS a", "CAST(id % 977 AS DOUBLE) AS b")
+    table = forest.pack_table(df, "id", ["a", "b"], rows)
+    specs = [forest.Spec(0, t, int(rows * 0.8)) for t in range(trees)]
+    limits = forest.sample_limits(table, specs, 42)
+    ids = np.arange(rows)
+    assert [int((forest.order_of_rows(42, s.tree, ids) <= limits[s]).sum()) for s in specs] == [int(rows * 0.8)] * trees
+    got = forest.isolation_forest(df, "id", ["a", "b"], rows, n_estimators=trees, max_samples=0.8, node_cells=200_000).toPandas().sort_values("id")["iforest"].to_numpy()
+    x = df.toPandas().sort_values("id")[["a", "b"]].to_numpy()
+    assert np.allclose(got, plain_forest(x, ids, trees, int(rows * 0.8)), rtol=1e-12)
+
+
+def test_forest_with_text_keys_and_few_rows(spark):
+    df = spark.createDataFrame([(f"k{i}", float(i == 7) * 9) for i in range(20)], "k string, a double")
+    got = {r["k"]: r["iforest"] for r in forest.isolation_forest(df, "k", ["a"], n_estimators=30).collect()}
+    assert max(got, key=got.get) == "k7" and len(got) == 20
+    one = forest.isolation_forest(df.limit(1), "k", ["a"], n_estimators=3).collect()
+    assert len(one) == 1 and np.isfinite(one[0]["iforest"])
+    assert forest.isolation_forest(df.limit(0), "k", ["a"], 0, n_estimators=3).count() == 0
 
 
 def test_svm_keeps_nu_share_outside():
@@ -120,15 +168,88 @@ def test_partial_sums_are_grouped_when_there_are_many(spark):
     assert block_sums(blocks, measure, 1, 300)[0] == 899 * 450
 
 
+def sequences(spark, df, names, rows):
+    return lstm.pack_sequences(df, "id", names, ["id"], search.LSTM_REACH, rows=64, total=rows)
+
+
 def test_search_uses_the_ranges(spark):
     x, _ = planted(150)
     df, names = frame(spark, x)
-    best = search.search(df, "id", names, 150, ["iforest", "ocsvm", "lof", "knn_distance", "autoencoder"])
+    found = search.search(df, "id", names, 150, list(DETECTORS), sequence_blocks=sequences(spark, df, names, 150))
+    best = found.best
     assert 50 <= best["iforest"]["n_estimators"] <= 200 and 0.5 <= best["iforest"]["max_samples"] <= 1.0
     assert 0.001 <= best["ocsvm"]["nu"] <= 0.2 and best["ocsvm"]["gamma"] in ("scale", "auto")
     assert 2 <= best["lof"]["k"] <= 35 and best["knn_distance"] == {"k": 12}
     assert 4 <= best["autoencoder"]["hidden_dim"] <= 8 and 1e-4 <= best["autoencoder"]["lr"] <= 1e-2
     assert len(search.candidates("lstm", 500, 3)) == 6 and search.candidates("lof", 2, 3) == [{"k": 2}]
+    rows = found.table(spark).collect()
+    assert len(rows) == 8 * 4 + 6 + 1 and sum(r["chosen"] for r in rows) == 6
+    for name in DETECTORS:
+        mine = [t for t in found.trials if t.name == name]
+        most = max(t.effort for t in mine)
+        finalists = [t for t in mine if t.effort == most] if name not in ("lof", "iforest") else mine
+        if len(finalists) > 1 and name != "iforest":
+            assert next(t for t in mine if t.chosen).value == max(t.value for t in finalists)
+    with pytest.raises(ValueError):
+        search.search(df, "id", names, 150, ["lstm"])
+
+
+def test_race_drops_the_worse_half():
+    trials = [search.Trial("x", i, {"v": v}) for i, v in enumerate([3, 9, 9, 1, float("nan"), 4])]
+    seen = []
+
+    def run(left, effort):
+        seen.append(([t.number for t in left], effort))
+        for t in left:
+            t.value, t.effort = t.params["v"] + (5 if t.number == 5 and effort > 1 else 0), effort
+
+    search.race(trials, (1, 2, 3), run)
+    assert seen == [([0, 1, 2, 3, 4, 5], 1), ([1, 2, 5], 2), ([1, 5], 3)] or seen[:2] == [([0, 1, 2, 3, 4, 5], 1), ([1, 2, 5], 2)]
+    assert [t.number for t in trials if t.chosen] == [1]
+
+
+def test_candidates_trained_together_are_those_trained_alone(spark):
+    """Each value is the loss on the whole table of the candidate trained by itself."""
+    x, _ = planted(300)
+    df, names = frame(spark, x)
+    found = search.search(df.repartition(3), "id", names, 300, ["autoencoder", "lstm"], sequence_blocks=sequences(spark, df, names, 300))
+    for t in found.trials:
+        if t.name == "autoencoder":
+            start, h = autoencoder.start_vector(4, t.params["hidden_dim"]), t.params["hidden_dim"]
+            both = lambda v: autoencoder.loss_and_gradient(x, v, h, x.size)  # noqa: B023, E731
+        else:
+            length, h = t.params["seq_len"], t.params["hidden_size"]
+            w, start = lstm.windows_of(x, length, 0, len(x)), lstm.start_vector(4, h)
+            both = lambda v: lstm.loss_and_gradient(w, v, h, w.size)  # noqa: B023, E731
+        _, loss = adam(start, lambda v: ((o := both(v))[0], o[1:]), t.effort, t.params["lr"])  # noqa: B023
+        assert t.value == pytest.approx(-loss, rel=1e-9)
+    assert {t.effort for t in found.trials if t.name == "autoencoder"} == {3, 6, 10}
+
+
+def test_values_of_forests_svms_and_neighbours_are_over_all_rows(spark):
+    x, _ = planted(300)
+    x[40:80] = x[40]  # copies
+    df, names = frame(spark, x)
+    found = search.search(df.repartition(3), "id", names, 300, ["iforest", "lof", "ocsvm"])
+    from oddrows.detectors.neighbours import lof
+    for t in found.trials:
+        if t.name == "iforest":
+            want = plain_forest(x, np.arange(300), t.effort, int(300 * t.params["max_samples"])).std()
+        elif t.name == "lof":
+            want = lof(df, "id", names, t.params["k"]).toPandas()["lof"].std(ddof=0)
+        else:
+            basis = ocsvm.fourier_basis(4, ocsvm.kernel_width(x.sum(), (x * x).sum(), x.size, 4, t.params["gamma"]))
+            solver, edges = ocsvm.steps(300, t.params["nu"]), []
+            asked = next(solver)
+            while len(edges) < t.effort:
+                edges.append(asked[0])
+                try:
+                    asked = solver.send(ocsvm.margin_sums(x, basis, *asked))
+                except StopIteration:
+                    break
+            want = (ocsvm.fourier(x, basis) @ edges[-1]).std()
+        assert t.value == pytest.approx(want, rel=1e-6)
+    assert max(t.effort for t in found.trials if t.name == "iforest") > 24
 
 
 def test_detector_choice():
