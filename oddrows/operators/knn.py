@@ -4,14 +4,15 @@
    all rows is a single point.
 2. Points are assigned to their nearest pivot (about sqrt(n) pivots, sampled by hash), and
    cells are cut into rings of bounded size by distance to the pivot, then by hash.
-3. A block's own matrix gives each point an upper bound on its k-th distance. The point
-   is sent only to blocks that the triangle inequality and the bisector planes cannot
-   rule out, so nothing is missed.
-4. Point packs meet blocks in an equi-join on the block id, each pair of matrices yields the
-   k best candidates per point, and a pruned top-k window merges them.
-
-No step holds more than one bounded block pair in memory, and no pair list of a group is
-ever emitted. Ties go to the point with the smaller id.
+3. A block's own matrix gives each point an upper bound on its k-th distance, and the block
+   names the blocks that the triangle inequality and the bisector planes cannot rule out, so
+   nothing is missed. Each named block sends it those of its points that are near enough.
+4. A block's task keeps the k best candidates of each of its points and streams what was sent,
+   the nearest cells first. As the k-th distances shrink, points skip cells out of their reach.
+
+So exactly k edges a point leave the tasks and none is shuffled, whatever the dimension. No step
+holds more than one bounded block pair and the block's k best in memory. Ties go to the point
+with the smaller id.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddrows.functions.schema import quoted
@@ -34,7 +35,6 @@ MIN_BLOCK = 256
 PIVOT_BYTES = 32 << 20  # what one broadcast of pivots may take
 MAX_PIVOTS = 4096
 RINGS = 31
-PACK_BYTES = 8 << 20
 
 
 @dataclass
@@ -127,12 +127,12 @@ def neighbour_edges(points: DataFrame, k: int, width: int, *, block: int | None
     layout = _layout(assigned, picked, k, block)
     shared = spark.sparkContext.broadcast(vars(layout))  # at most MAX_PIVOTS x (vector + RINGS) numbers, plus their distances
     blocks = keep(_pack_blocks(assigned, shared, k, width, task_partitions(spark, math.ceil(n / block) * 4)))
-    packs = _query_packs(blocks, shared, width)
     parts = task_partitions(spark, math.ceil(n / block) * 4)
-    pairs = packs.repartition(parts, "target").join(blocks.select(F.col("block").alias("target"), F.col("ids").alias("s_ids"), F.col("x").alias("s_x")), "target")
-    partial = _pair_edges(pairs, k, width)
-    best = Window.partitionBy("gid").orderBy("distance", "nbr")
-    return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    asked = _asked(blocks, shared, width)
+    sent = asked.repartition(parts, "target").join(blocks.select(F.col("block").alias("target"), F.col("cell").alias("s_cell"), F.col("ids").alias("s_ids"), F.col("x").alias("s_x")), "target")
+    sent = _sent(sent, shared, width)
+    own = blocks.select(F.col("block").alias("home"), F.lit(-1.0).alias("far"), F.lit(-1).cast("long").alias("target"), "cell", "ids", "x")
+    return _streamed(own.unionByName(sent), shared, k, width, parts)
 
 
 def _pivots(points: DataFrame, n: int, wanted: int, limit: int) -> np.ndarray:
@@ -233,65 +233,118 @@ def _pack_blocks(assigned: DataFrame, shared, k: int, width: int, parts: int) ->
     return placed.repartition(parts, "block").groupBy("block").applyInArrow(pack, "block long, cell int, ids binary, x binary, bound binary")
 
 
-def _query_packs(blocks: DataFrame, shared, width: int) -> DataFrame:
-    """(target, q_ids, q_x): the points of each block that may have a neighbour in the target."""
+def _asked(blocks: DataFrame, shared, width: int) -> DataFrame:
+    """(target, home, h_cell, reach): blocks that may hold neighbours of a block's points. ``reach``: how far from the home
+    cell's pivot such a neighbour can lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = Layout(**shared.value)
         for batch in batches:
-            for i in range(batch.num_rows):
-                own = batch.column(1)[i].as_py()
-                ids = np.frombuffer(batch.column(2)[i].as_py(), dtype=np.int64)
-                x = np.frombuffer(batch.column(3)[i].as_py()).reshape(-1, width)
-                bound = np.frombuffer(batch.column(4)[i].as_py())
-                yield from packs(layout, own, ids, x, bound)
-
-    def packs(layout: Layout, own: int, ids: np.ndarray, x: np.ndarray, bound: np.ndarray) -> Iterator[pa.RecordBatch]:
-        near2 = squared(x, layout.pivots)
+            for block, own, _, x, bound in zip(*[c.to_pylist() for c in batch.columns]):
+                found = list(targets(layout, block, own, np.frombuffer(x).reshape(-1, width), np.frombuffer(bound)))
+                for at in range(0, len(found), 4096):
+                    part = found[at: at + 4096]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([t for t, _ in part], pa.int64()), pa.array([block] * len(part), pa.int64()), pa.array([own] * len(part), pa.int32()),
+                         pa.array([r for _, r in part], pa.float64())], names=["target", "home", "h_cell", "reach"])
+
+    def targets(layout: Layout, block: int, own: int, x: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, float]]:
         fuzz = np.sqrt(slack(x, layout.pivots))
-        out: tuple[list, list, list] = ([], [], [])
-        held = 0
+        wide = bound + fuzz
+        to_own = distances(x, layout.pivots[own])
         for c in np.flatnonzero(np.isfinite(layout.low)):
-            near = np.sqrt(near2[:, c])
-            wide = bound + fuzz
-            hit = (near - wide <= layout.high[c]) & (near + wide >= layout.low[c])
-            gap = layout.between[own, c]
-            if gap > 0:  # points of cell c lie beyond the plane halfway to its pivot
-                plane = (near2[:, c] - near2[:, own]) / (2.0 * gap)
-                hit &= plane <= wide + (fuzz * fuzz) / gap
-            if not hit.any():
-                continue
-            rows = np.flatnonzero(hit)
-            for target, mask in layout.targets(c, near[rows], wide[rows]):
-                at = rows[mask]
-                out[0].append(target)
-                out[1].append(ids[at].tobytes())
-                out[2].append(x[at].tobytes())
-                held += len(out[2][-1])
-                if held > PACK_BYTES:
-                    yield batch_of(out)
-                    out, held = ([], [], []), 0
-        if out[0]:
-            yield batch_of(out)
-
-    def batch_of(out: tuple[list, list, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["target", "q_ids", "q_x"])
-
-    return blocks.mapInArrow(run, "target long, q_ids binary, q_x binary")
-
-
-def _pair_edges(pairs: DataFrame, k: int, width: int) -> DataFrame:
+            near = distances(x, layout.pivots[c])
+            rows = np.flatnonzero(in_reach(layout, own, c, near, to_own, wide, fuzz))
+            if len(rows):
+                for target, mask in layout.targets(c, near[rows], wide[rows]):
+                    if target != block:
+                        at = rows[mask]
+                        yield target, float((to_own[at] + wide[at] + fuzz[at]).max())
+
+    return blocks.select("block", "cell", "ids", "x", "bound").mapInArrow(run, "target long, home long, h_cell int, reach double")
+
+
+def distances(x: np.ndarray, point: np.ndarray) -> np.ndarray:
+    gap = x - point
+    return np.sqrt((gap * gap).sum(1))
+
+
+def in_reach(layout: Layout, own: int, c: int, near: np.ndarray, to_own: np.ndarray, radius: np.ndarray, fuzz: np.ndarray) -> np.ndarray:
+    """Which points of cell ``own`` may have a neighbour within ``radius`` in cell ``c``, by their distances to both pivots."""
+    hit = (near - radius <= layout.high[c]) & (near + radius >= layout.low[c])
+    gap = layout.between[own, c]
+    if gap > 0:  # points of cell c lie beyond the plane halfway to its pivot
+        hit &= (near * near - to_own * to_own) / (2.0 * gap) <= radius + (fuzz * fuzz) / gap
+    return hit
+
+
+def _sent(pairs: DataFrame, shared, width: int) -> DataFrame:
+    """(home, far, target, cell, ids, x): the points of each asked block that lie within the home's reach."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout = Layout(**shared.value)
+        for batch in batches:
+            for target, home, own, reach, cell, ids, x in zip(*[c.to_pylist() for c in batch.columns]):
+                m = np.frombuffer(x).reshape(-1, width)
+                near = np.flatnonzero(distances(m, layout.pivots[own]) <= reach)
+                if len(near):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([home], pa.int64()), pa.array([float(layout.between[own, cell])]), pa.array([target], pa.int64()), pa.array([cell], pa.int32()),
+                         pa.array([np.frombuffer(ids, np.int64)[near].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(m[near]).tobytes()], pa.binary())],
+                        names=["home", "far", "target", "cell", "ids", "x"])
+
+    return pairs.select("target", "home", "h_cell", "reach", "s_cell", "s_ids", "s_x").mapInArrow(run, "home long, far double, target long, cell int, ids binary, x binary")
+
+
+class Nearest:
+    """The k best candidates so far of each point of a block, by distance, then id."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k = ids, x, k
+        self.distance, self.neighbour = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, rows: np.ndarray, s_ids: np.ndarray, s: np.ndarray) -> None:
+        for at in range(0, len(rows), 1024):
+            part = rows[at: at + 1024]
+            qi, si, d = nearest_in_block(self.ids[part], self.x[part], s_ids, s, self.k)
+            held = np.repeat(np.arange(len(part)), self.k)
+            row = np.concatenate([held, qi])
+            distance, nbr = np.concatenate([self.distance[part].ravel(), d]), np.concatenate([self.neighbour[part].ravel(), s_ids[si]])
+            order = np.lexsort((nbr, distance, row))
+            row = row[order]
+            best = order[np.arange(len(row)) - np.searchsorted(row, np.arange(len(part)))[row] < self.k]
+            self.distance[part], self.neighbour[part] = distance[best].reshape(-1, self.k), nbr[best].reshape(-1, self.k)
+
+    def edges(self) -> Iterator[pa.RecordBatch]:
+        step = max(1, 100_000 // self.k)
+        for at in range(0, len(self.ids), step):
+            d = self.distance[at: at + step]
+            real = np.isfinite(d).ravel()
+            gid, rank = np.repeat(self.ids[at: at + step], self.k), np.tile(np.arange(1, self.k + 1, dtype=np.int32), len(d))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gid[real]), pa.array(self.neighbour[at: at + step].ravel()[real]), pa.array(d.ravel()[real]), pa.array(rank[real])],
+                names=["gid", "nbr", "distance", "rank"])
+
+
+def _streamed(rows: DataFrame, shared, k: int, width: int, parts: int) -> DataFrame:
+    ordered = rows.repartition(parts, "home").sortWithinPartitions("home", "far", "target")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout = Layout(**shared.value)
+        now = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                qid = np.frombuffer(batch.column(0)[i].as_py(), dtype=np.int64)
-                q = np.frombuffer(batch.column(1)[i].as_py()).reshape(-1, width)
-                sid = np.frombuffer(batch.column(2)[i].as_py(), dtype=np.int64)
-                s = np.frombuffer(batch.column(3)[i].as_py()).reshape(-1, width)
-                for at in range(0, len(qid), 1024):
-                    qi, si, d = nearest_in_block(qid[at: at + 1024], q[at: at + 1024], sid, s, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[at: at + 1024][qi]), pa.array(sid[si]), pa.array(d)],
-                                                     names=["gid", "nbr", "distance"])
-
-    return pairs.select("q_ids", "q_x", "s_ids", "s_x").mapInArrow(run, "gid long, nbr long, distance double")
+            for home, far, _, cell, ids, x in zip(*[c.to_pylist() for c in batch.columns]):
+                s_ids, s = np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, width)
+                if far < 0:  # the block itself comes first
+                    if now is not None:
+                        yield from now.edges()
+                    now, own = Nearest(s_ids, s, k), cell
+                    fuzz, to_own = np.sqrt(slack(s, layout.pivots)), distances(s, layout.pivots[cell])
+                    now.meet(np.arange(len(s_ids)), s_ids, s)
+                else:
+                    near = distances(now.x, layout.pivots[cell])
+                    now.meet(np.flatnonzero(in_reach(layout, own, cell, near, to_own, now.distance[:, -1] + fuzz, fuzz)), s_ids, s)
+        if now is not None:
+            yield from now.edges()
+
+    return ordered.mapInArrow(run, "gid long, nbr long, distance double, rank int")

@@ -74,3 +74,38 @@ def test_row_edges_with_copies(spark):
     got = nearest_rows(df, "id", names, 6, block=30, pivots=6).toPandas().sort_values(["id", "rank"])
     assert np.allclose(got["distance"].to_numpy().reshape(-1, 6), np.sort(brute(x), axis=1)[:, :6])
     assert (got["id"] != got["nbr"]).all()
+
+
+@pytest.mark.parametrize("kind", ["clusters", "copies", "far_offset"])
+def test_edges_are_k_a_point_and_are_not_shuffled(spark, kind):
+    """Also in many dimensions, where nearly every block meets every other."""
+    x = cloud(kind)
+    wide = np.column_stack([x, np.random.default_rng(1).normal(size=(len(x), 37)) * (0 if kind == "copies" else 1)])
+    df, names = frame(spark, wide)
+    points = distinct_points(df, "id", names)
+    n = points.count()
+    edges = neighbour_edges(points, 6, wide.shape[1], block=16, pivots=9)
+    assert edges._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")  # nothing follows the tasks that keep the best
+    got = edges.toPandas().sort_values(["gid", "rank"])
+    assert len(got) == 6 * n and (got["rank"].to_numpy().reshape(-1, 6) == np.arange(1, 7)).all()
+    ids = points.select("gid").toPandas()["gid"].sort_values().to_numpy()
+    d = brute(wide[ids])
+    assert np.allclose(got["distance"].to_numpy().reshape(-1, 6), np.sort(d, axis=1)[:, :6], rtol=1e-9, atol=1e-9)
+
+
+def test_cells_out_of_reach_are_skipped(spark, monkeypatch):
+    """The best distances so far decide which points still meet a cell."""
+    from oddrows.operators import knn
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.05, size=(60, 2)) for c in ((0, 0), (50, 0), (0, 50), (50, 50))])
+    df, names = frame(spark, x)
+    points = distinct_points(df, "id", names)
+    blocks = points.count() // 20
+    seen = []
+    real = knn._streamed
+    monkeypatch.setattr(knn, "_streamed", lambda rows, *a: (seen.append(rows), real(rows, *a))[1])
+    edges = neighbour_edges(points, 4, 2, block=20, pivots=12)
+    assert edges.count() == 4 * len(x)
+    sent = seen[0].filter("far >= 0").count()
+    assert sent < blocks * (blocks - 1) / 2  # far from all pairs of blocks
