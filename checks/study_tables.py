@@ -346,23 +346,19 @@ def lodo_inputs(spark, d):
         study.DatasetSpec("part", part, ("p_partkey",)),
         study.DatasetSpec("supplier", table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("n"), (F.col("s_acctbal") > 9000).cast("int").alias("ground_truth")), ("s_suppkey",)),
     ]
-    summary = spark.createDataFrame(
-        [(n, s, 1000, 50, f, 0.8, 0.4) for n, s, f in [("customer", "iforest", 0.5), ("customer", "ensemble", 0.4), ("part", "ensemble", 0.6), ("supplier", "iforest", 0.7)]],
-        "dataset string, score_source string, rows long, positive_count long, f1 double, roc_auc double, pr_auc double")
-    return specs, summary
+    return specs
 
 
 @query("m7_leave_one_dataset_out")
 def _(spark, d):
-    specs, summary = lodo_inputs(spark, d)
-    return study.leave_one_out(spark, specs, summary, detectors=["iforest"], params=GIVEN)
+    """Winners come from the runs on the other data sets."""
+    return study.leave_one_out(spark, lodo_inputs(spark, d), detectors=["iforest", "lof"], params=GIVEN)
 
 
 @query("m6_profile_builder")
 def _(spark, d):
     from oddrows.plans.detect import detect
-    _, summary = lodo_inputs(spark, d)
-    found = detect(customers(spark, d), ["c_custkey"], label="ground_truth", detectors=["iforest", "ocsvm"], params=GIVEN)
-    p = study.dataset_profiles(spark, {"customer": found}, summary)[0]
-    return spark.createDataFrame([(p["dataset"], p["sample_count"], p["feature_count"], p["selected_source"], p["feature_vector"])],
+    found = {s.label: detect(s.source, list(s.key), label="ground_truth", detectors=["iforest", "ocsvm"], params=GIVEN) for s in lodo_inputs(spark, d)}
+    made = study.dataset_profiles(spark, found, study.measured_summary(spark, found))
+    return spark.createDataFrame([(p["dataset"], p["sample_count"], p["feature_count"], p["selected_source"], p["feature_vector"]) for p in made],
                                  "dataset string, sample_count long, feature_count int, selected_source string, feature_vector array<double>")
