@@ -59,6 +59,15 @@ def sql_hash(seed: int | str, key: str, start: int = 1) -> str:
     return f"CAST(CAST(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), {start}, 13)) AS BIGINT) AS DOUBLE)"
 
 
+def block_sql(n: str, k: str, blocks: int, seed: int) -> str:
+    """SQL: (b, e), the first and the next position after each of ``blocks`` runs that hold ``k`` of ``n`` rows."""
+    number = f"CAST(('0x' || substr(md5('{seed}:block:' || i), 1, 13)) AS HUGEINT)"
+    return f"""(SELECT cut + before AS b, cut + before + size AS e FROM (
+  SELECT cut, {k} // {blocks} + CASE WHEN j < {k} % {blocks} THEN 1 ELSE 0 END AS size, j * ({k} // {blocks}) + least(j, {k} % {blocks}) AS before
+  FROM (SELECT CAST({number} * ({n} - {k} + 1) // 4503599627370496 AS BIGINT) AS cut, row_number() OVER (ORDER BY {number} * ({n} - {k} + 1) // 4503599627370496, i) - 1 AS j
+        FROM range({blocks}) r(i))))"""
+
+
 def load_all() -> None:
     from checks import (  # noqa: F401
         evaluate, explore, learn, ordered_work, perturb, prepare, score, study_tables,

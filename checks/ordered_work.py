@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import out, query, sql_hash, table
+from checks import block_sql, out, query, sql_hash, table
 from oddrows.functions.hashing import hash52
 from oddrows.operators import joins, ordered, sampling
 
@@ -62,7 +62,9 @@ def _(spark, d):
     return sampling.seeded_pick(o, ["o_orderkey"], sampling.injected_row_count(o.count(), 0.1), 42)
 
 
-@query("w10_contiguous_blocks")
+@query("w10_contiguous_blocks", f"""
+SELECT event_id, ts, true AS picked FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events) x
+JOIN {block_sql('(SELECT count(*) FROM events)', '100', 3, 42)} r ON i >= b AND i < e""")
 def _(spark, d):
     e = table(spark, d, "events").select("event_id", "ts")
     return sampling.contiguous_blocks(e, TS, ID, 100, 3, 42).filter("picked")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import out, query, rounded, sql_hash, table
+from checks import block_sql, out, query, rounded, sql_hash, table
 from oddrows.operators import inject as inj
 from oddrows.operators import sampling
 
@@ -90,7 +90,9 @@ def _(spark, d):
     return run(spark, d, "sign_flip")
 
 
-@query("i6_temporal_block")
+@query("i6_temporal_block", f"""WITH {hit_sql(0.1)}, y AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM {BASE_SQL}),
+z AS (SELECT y.*, CAST(r.b IS NOT NULL AS INT) AS hit FROM y LEFT JOIN {block_sql('(SELECT count(*) FROM events)', '(SELECT CAST(k AS BIGINT) FROM n)', 3, 42)} r ON i >= r.b AND i < r.e)
+SELECT event_id, hit AS y_true, round(a + hit * 4 * sa, 6) AS a, round(b + hit * 4 * sb, 6) AS b, event_type FROM z, s""")
 def _(spark, d):
     return run(spark, d, "temporal_block", block_count=3)
 

@@ -6,13 +6,14 @@ exact order statistic, so the pick is a plain filter: no sort, no shuffle, no ro
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddrows.functions.hashing import hash52
+from oddrows.functions.hashing import HEX_DIGITS, hash52
 from oddrows.functions.schema import quoted
 from oddrows.operators.ordered import with_row_index
 from oddrows.operators.ranks import order_statistics
@@ -55,11 +56,16 @@ def seeded_pick(df: DataFrame, key: list[str], k: int, seed: int = 42) -> DataFr
 
 
 def block_ranges(n: int, k: int, blocks: int, seed: int) -> list[tuple[int, int]]:
-    """[start, end) positions of k rows in non-overlapping runs placed at random."""
+    """[start, end) positions of k rows in non-overlapping runs placed at random.
+
+    The places come from md5 numbers of the seed and the block's number, so SQL can repeat them: each is a place among the
+    rows that no block takes, and in their order the blocks push the rows after them on.
+    """
     blocks = min(max(1, int(blocks)), k)
     sizes = [k // blocks + (1 if i < k % blocks else 0) for i in range(blocks)]
     free = max(0, n - k)
-    cuts = np.sort(np.random.default_rng(seed).integers(0, free + 1, size=blocks))
+    drawn = [int(hashlib.md5(f"{seed}:block:{i}".encode()).hexdigest()[:HEX_DIGITS], 16) for i in range(blocks)]
+    cuts = sorted(number * (free + 1) >> 4 * HEX_DIGITS for number in drawn)
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     return [(int(c + o), int(c + o + s)) for c, o, s in zip(cuts, offsets, sizes)]
 
