@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from oddrows.detectors.gradient import adam, uniform_start, unpack
+from oddrows.detectors.gradient import Adam, adam, uniform_start, unpack
 from oddrows.functions.schema import quoted
 from oddrows.operators.blocks import batch_matrix, block_sums, task_partitions
 from oddrows.operators.ordered import BUCKET, HALO, ordering, with_halo
@@ -210,10 +210,12 @@ def score_windows(blocks: DataFrame, width: int, length: int, errors, key: str,
 def lstm_autoencoder(
     df: DataFrame, key: str, features: Sequence[str], order_by: Sequence[str], rows: int | None = None, *, seq_len: int | None = None,
     hidden_size: int = 16, lr: float = 1e-3, epochs: int = EPOCHS, name: str = "lstm", blocks: DataFrame | None = None,
+    state: Adam | None = None,
 ) -> DataFrame:
     """(key, score): reconstruction error of the windows over each row, averaged.
 
-    ``blocks`` may be sequence blocks already packed with a reach of at least ``seq_len - 1``.
+    ``blocks`` may be sequence blocks already packed with a reach of at least ``seq_len - 1``, and ``state`` a training of
+    these parameters to go on with, as the search leaves it.
     """
     rows = df.count() if rows is None else rows
     width = len(features)
@@ -233,7 +235,7 @@ def lstm_autoencoder(
         total = block_sums(blocks, run, len(vector) + 1, partitions)
         return float(total[0]), total[1:]
 
-    vector, _ = adam(start_vector(width, hidden_size), gradient, epochs, lr)
+    vector, _ = adam(start_vector(width, hidden_size), gradient, epochs, lr, state)
     return score_windows(blocks, width, length, lambda w: window_errors(w, vector, hidden_size), key, name)
 
 

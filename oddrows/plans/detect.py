@@ -86,15 +86,15 @@ class Detection:
 
 def model_scores(
     prepared: Prepared, key: str, names: Sequence[str], params: Mapping[str, dict], order_by: Sequence[str], sequence_blocks: DataFrame | None,
-    blocks: DataFrame | None = None, graph: NeighbourGraph | None = None,
+    blocks: DataFrame | None = None, graph: NeighbourGraph | None = None, states: Mapping[str, object] | None = None,
 ) -> list[DataFrame]:
-    """Score tables (key, one column per detector). Row-wise detectors share one pass."""
+    """Score tables (key, one column per detector). Row-wise detectors share one pass; trainings of ``states`` go on."""
     df, features, rows = prepared.df, prepared.features, prepared.rows
-    scorers = {}
+    scorers, states = {}, states or {}
     if "ocsvm" in names:
-        scorers["ocsvm"] = svm_scorer(df, features, rows, blocks=blocks, **params.get("ocsvm", {}))
+        scorers["ocsvm"] = svm_scorer(df, features, rows, blocks=blocks, state=states.get("ocsvm"), **params.get("ocsvm", {}))
     if "autoencoder" in names:
-        scorers["autoencoder"] = autoencoder_scorer(df, features, rows, blocks=blocks, **params.get("autoencoder", {}))
+        scorers["autoencoder"] = autoencoder_scorer(df, features, rows, blocks=blocks, state=states.get("autoencoder"), **params.get("autoencoder", {}))
     parts = [score_rows(df, [key], features, scorers, rows)] if scorers else []
     if "iforest" in names:
         parts.append(isolation_forest(df, key, features, rows, **params.get("iforest", {})))
@@ -105,7 +105,7 @@ def model_scores(
         joined = points[0] if len(points) == 1 else points[0].join(points[1], "gid")
         parts.append(graph.rows_with(joined).select(key, *near))
     if "lstm" in names:
-        parts.append(lstm_autoencoder(df, key, features, order_by, rows, blocks=sequence_blocks, **params.get("lstm", {})))
+        parts.append(lstm_autoencoder(df, key, features, order_by, rows, blocks=sequence_blocks, state=states.get("lstm"), **params.get("lstm", {})))
     return parts
 
 
@@ -163,9 +163,10 @@ def detect(
     blocks = keep(pack_rows(prepared.df, prepared.features, total=rows)) if {"ocsvm", "autoencoder"} & set(names) else None
     nearest = neighbours_needed(names, rows, width, chosen, seed)
     graph = NeighbourGraph(prepared.df, ROW, prepared.features, nearest, rows) if nearest else None
-    chosen.update(search(prepared.df, ROW, prepared.features, rows, missing, seed=seed, blocks=blocks, sequence_blocks=sequence_blocks, graph=graph).best)
+    searched = search(prepared.df, ROW, prepared.features, rows, missing, seed=seed, blocks=blocks, sequence_blocks=sequence_blocks, graph=graph)
+    chosen.update(searched.best)
 
-    parts = model_scores(prepared, ROW, names, chosen, [ROW], sequence_blocks, blocks, graph)
+    parts = model_scores(prepared, ROW, names, chosen, [ROW], sequence_blocks, blocks, graph, searched.states)
     cols = kept if domain_columns == "features" else [c for c in numeric_columns(base) if c != ROW]
     # Domain scores are computed under their own names so that no data column can clash.
     domain_input = base.select(ROW, *[quoted(c).alias(f"c{i}") for i, c in enumerate(cols)])

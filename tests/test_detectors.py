@@ -226,6 +226,19 @@ def test_candidates_trained_together_are_those_trained_alone(spark):
     assert {t.effort for t in found.trials if t.name == "autoencoder"} == {3, 6, 10}
 
 
+def test_a_search_s_training_goes_on_to_the_same_end(spark):
+    x, _ = planted(200)
+    df, names = frame(spark, x)
+    blocks = sequences(spark, df, names, 200)
+    found = search.search(df, "id", names, 200, ["ocsvm", "autoencoder", "lstm"], sequence_blocks=blocks)
+    assert set(found.states) == {"ocsvm", "autoencoder", "lstm"}
+    for name, run in (("ocsvm", ocsvm.svm_scorer), ("autoencoder", autoencoder.autoencoder_scorer)):
+        anew, on = run(df, names, 200, **found.best[name])(x), run(df, names, 200, state=found.states[name], **found.best[name])(x)
+        assert np.allclose(anew, on, rtol=1e-9)
+    scored = [lstm.lstm_autoencoder(df, "id", names, ["id"], 200, blocks=blocks, state=s, **found.best["lstm"]).toPandas().sort_values("id")["lstm"] for s in (None, found.states["lstm"])]
+    assert np.allclose(*scored, rtol=1e-9)
+
+
 def test_values_of_forests_svms_and_neighbours_are_over_all_rows(spark):
     x, _ = planted(300)
     x[40:80] = x[40]  # copies
