@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddrows.functions.schema import categorical_columns, number, numeric_columns, quoted
+from oddrows.operators.joins import value_lookup
 from oddrows.operators.ordered import average_ranks, bucketize
 from oddrows.operators.profile import sample_kurtosis, sample_skewness
 from oddrows.operators.ranks import quantiles
 from oddrows.operators.sampling import seeded_pick
-from oddrows.session import keep
+from oddrows.session import keep, materialize
 
+ROW = "__row"
 SCATTER_POINTS = 2800
 HISTOGRAM_BINS = 22
 CATEGORICAL_TOP = 10
@@ -193,7 +195,9 @@ def pearson_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def _matrix(df: DataFrame, sources: list[str], names: list[str], label: str) -> DataFrame:
     pairs = [(i, j) for i in range(len(names)) for j in range(len(names))]
-    aggs = [F.corr(quoted(sources[i]), quoted(sources[j])).alias(f"r{i}_{j}") for i, j in pairs if i < j]
+    # (Not ``corr``: it divides by zero, which is an error in ANSI mode, where a column is constant.)
+    spread = [F.stddev_pop(quoted(c)) for c in sources]
+    aggs = [(F.covar_pop(quoted(sources[i]), quoted(sources[j])) / F.nullif(spread[i] * spread[j], F.lit(0.0))).alias(f"r{i}_{j}") for i, j in pairs if i < j]
     aggs += [F.max(quoted(c)).alias(f"x{i}") for i, c in enumerate(sources)]
     aggs += [F.min(quoted(c)).alias(f"n{i}") for i, c in enumerate(sources)]
 
@@ -212,23 +216,26 @@ def _matrix(df: DataFrame, sources: list[str], names: list[str], label: str) ->
 def spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(a, b, spearman): Pearson on average ranks.
 
-    Ranks are computed per distinct value and joined back on the value; adaptive execution
-    broadcasts a short rank list and splits a hot value of the row side.
+    Ranks are computed per distinct value. All columns look them up at once: the table becomes (row, column, value) cells,
+    one shuffle brings them to their ranks (frequent values find theirs map-side) and one brings the ranks back to rows.
     """
     cols = cols or top_variance_columns(df)
-    work = complete_rows(df, cols)
-    ranks = keep(average_ranks(work, {c: quoted(c) for c in cols}))
-    for i, c in enumerate(cols):
-        one = ranks.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("avg_rank").alias(f"__r{i}"))
-        work = work.join(one, c)
-    return _matrix(work, [f"__r{i}" for i in range(len(cols))], cols, "spearman")
+    work = materialize(complete_rows(df, cols).withColumn(ROW, F.monotonically_increasing_id()))
+    ranks = keep(average_ranks(work, {c: quoted(c) for c in cols}).select("column", F.col("value").alias("__value"), "n", "avg_rank"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), (quoted(c) + F.lit(0.0)).alias("__value")) for c in cols])
+    found = value_lookup(work.select(ROW, F.inline(cells)), ranks, ["column", "__value"], "n", work.count())
+    names = [f"__r{i}" for i in range(len(cols))]
+    ranked = found.groupBy(ROW).agg(*[F.max(F.when(F.col("column") == c, F.col("avg_rank"))).alias(n) for c, n in zip(cols, names)])
+    return _matrix(ranked, names, cols, "spearman")
 
 
-def top_correlations(df: DataFrame, cols: list[str] | None = None, limit: int = TOP_PAIRS) -> DataFrame:
-    """Strongest pairs by absolute Pearson, with Spearman beside it."""
+def top_correlations(
+    df: DataFrame, cols: list[str] | None = None, limit: int = TOP_PAIRS, *, pearson: DataFrame | None = None, spearman: DataFrame | None = None
+) -> DataFrame:
+    """Strongest pairs by absolute Pearson, with Spearman beside it; matrices already made may be given."""
     cols = cols or top_variance_columns(df)
     order = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
-    both = pearson_matrix(df, cols).join(spearman_matrix(df, cols), ["a", "b"])
+    both = (pearson_matrix(df, cols) if pearson is None else pearson).join(spearman_matrix(df, cols) if spearman is None else spearman, ["a", "b"])
     upper = both.filter(order[F.col("a")] < order[F.col("b")])
     return (
         upper.withColumn("abs_pearson", F.abs("pearson"))
@@ -345,9 +352,9 @@ def eda_report(df: DataFrame, key: list[str], *, max_rows: int | None = None) ->
     report["warnings"] = quality_warnings(df, report["columns"], report.get("numeric_summary"), report.get("categorical_summary"), report["duplicates"])
     if len(numeric_columns(df)) >= 2:
         cols = top_variance_columns(df)
-        report["pearson"] = pearson_matrix(df, cols)
-        report["spearman"] = spearman_matrix(df, cols)
-        report["top_correlations"] = top_correlations(df, cols)
+        report["pearson"] = keep(pearson_matrix(df, cols))
+        report["spearman"] = keep(spearman_matrix(df, cols))
+        report["top_correlations"] = top_correlations(df, cols, pearson=report["pearson"], spearman=report["spearman"])
         best = report["top_correlations"].first()
         if best is not None:
             report["scatter"] = scatter_sample(df, key, best["a"], best["b"])

@@ -10,14 +10,40 @@ from pyspark.sql import functions as F
 
 from oddrows.functions.schema import quoted
 from oddrows.operators.metrics import percentile_counts
+from oddrows.session import keep
 
 MAX_PROFILES = 10_000
+HOT_SHARE = 1e-3
+SALTS = 4096
+
+
+def value_lookup(rows: DataFrame, values: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
+    """``rows`` with the other columns of ``values`` (one row a key; ``weight``: how many rows have the key), whatever the skew.
+
+    Keys that hold at least HOT_SHARE of the ``total`` rows are at most 1 / HOT_SHARE, so they are looked up map-side in a
+    broadcast dictionary. Rows met there carry a salt instead of the key and are dealt evenly; the others are shuffled by key.
+    """
+    names = [c for c in values.columns if c not in keys]
+    cut = max(1.0, total * HOT_SHARE)
+    hot = values.where(F.col(weight) >= cut).select(*keys, F.struct(*names).alias("__hot"))
+    # (The right side's salt is always 0 but no constant, else it would be dropped from the join's keys.)
+    cold = values.where(F.col(weight) < cut).select(
+        *[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int").alias("__rs"), F.struct(*names).alias("__cold"))
+    met = rows.join(F.broadcast(hot), list(keys), "left")
+    free = F.col("__hot").isNull()
+    salt = F.when(free, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*[quoted(c) for c in rows.columns]), F.lit(SALTS))).cast("int")
+    met = met.withColumns({**{f"__l{i}": F.when(free, F.col(k)) for i, k in enumerate(keys)}, "__ls": salt})
+    same = [F.col(f"__l{i}") == F.col(f"__r{i}") for i in range(len(keys))]
+    found = met.join(cold, [*same, F.col("__ls") == F.col("__rs")], "left").withColumn("__found", F.coalesce("__hot", "__cold"))
+    return found.select(*[quoted(c) for c in rows.columns], *[F.col("__found").getField(n).alias(n) for n in names])
 
 
 def value_counts_joined(df: DataFrame, value: Column, name: str = "value_count") -> DataFrame:
-    """Each row beside the number of rows that share its value."""
-    counts = df.groupBy(value.alias("__v")).agg(F.count(F.lit(1)).alias(name))
-    return df.withColumn("__v", value).join(counts, "__v").drop("__v")
+    """Each row beside the number of rows that share its value; rows without a value are left out."""
+    valued = df.withColumn("__v", value).where(F.col("__v").isNotNull())
+    counts = keep(valued.groupBy("__v").agg(F.count(F.lit(1)).alias(name)))
+    total = counts.agg(F.coalesce(F.sum(name), F.lit(0))).first()[0]
+    return value_lookup(valued, counts, ["__v"], name, total).drop("__v")
 
 
 def rows_in_classes(df: DataFrame, column: str, classes: DataFrame) -> DataFrame:

@@ -118,7 +118,9 @@ def _pair_aggregates(cols: list[str]) -> list[Column]:
     aggs = []
     for a, b in combinations(range(len(cols)), 2):
         both = x[a].isNotNull() & x[b].isNotNull()
-        aggs.append(F.corr(F.when(both, x[a]), F.when(both, x[b])).alias(f"r{a}_{b}"))
+        u, v = F.when(both, x[a]), F.when(both, x[b])
+        # (Not ``corr``: it divides by zero, which is an error in ANSI mode, where a column is constant.)
+        aggs.append((F.covar_pop(u, v) / F.nullif(F.stddev_pop(u) * F.stddev_pop(v), F.lit(0.0))).alias(f"r{a}_{b}"))
     return aggs
 
 
