@@ -1,11 +1,11 @@
 """Packing token pieces into fixed-length sequences: best fit decreasing, certified by lower bounds.
 
-Pieces are dealt to partitions of bounded size. Each partition runs best fit decreasing and computes lower bounds from
-dual-feasible functions; if the best bound equals its bin count, the partition is certified. Full bins are closed.
-Partitions with a gap give up the documents of all their open bins; certified ones give up only their emptiest bins,
-since rounding costs each partition up to one bin. What was given up is exchanged: it is dealt anew to fewer
-partitions and packed again, and the new layout is taken only if it has fewer bins. This ends when the whole layout
-meets the bound of the whole length histogram, or when an exchange brings nothing.
+Pieces are dealt to partitions of bounded size, evenly over the lengths. Each partition runs best fit decreasing and computes
+lower bounds from dual-feasible functions; if the best bound equals its bin count, the partition is certified. If the whole
+layout needs more bins than the bound of the whole length histogram, partitions exchange documents: they give up every bin
+with room and every bin of more than two pieces (pairs that fill a bin stay), also certified ones, as their bounds do not add
+up to the whole's. What was given up is dealt anew to half as many partitions and packed again, and the new layout is taken
+only if it has fewer bins. This ends when the bound is met or a partition would get ``GROWTH`` times its usual pieces.
 
 Defined cases: a null text is empty (one token: the end id); rows that repeat a document are documents of their own; ties
 in length are broken by the row's number; an empty table gives no row; other columns are ignored.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ from oddrows.llm.common import materialize, per_batch, text_of
 
 CAPACITY = 2048
 PIECES_PER_PARTITION = 16_384
-MAX_EXCHANGES = 6
+GROWTH = 8
+DEALT_ROWS = 1 << 20  # pieces that one task deals
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -108,22 +110,34 @@ def _histogram(df: DataFrame, capacity: int) -> np.ndarray:
     return counts
 
 
-def _pack_once(pieces: DataFrame, parts: int, seed: int, capacity: int) -> DataFrame:
-    """Pack each part by itself; a bin's row knows its fill and whether its part is certified."""
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(parts)))
+def _dealt(pieces: DataFrame, n: int, parts: int, seed: int) -> DataFrame:
+    """``pieces`` with ``part``: a task deals its pieces in turn, in the order of their lengths, so all parts get about the same
+    lengths. Which task a piece is in depends on its row number alone."""
+    ordered = pieces.select("row", "length").repartition(max(1, math.ceil(n / DEALT_ROWS)), F.xxhash64("row", F.lit(seed))).sortWithinPartitions("length", "row")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = (TaskContext.get().partitionId() * 0x9E3779B1 + seed) % parts
+        for batch in batches:
+            part = (at + np.arange(batch.num_rows)) % parts
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=["row", "length", "part"])
+
+    return ordered.mapInArrow(task, "row long, length long, part long")
+
+
+def _pack_once(pieces: DataFrame, n: int, parts: int, seed: int, capacity: int) -> DataFrame:
+    """Pack each part by itself; a piece knows whether its part is certified and whether its bin takes part in an exchange."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row"], ascending=[False, True], kind="stable")
         lengths = pdf["length"].to_numpy()
-        bins, offsets, n = best_fit_decreasing(lengths, capacity)
-        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        fill = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
-        # The two emptiest bins, by which rounding is paid for, are open even in a certified part.
-        open_bin = (fill < capacity) if n > bound else (np.argsort(np.argsort(fill, kind="stable")) < 2) & (fill < capacity)
+        bins, offsets, count = best_fit_decreasing(lengths, capacity)
+        certified = count == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        given = (np.bincount(bins, weights=lengths, minlength=count) < capacity) | (np.bincount(bins, minlength=count) > 2)
         sequence = (seed << 56) + (int(pdf["part"].iloc[0]) << 24) + bins
-        return pd.DataFrame({"row": pdf["row"].to_numpy(), "length": lengths, "sequence_id": sequence, "offset": offsets, "open": open_bin[bins]})
+        return pd.DataFrame({"row": pdf["row"].to_numpy(), "length": lengths, "sequence_id": sequence, "offset": offsets, "given": given[bins], "certified": certified})
 
-    return dealt.groupBy("part").applyInPandas(pack, "row long, length long, sequence_id long, offset long, open boolean")
+    return _dealt(pieces, n, parts, seed).groupBy("part").applyInPandas(pack, "row long, length long, sequence_id long, offset long, given boolean, certified boolean")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
@@ -136,19 +150,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
         return full
     bound = lower_bound(counts, capacity)
     parts, seed = math.ceil(n / per_partition), 0
-    layout = materialize(_pack_once(rest, parts, seed, capacity))
+    layout = materialize(_pack_once(rest, n, parts, seed, capacity))
     bins = layout.select("sequence_id").distinct().count()
-    while bins > bound and parts > 1 and seed < MAX_EXCHANGES:
-        given = layout.where("open")
+    while bins > bound and parts > 1:
+        given = layout.where("given")
         size, was = given.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
-        if not size:
+        fewer = max(1, math.ceil(size / (GROWTH * per_partition)), min(parts // 2, math.ceil(size / per_partition)))
+        if not size or fewer >= parts:
             break
-        parts, seed = max(1, min(parts - 1, math.ceil(size / per_partition))), seed + 1
-        again = materialize(_pack_once(given.select("row", "length"), parts, seed, capacity))
+        parts, seed = fewer, seed + 1
+        again = materialize(_pack_once(given, size, parts, seed, capacity))
         now = again.select("sequence_id").distinct().count()
-        if now > was:
-            break
-        layout, bins = layout.where("not open").unionByName(again), bins - was + now
+        if now < was:
+            layout, bins = layout.where("not given").unionByName(again), bins - was + now
     return layout.select("row", "sequence_id", "offset").unionByName(full)
 
 
