@@ -143,6 +143,50 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(table(spark, folder, "documents"), bpe_encoder(), VOCABULARY)
 
 
+#: SQL: the crc32 table from its rule, and the crc32 of a short ASCII string.
+CRC_TABLE = (
+    "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS crc_table "
+    "FROM range(256) r(i)"
+)
+
+
+def crc_sql(text: str) -> str:
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INT, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda x, y: xor(x >> 8, crc_table[(xor(x, y) & 255) + 1])), 4294967295)"
+
+
+#: Equal words at each distance q, in stretches of neighbours: those long enough are runs, of the smallest such q.
+RUNS_SQL = f"""
+WITH crc AS ({CRC_TABLE}),
+docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {crc_sql("doc_id::VARCHAR")} AS h
+    FROM documents, crc
+),
+plans AS (SELECT r, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g FROM docs),
+places AS (SELECT *, CASE WHEN planted THEN g % n END AS a, CASE WHEN planted THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM plans),
+words AS (
+    SELECT r, n, i, w[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+    FROM (SELECT *, unnest(range(n)) AS i FROM places)
+),
+equal AS (SELECT x.r, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (
+    SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM equal)
+    GROUP BY r, q, g HAVING count(*) + q >= greatest(6, 4 * q)
+),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+best AS (
+    SELECT r, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256,
+           arg_max({{'s': start, 'n': length, 'q': period}}, [length, -start, -period]) AS b
+    FROM runs GROUP BY r
+),
+dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, sha256(string_agg(word, ' ' ORDER BY i)) AS collapsed_sha256 FROM words ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.n AS length, b.q AS period, 1000 * b.n // b.q AS exponent_milli,
+       coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM docs LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def planted_period() -> Column:
     """The text; one in ten by id repeats its words from some word on, as the query's contract says."""
     words = F.regexp_extract_all(text_of(), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
@@ -159,7 +203,7 @@ def planted_period() -> Column:
     return F.when((h % 10 == 0) & (F.size(words) > 0), F.element_at(F.transform(F.array(words), repeated), 1)).otherwise(text_of())
 
 
-@query("op13_periodic_runs")
+@query("op13_periodic_runs", RUNS_SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", planted_period().alias("text"))
     best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("before"), (-r.period).alias("short"))))
@@ -171,18 +215,6 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-#: SQL: the crc32 table from its rule, and the crc32 of a short ASCII string.
-CRC_TABLE = (
-    "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS crc_table "
-    "FROM range(256) r(i)"
-)
-
-
-def crc_sql(text: str) -> str:
-    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INT, 1))::BIGINT)"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda x, y: xor(x >> 8, crc_table[(xor(x, y) & 255) + 1])), 4294967295)"
-
-
 TRIE_SQL = f"""
 WITH crc AS ({CRC_TABLE}),
 turns AS (
