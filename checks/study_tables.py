@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import out, query, table
+from checks import out, query, sql_hash, table
 from checks.score import SCORES_SQL, SOURCES, scores
 from oddrows.operators import joins
 from oddrows.operators.profile import analyze
@@ -295,7 +295,22 @@ def _(spark, d):
     return out(found.result)
 
 
-@query("t11_source_choice_on_labels")
+@query("t11_source_choice_on_labels", f"""
+WITH sc AS (SELECT *, iforest / 500 AS ensemble, CAST(iforest + temporal_change > 230 AS INT) AS y FROM {SCORES_SQL}),
+c AS (SELECT y, count(*) AS m, sum(count(*)) OVER () AS n FROM sc GROUP BY y),
+e AS (SELECT *, ceil(n * 0.35) AS total, m * ceil(n * 0.35) / n AS exact FROM c),
+f AS (SELECT *, floor(exact) AS low, row_number() OVER (ORDER BY floor(exact) - exact, CAST(y AS VARCHAR)) AS r, sum(floor(exact)) OVER () AS given FROM e),
+t AS (SELECT y, least(greatest(1, low + CASE WHEN r <= total - given THEN 1 ELSE 0 END), m - 1) AS take FROM f),
+split AS (SELECT sc.*, row_number() OVER (PARTITION BY sc.y ORDER BY {sql_hash(42, 'event_id')}) <= take AS test FROM sc JOIN t USING (y)),
+long AS ({" UNION ALL ".join(f"SELECT {i} AS place, '{s}' AS src, {s} AS s, y, test FROM split" for i, s in enumerate(["ensemble", *SOURCES]))}),
+cuts AS (SELECT test, src, unnest(list_append(range(70, 91), 95)) AS p, unnest(q) AS cut FROM (
+  SELECT test, src, quantile_cont(s, {[p / 100 for p in (*range(70, 91), 95)]}) AS q FROM long GROUP BY ALL)),
+tally AS (SELECT test, place, src, p, count(*) FILTER (s > cut AND y = 1) AS tp, count(*) FILTER (s > cut AND y = 0) AS fp, count(*) FILTER (s <= cut AND y = 1) AS fn
+  FROM long JOIN cuts USING (test, src) GROUP BY ALL),
+scored AS (SELECT *, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM tally),
+calibrated AS (SELECT src, coalesce(arg_min(p, (-f1, p)) FILTER (f1 > 0 AND p < 95), 95) AS p FROM scored WHERE NOT test GROUP BY src)
+SELECT src AS source, 'holdout_validated_best_f1_on_labels' AS method, CAST(p AS DOUBLE) AS percentile, round(f1, 6) AS f1
+FROM scored JOIN calibrated USING (src, p) WHERE test ORDER BY scored.f1 DESC, place LIMIT 1""")
 def _(spark, d):
     from oddrows.operators.ensemble import normalize
     from oddrows.plans.detect import choose_on_labels
