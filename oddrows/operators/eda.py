@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddrows.functions.schema import categorical_columns, number, numeric_columns, quoted
-from oddrows.operators.joins import value_lookup
+from oddrows.operators.joins import HOT_SHARE
 from oddrows.operators.ordered import average_ranks, bucketize
 from oddrows.operators.profile import sample_kurtosis, sample_skewness
 from oddrows.operators.ranks import quantiles
@@ -216,17 +216,25 @@ def _matrix(df: DataFrame, sources: list[str], names: list[str], label: str) ->
 def spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(a, b, spearman): Pearson on average ranks.
 
-    Ranks are computed per distinct value. All columns look them up at once: the table becomes (row, column, value) cells,
-    one shuffle brings them to their ranks (frequent values find theirs map-side) and one brings the ranks back to rows.
+    Ranks are computed per distinct value. Frequent values find theirs map-side, in a broadcast dictionary a column. The rest
+    of all columns become (row, column, value) cells: one shuffle brings them to their ranks and one back to their rows.
     """
     cols = cols or top_variance_columns(df)
-    work = materialize(complete_rows(df, cols).withColumn(ROW, F.monotonically_increasing_id()))
-    ranks = keep(average_ranks(work, {c: quoted(c) for c in cols}).select("column", F.col("value").alias("__value"), "n", "avg_rank"))
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), (quoted(c) + F.lit(0.0)).alias("__value")) for c in cols])
-    found = value_lookup(work.select(ROW, F.inline(cells)), ranks, ["column", "__value"], "n", work.count())
-    names = [f"__r{i}" for i in range(len(cols))]
-    ranked = found.groupBy(ROW).agg(*[F.max(F.when(F.col("column") == c, F.col("avg_rank"))).alias(n) for c, n in zip(cols, names)])
-    return _matrix(ranked, names, cols, "spearman")
+    work = materialize(complete_rows(df, cols).select(F.monotonically_increasing_id().alias(ROW), *[(quoted(c) + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)]))
+    numbered = list(range(len(cols)))
+    ranks = keep(average_ranks(work, {str(i): F.col(f"x{i}") for i in numbered}).select(F.col("column").cast("int").alias("place"), "value", "n", "avg_rank"))
+    cut = max(1.0, work.count() * HOT_SHARE)
+    rare = {r["place"] for r in ranks.where(F.col("n") < cut).select("place").distinct().collect()}
+    names, out = [f"r{i}" for i in numbered], work
+    for i in numbered:  # at most 1 / HOT_SHARE values a column are frequent
+        frequent = ranks.where((F.col("place") == i) & (F.col("n") >= cut)).select(F.col("value").alias(f"x{i}"), F.col("avg_rank").alias(f"r{i}"))
+        out = out.join(F.broadcast(frequent), f"x{i}", "left")
+    if rare:
+        cells = F.filter(F.array(*[F.struct(F.lit(i).alias("place"), F.when(F.col(f"r{i}").isNull(), F.col(f"x{i}")).alias("value")) for i in sorted(rare)]), lambda c: c["value"].isNotNull())
+        found = out.select(ROW, F.inline(cells)).join(ranks.where(F.col("n") < cut).select("place", "value", "avg_rank"), ["place", "value"])
+        back = found.groupBy(ROW).agg(*[F.max(F.when(F.col("place") == i, F.col("avg_rank"))).alias(f"b{i}") for i in sorted(rare)])
+        out = out.join(back, ROW, "left").withColumns({f"r{i}": F.coalesce(f"r{i}", f"b{i}") for i in sorted(rare)})
+    return _matrix(out, names, cols, "spearman")
 
 
 def top_correlations(
