@@ -268,3 +268,46 @@ def test_values_of_forests_svms_and_neighbours_are_over_all_rows(spark):
 def test_detector_choice():
     assert select_detectors(5, 1) == ["iforest", "ocsvm"]
     assert select_detectors(300, 6) == ["iforest", "ocsvm", "lof", "knn_distance", "autoencoder", "lstm"]
+
+
+def test_search_grows_each_tree_once(spark, monkeypatch):
+    """A rung of the forest search adds trees to the sums of the rung before and grows none of them again."""
+    from oddrows.detectors import search as searching
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(400, 2)))], "id long, a double, b double")
+    grown, sums = [], forest.path_sums
+    monkeypatch.setattr(searching, "path_sums", lambda table, specs, groups, **kw: grown.append((groups, list(specs))) or sums(table, specs, groups, **kw))
+    trials = searching.search(df, "id", ["a", "b"], 400, ["iforest"]).trials
+    assert sum(len(s) for _, s in grown) == sum(t.effort for t in trials)
+    for t in trials:
+        one = forest.isolation_forest(df, "id", ["a", "b"], 400, n_estimators=t.effort, max_samples=t.params["max_samples"])
+        assert t.value == pytest.approx(one.selectExpr("stddev_pop(iforest)").first()[0], abs=1e-9)
+    by_nodes = searching.search(df, "id", ["a", "b"], 400, ["iforest"], node_cells=100).trials
+    assert [(t.effort, t.chosen) for t in by_nodes] == [(t.effort, t.chosen) for t in trials]
+    assert [t.value for t in by_nodes] == pytest.approx([t.value for t in trials], abs=1e-9)
+
+
+def test_trees_grow_in_groups_of_bounded_rows(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(size=3000), rng.integers(0, 5, 3000), np.ones(3000)])
+    whole = forest.build_tree(x, 42, 2, 1, 14)
+    held = []
+    monkeypatch.setattr(forest, "GROUP_ROWS", 100)
+    monkeypatch.setattr(forest, "cut_of", lambda seed, tree, node, low, high, inner=forest.cut_of: held.append(len(node)) or inner(seed, tree, node, low, high))
+    paths = np.full(3000, np.nan)
+    parts = forest.build_tree(x, 42, 2, 1, 14, paths)
+    assert max(held) <= 100 and len(parts.number) == len(whole.number)
+    assert (paths == whole.path[whole.place(x)]).all() and (parts.path[parts.place(x)] == paths).all()
+
+
+def test_fourier_map_is_the_cosine():
+    rng = np.random.default_rng(8)
+    basis = ocsvm.fourier_basis(3, 0.3, 64)
+    for scale in (0.0, 1.0, 1e4, 1e9):
+        x = rng.normal(size=(700, 3)) * scale
+        assert np.abs(ocsvm.fourier(x, basis) - np.sqrt(2 / 64) * np.cos(x @ basis[0] + basis[1])).max() < 1e-11
+    z, edges = ocsvm.fourier(rng.normal(size=(700, 3)), basis), np.linspace(0.0, 1.0, 9)
+    w = z.mean(0)
+    bins, got = np.searchsorted(edges, z @ w, side="right"), ocsvm.binned(z, w, edges).reshape(10, 65)
+    for b in range(10):
+        assert got[b, 0] == (bins == b).sum() and got[b, 1:] == pytest.approx(z[bins == b].sum(0))
