@@ -311,3 +311,14 @@ def test_fourier_map_is_the_cosine():
     bins, got = np.searchsorted(edges, z @ w, side="right"), ocsvm.binned(z, w, edges).reshape(10, 65)
     for b in range(10):
         assert got[b, 0] == (bins == b).sum() and got[b, 1:] == pytest.approx(z[bins == b].sum(0))
+
+
+def test_broadcast_tops_need_no_package(spark, monkeypatch):
+    """Broadcasts are unpickled by reference, on executors that may lack the package: they hold no classes of it."""
+    import pickle
+    df = spark.createDataFrame([(i, float(i * 7 % 31), float(i % 5)) for i in range(200)], "id long, a double, b double")
+    sent, context = [], type(spark.sparkContext)
+    real = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or real(self, value))
+    forest.isolation_forest(df, "id", ["a", "b"], 200, n_estimators=3, node_cells=60).collect()
+    assert sent and not any(b"oddrows" in s for s in sent)
