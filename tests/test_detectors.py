@@ -322,3 +322,32 @@ def test_broadcast_tops_need_no_package(spark, monkeypatch):
     monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or real(self, value))
     forest.isolation_forest(df, "id", ["a", "b"], 200, n_estimators=3, node_cells=60).collect()
     assert sent and not any(b"oddrows" in s for s in sent)
+
+
+def test_forest_partitions_grow_with_rows_and_trees(spark, monkeypatch):
+    """A partition holds about PART_BYTES of the rows that go to nodes, whatever spark.sql.shuffle.partitions is; scores stay."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.normal(size=3000), rng.integers(0, 9, 3000), rng.integers(0, 400, 3000)])
+    df, names = frame(spark, x)
+    table = forest.pack_table(df, "id", names, len(x))
+    trees = [forest.Spec(0, t, 2400) for t in range(6)]
+    whole = {r["block"]: np.frombuffer(r["sums"]) for r in forest.path_sums(table, trees, 1).collect()}
+    monkeypatch.setattr(forest, "PART_BYTES", 1 << 14)
+    sums = forest.path_sums(table, trees, 1, node_cells=1500)
+    assert sums.rdd.getNumPartitions() >= 3000 * 6 * 32 / (1 << 14)
+    got = {r["block"]: np.frombuffer(r["sums"]) for r in sums.collect()}
+    assert whole.keys() == got.keys() and all(np.allclose(whole[b], got[b], rtol=1e-12) for b in whole)
+
+
+def test_forest_messages_are_short_and_exact():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 300, 70_000):
+        x = np.column_stack([rng.normal(size=n), rng.integers(-3, 9, n) / 7, rng.integers(0, 300, n), np.arange(n), np.where(rng.random(n) < 0.5, -np.inf, 1e300)])
+        data = b"".join(forest._packed(c) for c in x.T)
+        assert np.array_equal(forest._unpacked(data, n, 5), x) and len(data) <= 20 + x.nbytes
+        if n > 1000:
+            assert len(data) < 0.6 * x.nbytes
+        places = np.flatnonzero(rng.random(3 * n) < 0.3)
+        assert np.array_equal(forest._places(forest._gaps(places)), places) and len(forest._gaps(places)) <= 1 + len(places)
+    far = np.array([0, 3, 70_000, 70_001])
+    assert np.array_equal(forest._places(forest._gaps(far)), far)
