@@ -112,7 +112,8 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def common_datasets(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("dataset").intersect(b.select("dataset"))
+    """Names on both sides. Each side's are made distinct map-side, so no task meets the rows of a frequent name."""
+    return a.select("dataset").distinct().intersect(b.select("dataset").distinct())
 
 
 def either_label(df: DataFrame, a: str, b: str, name: str = "y_combined") -> DataFrame:

@@ -72,3 +72,17 @@ def test_constant_columns_have_no_correlation_and_raise_nothing(spark):
     assert got["a", "c"] == pytest.approx(-1.0) and all(not got[p] for p in got if p != ("a", "c"))
     assert {(r["a"], r["b"]): r["pearson"] for r in eda.pearson_matrix(df, ["a", "b", "c"]).collect()}["a", "b"] == 0.0
     assert analyze(df, ["a", "b", "c", "d"]).features == 4
+
+
+def test_common_names_are_made_distinct_before_they_are_shuffled(spark):
+    a = spark.range(20_000).selectExpr("if(id % 7 = 0, null, concat('d', id % 3)) AS dataset")
+    b = spark.range(20_000).selectExpr("if(id % 5 = 0, null, concat('d', 1 + id % 3)) AS dataset")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for names too many to broadcast
+    try:
+        found = joins.common_datasets(a, b)
+        assert sorted(r[0] or "" for r in found.collect()) == ["", "d1", "d2"]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan[plan.index("Join LeftSemi"):].count("Aggregate [dataset") == 2  # one on each side, below the join
