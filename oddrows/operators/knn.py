@@ -35,6 +35,7 @@ MIN_BLOCK = 256
 PIVOT_BYTES = 32 << 20  # what one broadcast of pivots may take
 MAX_PIVOTS = 4096
 RINGS = 31
+CELLS = 1 << 21  # distances that a task holds at once (16 MB)
 
 
 @dataclass
@@ -106,6 +107,25 @@ def nearest_in_block(qid: np.ndarray, q: np.ndarray, sid: np.ndarray, s: np.ndar
     return qi[best], si[best], exact[best]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A matrix as bytes, in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return short.tobytes() if np.array_equal(short, x) else np.ascontiguousarray(x, dtype=np.float64).tobytes()
+
+
+def matrix(data: pa.Buffer, rows: int, width: int) -> np.ndarray:
+    """The matrix of ``packed``."""
+    kind = np.float64 if len(data) == 8 * rows * width else np.float32
+    return np.frombuffer(data, kind).astype(np.float64, copy=False).reshape(rows, width)
+
+
+def buffers(batch: pa.RecordBatch) -> Iterator[list]:
+    """The rows of a batch one by one, binaries as buffers: nothing but the row at hand is copied."""
+    for i in range(batch.num_rows):
+        yield [c[i].as_buffer() if pa.types.is_binary(c.type) else c[i].as_py() for c in batch.columns]
+
+
 def distinct_points(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """(gid, w, v): one point per distinct vector, named by its smallest key."""
     v = F.array(*[quoted(f).cast("double") for f in features])
@@ -126,8 +146,9 @@ def neighbour_edges(points: DataFrame, k: int, width: int, *, block: int | None
     assigned = keep(_assign(points, picked, width))
     layout = _layout(assigned, picked, k, block)
     shared = spark.sparkContext.broadcast(vars(layout))  # at most MAX_PIVOTS x (vector + RINGS) numbers, plus their distances
-    blocks = keep(_pack_blocks(assigned, shared, k, width, task_partitions(spark, math.ceil(n / block) * 4)))
-    parts = task_partitions(spark, math.ceil(n / block) * 4)
+    blocks = keep(_pack_blocks(assigned, shared, k, width, max(task_partitions(spark, math.ceil(n / block) * 4), math.ceil(n / block))))
+    # More points make more tasks: what one of them reads does not grow with the number of blocks that it serves.
+    parts = max(task_partitions(spark, math.ceil(n / block) * 4), math.ceil(n / block) * 2)
     asked = _asked(blocks, shared, width)
     sent = asked.repartition(parts, "target").join(blocks.select(F.col("block").alias("target"), F.col("cell").alias("s_cell"), F.col("ids").alias("s_ids"), F.col("x").alias("s_x")), "target")
     sent = _sent(sent, shared, width)
@@ -219,13 +240,16 @@ def _pack_blocks(assigned: DataFrame, shared, k: int, width: int, parts: int) ->
         cell = table.column("cell")[0].as_py()
         bound = table.column("distance").to_numpy() + layout.reach[cell]
         if len(ids) > k:
-            d = squared(x, x)
-            np.fill_diagonal(d, np.inf)
-            inside = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1] + 2.0 * slack(x, x))
-            bound = np.minimum(bound, inside)
+            step = max(1, CELLS // len(ids))
+            for at in range(0, len(ids), step):
+                part = x[at: at + step]
+                d = squared(part, x)
+                d[np.arange(len(part)), at + np.arange(len(part))] = np.inf
+                d.partition(k - 1, axis=1)
+                bound[at: at + step] = np.minimum(bound[at: at + step], np.sqrt(d[:, k - 1] + 2.0 * slack(part, x)))
         return pa.table({
             "block": pa.array([table.column("block")[0].as_py()], pa.int64()), "cell": pa.array([cell], pa.int32()),
-            "ids": pa.array([ids.tobytes()], pa.binary()), "x": pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()),
+            "ids": pa.array([ids.tobytes()], pa.binary()), "x": pa.array([packed(x)], pa.binary()),
             "bound": pa.array([bound.tobytes()], pa.binary()),
         })
 
@@ -240,8 +264,8 @@ def _asked(blocks: DataFrame, shared, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = Layout(**shared.value)
         for batch in batches:
-            for block, own, _, x, bound in zip(*[c.to_pylist() for c in batch.columns]):
-                found = list(targets(layout, block, own, np.frombuffer(x).reshape(-1, width), np.frombuffer(bound)))
+            for block, own, ids, x, bound in buffers(batch):
+                found = list(targets(layout, block, own, matrix(x, len(ids) // 8, width), np.frombuffer(bound)))
                 for at in range(0, len(found), 4096):
                     part = found[at: at + 4096]
                     yield pa.RecordBatch.from_arrays(
@@ -284,13 +308,13 @@ def _sent(pairs: DataFrame, shared, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = Layout(**shared.value)
         for batch in batches:
-            for target, home, own, reach, cell, ids, x in zip(*[c.to_pylist() for c in batch.columns]):
-                m = np.frombuffer(x).reshape(-1, width)
+            for target, home, own, reach, cell, ids, x in buffers(batch):
+                m = matrix(x, len(ids) // 8, width)
                 near = np.flatnonzero(distances(m, layout.pivots[own]) <= reach)
                 if len(near):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([home], pa.int64()), pa.array([float(layout.between[own, cell])]), pa.array([target], pa.int64()), pa.array([cell], pa.int32()),
-                         pa.array([np.frombuffer(ids, np.int64)[near].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(m[near]).tobytes()], pa.binary())],
+                         pa.array([np.frombuffer(ids, np.int64)[near].tobytes()], pa.binary()), pa.array([packed(m[near])], pa.binary())],
                         names=["home", "far", "target", "cell", "ids", "x"])
 
     return pairs.select("target", "home", "h_cell", "reach", "s_cell", "s_ids", "s_x").mapInArrow(run, "home long, far double, target long, cell int, ids binary, x binary")
@@ -304,8 +328,9 @@ class Nearest:
         self.distance, self.neighbour = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def meet(self, rows: np.ndarray, s_ids: np.ndarray, s: np.ndarray) -> None:
-        for at in range(0, len(rows), 1024):
-            part = rows[at: at + 1024]
+        step = max(1, CELLS // max(1, len(s_ids)))
+        for at in range(0, len(rows), step):
+            part = rows[at: at + step]
             qi, si, d = nearest_in_block(self.ids[part], self.x[part], s_ids, s, self.k)
             held = np.repeat(np.arange(len(part)), self.k)
             row = np.concatenate([held, qi])
@@ -333,8 +358,8 @@ def _streamed(rows: DataFrame, shared, k: int, width: int, parts: int) -> DataFr
         layout = Layout(**shared.value)
         now = None
         for batch in batches:
-            for home, far, _, cell, ids, x in zip(*[c.to_pylist() for c in batch.columns]):
-                s_ids, s = np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, width)
+            for home, far, _, cell, ids, x in buffers(batch):
+                s_ids, s = np.frombuffer(ids, np.int64), matrix(x, len(ids) // 8, width)
                 if far < 0:  # the block itself comes first
                     if now is not None:
                         yield from now.edges()

@@ -109,3 +109,26 @@ def test_cells_out_of_reach_are_skipped(spark, monkeypatch):
     assert edges.count() == 4 * len(x)
     sent = seen[0].filter("far >= 0").count()
     assert sent < blocks * (blocks - 1) / 2  # far from all pairs of blocks
+
+
+def test_work_and_memory_of_a_task_do_not_grow_with_the_points(spark, monkeypatch):
+    """There are at least as many tasks as blocks, and no step holds more than CELLS distances, with the same edges."""
+    from oddrows.operators import knn
+
+    x = np.random.default_rng(12).normal(size=(900, 5)).astype(np.float32).astype(float)
+    df, names = frame(spark, x)
+    points = distinct_points(df, "id", names)
+    want = sorted(map(tuple, neighbour_edges(points, 7, 5, block=300, pivots=2).collect()))
+    monkeypatch.setattr(knn, "CELLS", 1000)
+    edges = neighbour_edges(points, 7, 5, block=15, pivots=6)
+    assert edges.rdd.getNumPartitions() >= 900 / 15
+    assert sorted(map(tuple, edges.collect())) == want
+
+
+def test_vectors_are_sent_short_and_exact():
+    from oddrows.operators import knn
+
+    x = np.random.default_rng(1).normal(size=(50, 4))
+    for m in (x, x.astype(np.float32).astype(float), x * 1e300, x[:0]):
+        assert np.array_equal(knn.matrix(knn.packed(m), len(m), 4), m)
+    assert len(knn.packed(x)) == 2 * len(knn.packed(x.astype(np.float32).astype(float)))
