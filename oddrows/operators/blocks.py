@@ -39,13 +39,16 @@ def batch_matrix(batch: pa.RecordBatch, start: int, width: int) -> np.ndarray:
 
 
 def spread(df: DataFrame, rows: int | None) -> DataFrame:
-    """A table too small to fill the cluster by its own files, dealt out for heavy batch work.
+    """A table dealt out evenly for heavy batch work.
 
-    Larger tables keep the partitions of their scan: nothing is shuffled.
+    A scan does not fill the cluster, whatever the table's size: a file's row groups are not divided, so a few tasks may hold
+    all rows. Moving the rows once costs little beside passes that take microseconds a row.
     """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if rows is None or rows > SMALL_BLOCKS * BLOCK_ROWS * parallelism:
+    if rows is None:
         return df
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if rows > SMALL_BLOCKS * BLOCK_ROWS * parallelism:
+        return df.repartition(task_partitions(df.sparkSession, rows))
     return df.repartition(max(1, min(parallelism, math.ceil(rows / SPREAD_ROWS))))
 
 

@@ -351,3 +351,18 @@ def test_forest_messages_are_short_and_exact():
         assert np.array_equal(forest._places(forest._gaps(places)), places) and len(forest._gaps(places)) <= 1 + len(places)
     far = np.array([0, 3, 70_000, 70_001])
     assert np.array_equal(forest._places(forest._gaps(far)), far)
+
+
+def test_large_tables_are_dealt_out_evenly(spark, monkeypatch, tmp_path):
+    """One row group is one task of a scan; packing and scoring deal its rows to all cores, above the limit for small tables too."""
+    from oddrows.operators import blocks as b
+
+    monkeypatch.setattr(b, "SMALL_BLOCKS", 0)
+    spark.range(8000).selectExpr("id", "CAST(id AS double) AS v").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    packed = [sum(np.frombuffer(p["x"]).size for p in part) for part in pack_rows(df, ["v"], total=8000).rdd.glom().collect()]
+    scored = b.score_rows(df, ["id"], ["v"], {"s": lambda x: x[:, 0] * 2}, 8000)
+    dealt = [len(part) for part in scored.rdd.glom().collect()]
+    for sizes in (packed, dealt):
+        assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(sizes) == 8000 and max(sizes) <= 2 * 8000 / len(sizes)
+    assert scored.where("s <> 2 * id").count() == 0
