@@ -7,6 +7,7 @@ from all windows that cover them, so windows are never stored and edges never lo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,7 +33,8 @@ def pack_sequences(
     """Ordered blocks of up to ``rows`` own rows with ``reach`` rows of context on each side.
 
     One shuffle by bucket; the rows of a bucket stream through in order, so a task holds one
-    block and its context whatever the bucket's size.
+    block and its context whatever the bucket's size. Buckets are few and fall together in tasks,
+    so the blocks, which need no neighbour any more, are then dealt out evenly for the passes.
     """
     o = with_halo(ordering(df, order_by, [key], buckets=buckets, rows=total), reach, reach)
     width = len(features)
@@ -81,7 +83,7 @@ def pack_sequences(
         if current is not None:
             yield from drain(True)
 
-    return placed.mapInArrow(run, SEQUENCE_SCHEMA)
+    return placed.mapInArrow(run, SEQUENCE_SCHEMA).repartition(task_partitions(df.sparkSession, o.buckets if total is None else math.ceil(total / rows)))
 
 
 def windows_of(x: np.ndarray, length: int, first: int, stop: int) -> np.ndarray:

@@ -366,3 +366,11 @@ def test_large_tables_are_dealt_out_evenly(spark, monkeypatch, tmp_path):
     for sizes in (packed, dealt):
         assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(sizes) == 8000 and max(sizes) <= 2 * 8000 / len(sizes)
     assert scored.where("s <> 2 * id").count() == 0
+
+
+def test_sequence_blocks_are_dealt_out_evenly(spark):
+    """Buckets of the order fall together in tasks; the blocks made from them do not."""
+    df = spark.range(20_000).selectExpr("id", "CAST(id AS double) AS v")
+    blocks = lstm.pack_sequences(df, "id", ["v"], ["id"], 3, rows=100, buckets=12, total=20_000)
+    own = [sum(r["own"] for r in part) for part in blocks.rdd.glom().collect()]
+    assert sum(own) == 20_000 and len(own) >= spark.sparkContext.defaultParallelism and max(own) <= 2 * 20_000 / len(own)
