@@ -1,17 +1,19 @@
 """Exact order statistics and quantiles without a sort or a shuffle of rows.
 
 Small tables use Spark's exact ``percentile`` in one aggregate. Larger ones take three passes, whatever the number of
-ranks, columns and rows: one sketch a column gives cuts, one map-side count of each column's cells between cuts tells in
-which cell a rank lies, and only those cells' values are gathered, each cell by itself, to pick the rank. Every cut value
-has a cell of its own, so heavy ties are found by their count. A cell that is still too large is cut again.
+ranks, columns and rows: one sketch a column, of drawn rows of a bounded number, gives cuts, one map-side count of all of
+each column's cells between cuts tells in which cell a rank lies, and only those cells' values are gathered, each cell by
+itself, to pick the rank. Every cut value has a cell of its own, so heavy ties are found by their count. A cell that is still
+too large is cut again. The draw only places the cuts: ranks are counted over all rows, so the values do not depend on it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ INNER_LIMIT = 100_000  # values one cell may leave for the final array
 ACCURACY = 10_000
 CELLS_AT_ONCE = 64  # cells that one pass reads
 CUTS = 1_000  # cells a cell is cut into
+DRAWN = 64 * CUTS  # values of a cell that place its cuts
 
 
 def prob_array(probs: Sequence[float]) -> Column:
@@ -47,10 +50,10 @@ def order_statistics(
         row = work.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(names))]).first()
         counts = {n: row[f"v{i}"] for i, n in enumerate(names)}
     found: dict[str, dict[int, float]] = {n: {} for n in names}
-    # Open cells [lo, hi) of column i: values below it, values in it, wanted ranks.
+    # Open cells [lo, hi) of column i: values below it, values in it, wanted ranks. A NaN as hi: no upper end.
     inf = math.inf
     cells = [
-        (i, -inf, inf, 0, counts[n], sorted({r for r in requests[n][1] if 0 <= r < counts[n]}))
+        (i, -inf, math.nan, 0, counts[n], sorted({r for r in requests[n][1] if 0 <= r < counts[n]}))
         for i, n in enumerate(names)
     ]
     cells = [c for c in cells if c[5]]
@@ -63,7 +66,7 @@ def order_statistics(
             break
         cells = []
         for i, lo, hi, below, n, ranks in _cut(work, large):
-            if hi == math.nextafter(lo, inf):  # one value only
+            if hi == math.nextafter(lo, inf) or not lo < inf:  # one value only
                 found[names[i]].update(dict.fromkeys(ranks, lo))
             else:
                 cells.append((i, lo, hi, below, n, ranks))
@@ -72,11 +75,39 @@ def order_statistics(
 
 def _members(work: DataFrame, cells: list[tuple]) -> DataFrame:
     """(cell, v): the values of the given cells, read in one pass."""
-    held = [
-        F.when((F.col(f"v{i}") >= F.lit(lo)) & ((F.col(f"v{i}") < F.lit(hi)) | F.lit(hi == math.inf)), F.struct(F.lit(at).alias("cell"), F.col(f"v{i}").alias("v")))
-        for at, (i, lo, hi, *_) in enumerate(cells)
-    ]
-    return work.select(F.explode(F.array_compact(F.array(*held))).alias("x")).select("x.*")
+    bounds = [(i, lo, hi) for i, lo, hi, *_ in cells]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {i: batch.column(i).drop_null().to_numpy(zero_copy_only=False) for i in {b[0] for b in bounds}}
+            held = [columns[i][~(columns[i] < lo) if math.isnan(hi) else (columns[i] >= lo) & (columns[i] < hi)] for i, lo, hi in bounds]
+            at = np.repeat(np.arange(len(held), dtype=np.int32), [len(v) for v in held])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate(held))], names=["cell", "v"])
+
+    return work.mapInArrow(task, "cell int, v double")
+
+
+def _counted(work: DataFrame, splits: Mapping[int, list[float]]) -> dict[int, dict[int, int]]:
+    """How many values of each column lie between its splits, then how many are infinite and NaN, as in Spark's order; a task
+    counts all it reads, so no value leaves it."""
+    edges = {i: np.array(s) for i, s in splits.items()}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {i: np.zeros(len(e) + 1, np.int64) for i, e in edges.items()}
+        for batch in batches:
+            for i, e in edges.items():
+                v = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                at = np.searchsorted(e, v, side="right") - 1
+                at[np.isnan(v)] = len(e)
+                counts[i] += np.bincount(at, minlength=len(e) + 1)
+        for i, c in counts.items():
+            b = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), i, np.int32)), pa.array(b.astype(np.int32)), pa.array(c[b])], names=["i", "b", "n"])
+
+    sizes: dict[int, dict[int, int]] = {i: {} for i in splits}
+    for r in work.mapInArrow(task, "i int, b int, n long").groupBy("i", "b").agg(F.sum("n").alias("n")).collect():
+        sizes[r["i"]][r["b"]] = r["n"]
+    return sizes
 
 
 def _picked(work: DataFrame, cells: list[tuple]) -> list[tuple[tuple, list[float]]]:
@@ -98,19 +129,13 @@ def _cut(work: DataFrame, cells: list[tuple]) -> list[tuple]:
     cuts: dict[int, set[float]] = {}
     for begin in range(0, len(cells), CELLS_AT_ONCE):
         part = cells[begin : begin + CELLS_AT_ONCE]
-        for r in _members(work, part).groupBy("cell").agg(F.percentile_approx("v", grid, ACCURACY).alias("q")).collect():
+        share = DRAWN / min(c[4] for c in part)
+        drawn = work if share >= 1 else work.where(F.rand(7) < share)
+        for r in _members(drawn, part).groupBy("cell").agg(F.percentile_approx("v", grid, ACCURACY).alias("q")).collect():
             i, lo, hi = part[r["cell"]][:3]
             cuts.setdefault(i, set()).update({lo, hi}, r["q"], (math.nextafter(q, inf) for q in r["q"]))
-    splits = {i: sorted({-inf, inf, *c}) for i, c in cuts.items()}
-    columns = sorted(splits)
-    placed = Bucketizer(
-        inputCols=[f"v{i}" for i in columns], outputCols=[f"b{i}" for i in columns], splitsArray=[splits[i] for i in columns], handleInvalid="keep"
-    ).transform(work)
-    pairs = F.array(*[F.when(F.col(f"v{i}").isNotNull(), F.struct(F.lit(i).alias("i"), F.col(f"b{i}").cast("int").alias("b"))) for i in columns])
-    counted = placed.select(F.explode(F.array_compact(pairs)).alias("x")).groupBy("x.i", "x.b").count().collect()
-    sizes: dict[int, dict[int, int]] = {}
-    for r in counted:
-        sizes.setdefault(r["i"], {})[r["b"]] = r["count"]
+    splits = {i: sorted({-inf, inf, *(x for x in c if not math.isnan(x))}) for i, c in cuts.items()}
+    columns, sizes = sorted(splits), _counted(work, splits)
     out = []
     for i in columns:
         todo = sorted(rank for c in cells if c[0] == i for rank in c[5])
@@ -119,7 +144,8 @@ def _cut(work: DataFrame, cells: list[tuple]) -> list[tuple]:
             n = sizes[i][b]
             mine = [rank for rank in todo if below <= rank < below + n]
             if mine:
-                out.append((i, splits[i][b], splits[i][b + 1], below, n, mine))
+                ends = [*splits[i][b : b + 2], math.nan, math.nan]
+                out.append((i, ends[0], ends[1], below, n, mine))
             below += n
     return out
 

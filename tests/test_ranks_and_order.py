@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from oddrows.operators import ordered, sampling
+from oddrows.operators import ordered, ranks, sampling
 from oddrows.operators.ranks import order_statistics, quantiles
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
@@ -36,6 +36,27 @@ def test_order_statistics_match_sorting(spark, values):
     assert [got[r] for r in ranks] == sorted(map(float, values))
 
 
+@pytest.mark.parametrize("kind", ["spread", "hot", "ends"])
+def test_drawn_cuts_leave_ranks_exact(spark, kind, monkeypatch):
+    """Cuts come from a bounded draw of the rows; ranks are counted over all of them, whatever was drawn."""
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=4000)
+    if kind == "hot":
+        values[rng.random(4000) < 0.6] = 0.25
+    if kind == "ends":
+        values[:300], values[300:700], values[700:900] = -np.inf, np.inf, np.nan
+    monkeypatch.setattr(ranks, "DRAWN", 200)
+    monkeypatch.setattr(ranks, "CUTS", 20)
+    wanted = [0, 1, 299, 300, 2000, 3599, 3600, 3998, 3999]
+    df = frame(spark, values).unionByName(spark.sql("SELECT id, CAST(NULL AS DOUBLE) AS v FROM range(50)")).repartition(5)
+    sketched = []
+    whole = ranks._members
+    monkeypatch.setattr(ranks, "_members", lambda work, cells: sketched.append(work.count()) or whole(work, cells))
+    got = order_statistics(df, {"v": (F.col("v"), wanted)}, inner_limit=50)["v"]
+    assert np.array_equal([got[r] for r in wanted], np.sort(values)[wanted], equal_nan=True)
+    assert 0 < sketched[0] < 600
+
+
 def test_null_columns_have_null_quantiles(spark):
     df = spark.sql("SELECT CAST(NULL AS DOUBLE) AS v FROM range(10)")
     assert quantiles(df, ["v"], [0.5])["v"] == [None]
