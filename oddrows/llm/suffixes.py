@@ -376,8 +376,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
         return make
 
-    found = append(rows.withColumns({"n_bytes": F.octet_length("data").cast("long"), "sha256": F.sha2("data", 256)}), [F.col("data")], start, [("places", "array<long>"), ("hashes", "array<long>")])
-    every = materialize(found.drop("data").withColumn("row", F.monotonically_increasing_id()))
+    found = append(rows.withColumns({"n_bytes": F.octet_length("data").cast("long"), "sha256": F.sha2("data", 256)}), [F.col("data")], start, [("places", "array<long>"), ("hashes", "array<long>")], drop=["data"])
+    every = materialize(found.withColumn("row", F.monotonically_increasing_id()))
     spread = every.select("row", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("row", F.col("x.places").alias("place"), F.col("x.hashes").alias("anchor"))
     again = spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     # A text has boundedly many anchors for its length, so the lists below are no longer than it.
@@ -443,4 +443,4 @@ def _readable(changed: DataFrame) -> DataFrame:
     def start():
         return lambda kept: [pa.array([x.as_py().decode("utf-8", "ignore") for x in kept], pa.string())]
 
-    return append(changed.select("__did", "__dh", "kept"), [F.col("kept")], start, [("__kept", "string")]).drop("kept")
+    return append(changed.select("__did", "__dh", "kept"), [F.col("kept")], start, [("__kept", "string")], drop=["kept"])

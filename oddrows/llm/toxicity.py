@@ -28,6 +28,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,11 +48,40 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_SPACE).split()
 
 
+class Words:
+    """Places of different words without an object a word: tasks that hold many words stay small. Words are found by hash and told
+    apart by their bytes."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        hashes = self.hashed(words)
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes, self.data = hashes[self.order], b"".join(words)
+        self.ends = np.cumsum([0, *map(len, words)])
+
+    @staticmethod
+    def hashed(words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+    def places(self, words: list[bytes]) -> list[int]:
+        """The place of each word, -1 where it is none of them."""
+        wanted, out = self.hashed(words), [-1] * len(words)
+        at, end = np.searchsorted(self.hashes, wanted), len(self.hashes)
+        for i in np.flatnonzero(self.hashes[np.minimum(at, end - 1)] == wanted).tolist() if end else []:
+            for a in range(int(at[i]), end):
+                if self.hashes[a] != wanted[i]:
+                    break
+                place = self.order[a]
+                if self.data[self.ends[place] : self.ends[place + 1]] == words[i]:
+                    out[i] = int(place)
+                    break
+        return out
+
+
 @dataclass
 class Index:
     """Examples by term. Terms without a posting are words that only other documents have."""
 
-    terms: dict[bytes, int]
+    terms: dict[bytes, int] | Words
     idf: np.ndarray  # times the factor for telling words
     ids: np.ndarray
     labels: np.ndarray
@@ -127,8 +157,19 @@ class Index:
     def bag(self, text: str) -> tuple[dict[int, int], dict[bytes, int]]:
         """How often each term is in a text, and each word that is no term."""
         counts = Counter(words_of(text))
-        other = {w: n for w, n in counts.items() if w not in self.terms}
-        return {self.terms[w]: n for w, n in counts.items() if w not in other}, other
+        places = self.terms.places(list(counts)) if isinstance(self.terms, Words) else [self.terms.get(w, -1) for w in counts]
+        own, other = {}, {}
+        for (word, n), place in zip(counts.items(), places):
+            if place < 0:
+                other[word] = n
+            else:
+                own[place] = n
+        return own, other
+
+    def compact(self) -> Index:
+        """What tasks need, in arrays."""
+        terms = self.terms if isinstance(self.terms, Words) else Words(sorted(self.terms, key=self.terms.get))
+        return replace(self, terms=terms, rare=None, docs=self.docs.astype(np.int32))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -257,7 +298,7 @@ def _each_text_once(make, texts: pa.Array, seen: dict[bytes, tuple]) -> list[tup
 
 def score(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHBOURS, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (of it only ``carry``, if given) with score (0 to 1) and evidence (the nearest examples)."""
-    shared = docs.sparkSession.sparkContext.broadcast(replace(index, rare=None))  # bounded by the examples' words and max_known
+    shared = docs.sparkSession.sparkContext.broadcast(index.compact())  # bounded by the examples' words and max_known
     fields = [("score", "double"), ("evidence", "array<struct<doc_id: long, cosine: double, label: int>>")]
     columns = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "evidence")]
     text, own = text_of(text_col), [F.col(f"`{c}`") for c in columns]
@@ -273,7 +314,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHB
 
             return lambda texts: _evidence(_each_text_once(one, texts, seen))
 
-        return append(docs.select(*own, text.alias("__text")), [F.col("__text")], start, fields).drop("__text")
+        return append(docs.select(*own, text.alias("__text")), [F.col("__text")], start, fields, drop=["__text"])
 
     # Rare words are in few documents, and so are the texts that have them: neither join has a hot key.
     keys = [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit("again"), text).alias("__k2")]
@@ -293,11 +334,11 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHB
     def search():
         index, seen = shared.value, {}
 
-        def one(text: str) -> tuple[list[int], list[float], float, bool]:
+        def one(text: str) -> tuple[np.ndarray, np.ndarray, float, bool]:
             terms, other = index.bag(text)
             d, c = index.nearest(*index.vector(terms), k)
             square = sum(((1 + np.log(n)) * index.idf[t]) ** 2 for t, n in terms.items())
-            return d.tolist(), c.tolist(), float(square), bool(other)
+            return d.astype(np.int32), c, float(square), bool(other)
 
         def make(texts: pa.Array) -> list[pa.Array]:
             found = zip(*_each_text_once(one, texts, seen))
@@ -315,7 +356,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHB
         return make
 
     near = [("__places", "array<int>"), ("__cosines", "array<double>"), ("__square", "double"), ("__open", "boolean")]
-    searched = append(docs.select(*own, *keys, text.alias("__text")), [F.col("__text")], search, near).drop("__text")
+    searched = append(docs.select(*own, *keys, text.alias("__text")), [F.col("__text")], search, near, drop=["__text"])
     # Texts without such words meet nothing; a number instead of their second key deals them out evenly.
     dealt = searched.withColumn("__k2", F.when(F.col("__open"), F.col("__k2")).otherwise(F.monotonically_increasing_id()))
     joined = dealt.join(rest, ["__k1", "__k2"], "left").select(*own, *[F.col(c) for c, _ in near[:3]], F.coalesce("__rest", F.lit(0.0)).alias("__rest"))

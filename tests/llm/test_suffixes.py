@@ -46,6 +46,14 @@ def test_planted_passages(spark, most):
     assert run(docs, max_contexts=most) == brute(rows)
 
 
+def test_texts_do_not_come_back_from_the_tasks_that_find_anchors(spark, monkeypatch):
+    sent, whole = [], suffixes.append
+    monkeypatch.setattr(suffixes, "append", lambda *args, **named: sent.append(whole(*args, **named)) or sent[-1])
+    docs = spark.createDataFrame([(1, prose(60, 1)), (2, prose(60, 1)), (3, None)], "doc_id long, text string")
+    assert run(docs) == brute([tuple(r) for r in docs.collect()])
+    assert sent and all("data" not in df.columns for df in sent)
+
+
 def test_long_texts_are_cut_in_blocks(monkeypatch):
     text = (prose(3000, 31) + prose(100, 32) + prose(2000, 33)).encode()
     whole = suffixes.text_anchors([text])[0]

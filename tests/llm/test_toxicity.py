@@ -1,3 +1,5 @@
+import pickle
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -29,6 +31,23 @@ def test_search_is_exact():
         assert np.allclose(c, best) and np.allclose(cosine[d], c)
 
 
+def test_tasks_hold_words_as_arrays(monkeypatch):
+    words = [f"word{i}".encode() for i in range(50_000)]
+    index = toxicity.Index({w: i for i, w in enumerate(words)}, np.ones(len(words)), np.arange(0), np.zeros(0), np.zeros(0), 0.2)
+    index.build([])
+    data = pickle.dumps(index.compact())
+    tracemalloc.start()
+    held = pickle.loads(data)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 64 * len(words)
+    text = "word7 Word7 word49999 other word0 word50000"
+    assert held.bag(text) == index.bag(text) == ({7: 2, 49_999: 1, 0: 1}, {b"other": 1, b"word50000": 1})
+    assert toxicity.Words([]).places([b"a"]) == [-1] and toxicity.Words(words).places([]) == []
+    monkeypatch.setattr(toxicity.Words, "hashed", staticmethod(lambda words: np.array([len(w) for w in words], np.uint64)))  # every hash collides
+    assert toxicity.Words([b"aa", b"b", b"cc"]).places([b"cc", b"aa", b"dd", b"b", b"eee"]) == [2, 0, -1, 1, -1]
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     rows, labels = [], []
