@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oddrows.llm.common import append, materialize, per_batch, text_of
 
@@ -64,16 +65,17 @@ class Words:
 
     def places(self, words: list[bytes]) -> list[int]:
         """The place of each word, -1 where it is none of them."""
-        wanted, out = self.hashed(words), [-1] * len(words)
-        at, end = np.searchsorted(self.hashes, wanted), len(self.hashes)
-        for i in np.flatnonzero(self.hashes[np.minimum(at, end - 1)] == wanted).tolist() if end else []:
-            for a in range(int(at[i]), end):
-                if self.hashes[a] != wanted[i]:
-                    break
-                place = self.order[a]
-                if self.data[self.ends[place] : self.ends[place + 1]] == words[i]:
-                    out[i] = int(place)
-                    break
+        if not len(self.hashes):
+            return [-1] * len(words)
+        wanted, data = self.hashed(words), self.data
+        at = np.searchsorted(self.hashes, wanted)
+        near = np.minimum(at, len(self.hashes) - 1)
+        place = self.order[near]
+        found = zip(words, (self.hashes[near] == wanted).tolist(), place.tolist(), self.ends[place].tolist(), self.ends[place + 1].tolist())
+        out = [(p if data[a:e] == word else None) if met else -1 for word, met, p, a, e in found]
+        for i in [i for i, p in enumerate(out) if p is None]:  # another word has the hash
+            same = self.order[at[i] : np.searchsorted(self.hashes, wanted[i], side="right")].tolist()
+            out[i] = next((p for p in same if data[self.ends[p] : self.ends[p + 1]] == words[i]), -1)
         return out
 
 
@@ -169,7 +171,7 @@ class Index:
     def compact(self) -> Index:
         """What tasks need, in arrays."""
         terms = self.terms if isinstance(self.terms, Words) else Words(sorted(self.terms, key=self.terms.get))
-        return replace(self, terms=terms, rare=None, docs=self.docs.astype(np.int32))
+        return replace(self, terms=terms, rare=None)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -287,6 +289,7 @@ def _each_text_once(make, texts: pa.Array, seen: dict[bytes, tuple]) -> list[tup
     """``make`` of every text; equal texts of a task are worked on once."""
     out = []
     for text in texts.to_pylist():
+        text = text or ""
         key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key not in seen:
             if len(seen) > 10_000:
@@ -302,6 +305,9 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHB
     fields = [("score", "double"), ("evidence", "array<struct<doc_id: long, cosine: double, label: int>>")]
     columns = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "evidence")]
     text, own = text_of(text_col), [F.col(f"`{c}`") for c in columns]
+    # A text that stays in the result is its own input (null: empty); else it goes to the task and no further.
+    stays = text_col in columns and docs.schema[text_col].dataType == T.StringType()
+    given, extra = (text_col, []) if stays else (F.col("__text"), [text.alias("__text")])
     if index.rare is None:
 
         def start():
@@ -314,7 +320,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHB
 
             return lambda texts: _evidence(_each_text_once(one, texts, seen))
 
-        return append(docs.select(*own, text.alias("__text")), [F.col("__text")], start, fields, drop=["__text"])
+        return append(docs.select(*own, *extra), [given], start, fields, drop=["__text"])
 
     # Rare words are in few documents, and so are the texts that have them: neither join has a hot key.
     keys = [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit("again"), text).alias("__k2")]
@@ -356,7 +362,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHB
         return make
 
     near = [("__places", "array<int>"), ("__cosines", "array<double>"), ("__square", "double"), ("__open", "boolean")]
-    searched = append(docs.select(*own, *keys, text.alias("__text")), [F.col("__text")], search, near, drop=["__text"])
+    searched = append(docs.select(*own, *keys, *extra), [given], search, near, drop=["__text"])
     # Texts without such words meet nothing; a number instead of their second key deals them out evenly.
     dealt = searched.withColumn("__k2", F.when(F.col("__open"), F.col("__k2")).otherwise(F.monotonically_increasing_id()))
     joined = dealt.join(rest, ["__k1", "__k2"], "left").select(*own, *[F.col(c) for c, _ in near[:3]], F.coalesce("__rest", F.lit(0.0)).alias("__rest"))

@@ -1,4 +1,5 @@
 import pickle
+import re
 import tracemalloc
 from collections import Counter
 
@@ -72,6 +73,15 @@ def test_held_out_accuracy(planted):
     assert len(index.ids) <= 400
 
 
+def test_a_text_is_sent_to_a_task_once(planted):
+    docs, labels = planted
+    index = toxicity.fit(docs, labels.where(~toxicity.held_out()), max_examples=200)
+    for carry in (None, ["doc_id"]):
+        tree = toxicity.score(docs.limit(9), index, carry=carry)._jdf.queryExecution().analyzed().toString()
+        sent = next(line for line in tree[tree.index("MapInArrow") :].splitlines()[1:] if "Project" in line)
+        assert len(re.findall(r"\btext#|\b__text#\d+ AS|coalesce\(cast\(text", sent)) <= 1 + (carry is not None), sent
+
+
 def test_scores_are_calibrated(planted):
     docs, labels = planted
     noisy = labels.withColumn("toxic", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
