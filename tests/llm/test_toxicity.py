@@ -32,6 +32,43 @@ def test_search_is_exact():
         assert np.allclose(c, best) and np.allclose(cosine[d], c)
 
 
+def test_batches_of_queries_are_searched_exactly():
+    """Common terms, which are multiplied in single precision, and terms with postings; equal texts get equal cosines in any batch."""
+    rng = np.random.default_rng(5)
+    words = [f"t{i}".encode() for i in range(200)]
+    n = 900
+    index = toxicity.Index({w: i for i, w in enumerate(words)}, rng.uniform(1, 4, 200), np.arange(n), rng.integers(0, 2, n).astype(float), np.ones(n), 0.2)
+    texts = [b" ".join(words[int(t)] for t in np.minimum(rng.geometric(0.03, rng.integers(0, 30)) - 1, 199)).decode() + " Other" * (i % 3) for i in range(n)]
+    index.build([index.vector(index.bag(t)[0]) for t in texts])
+    assert 0 < index.common.shape[1] < 200 and len(index.docs)
+    vectors = [toxicity._over_norm(t, v, own + other) for t, v, own, other in index.bags(texts)]
+    dense = np.zeros((n, 200))
+    for i, (t, v) in enumerate(vectors):
+        dense[i, t] = v
+    whole = np.array([index.vector(index.bag(t)[0]) for t in texts], object)
+    examples = np.zeros((n, 200))
+    for i, (t, v) in enumerate(whole):
+        examples[i, t] = v
+    found = index.search(vectors, 20)
+    for i, (d, c) in enumerate(found):
+        cosine = examples @ dense[i]
+        best = np.sort(cosine[cosine > 0])[::-1][:20]
+        assert np.allclose(c, best, rtol=1e-12) and np.allclose(cosine[d], c, rtol=1e-12)
+        if i % 50 == 0:
+            alone = index.bags([texts[i]])[0]
+            assert all(np.array_equal(a, b) for a, b in zip(index.search([toxicity._over_norm(*alone[:2], alone[2] + alone[3])], 20)[0], found[i]))
+
+
+def test_texts_meet_python_twice_only(planted):
+    """Once for their rare words and once for the search, whatever is carried; the scores are made from the search's result alone."""
+    docs, labels = planted
+    index = toxicity.fit(docs, labels.where(~toxicity.held_out()), max_examples=200, max_known=1)
+    assert index.rare is not None
+    for carry in (None, ["doc_id"]):
+        tree = toxicity.score(docs.limit(9), index, carry=carry)._jdf.queryExecution().analyzed().toString()
+        assert tree.count("MapInArrow") == 2
+
+
 def test_tasks_hold_words_as_arrays(monkeypatch):
     words = [f"word{i}".encode() for i in range(50_000)]
     index = toxicity.Index({w: i for i, w in enumerate(words)}, np.ones(len(words)), np.arange(0), np.zeros(0), np.zeros(0), 0.2)
