@@ -104,7 +104,8 @@ def sketches(texts: list[bytes], k: int = SKETCH, levels: tuple[int, ...] = LEVE
         if level in levels:
             owner = np.repeat(np.arange(len(full), dtype=np.uint64), np.diff(np.append(firsts, len(names))))
             keys.append((owner << np.uint64(32)) | (_mix(names + np.uint64(level)) >> np.uint64(32)))
-    keys = np.unique(np.concatenate(keys))
+    keys = np.sort(np.concatenate(keys))  # (faster than np.unique, which hashes)
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
     owner = (keys >> np.uint64(32)).astype(np.int64)
     edges = np.searchsorted(owner, np.arange(len(full) + 1))
     low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
