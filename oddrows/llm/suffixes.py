@@ -385,15 +385,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     mine = materialize(mine.join(every.select("row", "__did", "__dh"), "row").select("row", "__did", "__dh", F.col("x.place").alias("places"), F.col("x.anchor").alias("hashes")))
     suspects = _suspect(rows.select("__did", "__dh", "data"), mine).where("__maybe").drop("__maybe")
     around = materialize(suspects.join(mine, ["__did", "__dh"]))
-    contexts = materialize(_contexts(around))
-    crowded = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > max_contexts)
-    crowded = contexts.join(crowded.select("anchor"), "anchor", "left_semi").select("anchor", "digest").distinct().groupBy("anchor").count().where(F.col("count") > max_contexts).select("anchor")
-    crowded = materialize(crowded)
-    plain = contexts if crowded.isEmpty() else contexts.join(crowded, "anchor", "left_anti")
-    ranges = plain.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(_sort_task(width, gram), "anchor long, digest binary, n long, ranges array<int>")
-    if not crowded.isEmpty():
-        ranges = ranges.unionByName(_crowded(contexts.join(crowded, "anchor", "left_semi"), width, gram))
-    ranges = materialize(ranges)
 
     def places(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
@@ -401,7 +392,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             out += [(row, a, p >> 24, _context(text, p)[2]) for p, a in zip(at, anchors)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["row", "anchor", "place", "digest"])
 
-    members = around.select("row", "data", "places", "hashes").mapInArrow(per_batch(places), "row long, anchor long, place int, digest binary")
+    # Digests are written; contexts, each byte of which lies in several, go from the texts to the shuffle.
+    members = materialize(around.select("row", "data", "places", "hashes").mapInArrow(per_batch(places), "row long, anchor long, place int, digest binary"))
+    contexts = _contexts(around)
+    # (Pairs are made distinct first: an anchor may have very many places.)
+    crowded = members.select("anchor", "digest").distinct().groupBy("anchor").count().where(F.col("count") > max_contexts).select("anchor")
+    crowded = materialize(crowded)
+    plain, few = contexts, F.broadcast(crowded)  # at most one anchor in max_contexts places
+    if not crowded.isEmpty():
+        plain = contexts.join(few, "anchor", "left_anti")
+    ranges = plain.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(_sort_task(width, gram), "anchor long, digest binary, n long, ranges array<int>")
+    if not crowded.isEmpty():
+        ranges = ranges.unionByName(_crowded(contexts.join(few, "anchor", "left_semi"), width, gram))
+    ranges = materialize(ranges)
     total = ranges.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     met = lookup(members, ranges, ["anchor", "digest"], "n", total, "inner")
     spans = met.select("row", F.transform("ranges", lambda x: x + F.col("place")).alias("ranges")).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))

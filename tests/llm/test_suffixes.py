@@ -100,3 +100,13 @@ def test_cut_characters_leave_readable_text(spark):
     rows = [(1, "a" + passage + prose(30, 1)), (2, "bc" + passage + prose(30, 2))]
     got = {r["doc_id"]: r["text"] for r in suffixes.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "a" + prose(30, 1), 2: "bc" + prose(30, 2)}
+
+
+@pytest.mark.parametrize("most", [1, 4096])
+def test_contexts_are_not_written(spark, monkeypatch, most):
+    """Contexts overlap, so they take several times the room of their texts; only what is found in them is written."""
+    written, whole = [], suffixes.materialize
+    monkeypatch.setattr(suffixes, "materialize", lambda df: written.append(df.columns) or whole(df))
+    rows = [(i, prose(9, i) + prose(60, 50) + prose(9, i + 20)) for i in range(5)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string"), max_contexts=most) == brute(rows)
+    assert written and all("context" not in columns for columns in written)
