@@ -41,7 +41,7 @@ from oddrows.llm.common import append, materialize, per_batch, text_of
 MAX_EXAMPLES = 8192
 #: Words outside the examples whose document frequencies are broadcast.
 MAX_KNOWN = 1 << 12
-HELD_WORDS = 300_000
+HELD_WORDS = 100_000
 #: A word is common when more than one in ``COMMON`` examples has it.
 COMMON = 8
 #: Queries multiplied at once.
@@ -79,6 +79,7 @@ class Words:
         self.order = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes, self.data = hashes[self.order], b"".join(words)
         self.ends = np.cumsum([0, *map(len, words)])
+        self.ends = self.ends.astype(np.int32 if self.ends[-1] < 1 << 31 else np.int64)
 
     @staticmethod
     def hashed(words: list[bytes]) -> np.ndarray:
@@ -97,7 +98,8 @@ class Words:
         out = np.full(len(words), -1)
         out[met] = place = self.order[near[met]]
         # One comparison of all bytes; word by word only where another word has the hash.
-        size, begin = self.ends[place + 1] - self.ends[place], self.ends[place]
+        begin = self.ends[place].astype(np.int64)
+        size = self.ends[place + 1] - begin
         picked = [words[i] for i in met.tolist()]
         bytes_at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
         if np.array_equal(size, np.fromiter(map(len, picked), np.int64, len(picked))) and np.frombuffer(self.data, np.uint8)[bytes_at].tobytes() == b"".join(picked):
@@ -152,7 +154,7 @@ class Index:
         t, d, w = t[~dense], d[~dense], w[~dense]
         order = np.lexsort((d, t))
         self.docs, self.values = d[order].astype(np.uint16 if len(vectors) <= 1 << 16 else np.int32), w[order]
-        self.starts = np.searchsorted(t[order], np.arange(len(self.idf) + 1))
+        self.starts = np.searchsorted(t[order], np.arange(len(self.idf) + 1)).astype(np.int32 if len(t) < 1 << 31 else np.int64)
 
     def nearest(self, t: np.ndarray, v: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k examples with the largest positive cosine."""
@@ -191,7 +193,7 @@ class Index:
 
     def _added(self, t: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
         """For every example, the sum over terms with postings."""
-        starts = self.starts[t]
+        starts = self.starts[t].astype(np.int64)
         size = self.starts[t + 1] - starts
         at = np.arange(size.sum()) + np.repeat(starts - np.cumsum(size) + size, size)
         return np.bincount(self.docs[at], self.values[at] * np.repeat(v, size), n) if len(at) else np.zeros(n)
@@ -256,6 +258,10 @@ class Index:
         terms = self.terms if isinstance(self.terms, Words) else Words(sorted(self.terms, key=self.terms.get))
         return replace(self, terms=terms, rare=None, single=None)
 
+    def words(self) -> Index:
+        """What ``places`` needs."""
+        return replace(self.judges(), terms=self.compact().terms, ids=None, labels=None, weights=None, votes=None, chances=None)
+
     def judges(self) -> Index:
         """What ``judge`` needs."""
         return replace(self.compact(), terms={}, idf=np.zeros(0), starts=None, docs=None, values=None, row=None, common=None)
@@ -416,10 +422,11 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHB
         return append(docs.select(*own, *extra), [given], start, fields, drop=["__text"])
 
     # Rare words are in few documents, and so are the texts that have them: neither join has a hot key.
+    words_only = docs.sparkSession.sparkContext.broadcast(index.words())
     keys = [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit("again"), text).alias("__k2")]
 
     def lines(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = words_only.value
         words, text, word, n = counted(batch.column(2).to_pylist())
         other = np.array(index.places(words.to_pylist()), np.int64)[word] < 0
         at = pa.array(text[other])

@@ -67,6 +67,11 @@ def test_texts_meet_python_twice_only(planted):
     for carry in (None, ["doc_id"]):
         tree = toxicity.score(docs.limit(9), index, carry=carry)._jdf.queryExecution().analyzed().toString()
         assert tree.count("MapInArrow") == 2
+    # Looking for words takes neither postings nor examples to the tasks.
+    texts = [r["text"] for r in docs.limit(50).collect()]
+    assert len(pickle.dumps(index.words())) < len(pickle.dumps(index.compact())) / 2
+    words = toxicity.counted(texts)[0].to_pylist()
+    assert index.words().places(words) == index.compact().places(words) == index.places(words)
 
 
 def test_tasks_hold_words_as_arrays(monkeypatch):
