@@ -374,3 +374,23 @@ def test_sequence_blocks_are_dealt_out_evenly(spark):
     blocks = lstm.pack_sequences(df, "id", ["v"], ["id"], 3, rows=100, buckets=12, total=20_000)
     own = [sum(r["own"] for r in part) for part in blocks.rdd.glom().collect()]
     assert sum(own) == 20_000 and len(own) >= spark.sparkContext.defaultParallelism and max(own) <= 2 * 20_000 / len(own)
+
+
+def test_passes_near_the_root_look_at_open_nodes_only(spark, monkeypatch):
+    """A level's pass draws the rows of its open nodes, not those of all rows again; blocks are not cut by Arrow's batches."""
+    rng = np.random.default_rng(10)
+    x = np.column_stack([rng.normal(size=6000), rng.integers(0, 9, 6000), rng.integers(0, 400, 6000)])
+    df, names = frame(spark, x)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        table = forest.pack_table(df, "id", names, len(x))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert table.blocks.count() == table.partitions < 12
+    looked, real = [], forest.drawn_rows
+    monkeypatch.setattr(forest, "drawn_rows", lambda seed, tree, ids, *rest: looked.append(len(ids)) or real(seed, tree, ids, *rest))
+    monkeypatch.setattr(forest, "block_sums", lambda blocks, measure, size, partitions, combine=np.add: measure(iter(blocks.toArrow().to_batches())))
+    specs = [forest.Spec(0, t, 4800) for t in range(5)]
+    tops = forest.grow_tops(table, specs, forest.sample_limits(table, specs, 42), 42, 300)
+    levels = [int(n).bit_length() for top in tops.values() for n in top.number[top.place(x)]]
+    assert sum(looked) == sum(levels) and max(levels) > 3
