@@ -8,7 +8,9 @@
    names the blocks that the triangle inequality and the bisector planes cannot rule out, so
    nothing is missed. Each named block sends it those of its points that are near enough.
 4. A block's task keeps the k best candidates of each of its points and streams what was sent,
-   the nearest cells first. As the k-th distances shrink, points skip cells out of their reach.
+   the nearest cells first. As the k-th distances shrink, points skip cells out of their reach, and of
+   the rest one product in single precision, compared with each point's reach less the rounding that it
+   may have, leaves few pairs: only these are measured exactly.
 
 So exactly k edges a point leave the tasks and none is shuffled, whatever the dimension. No step
 holds more than one bounded block pair and the block's k best in memory. Ties go to the point
@@ -30,7 +32,7 @@ from oddrows.functions.schema import quoted
 from oddrows.operators.blocks import column_matrix, matrix_column, task_partitions
 from oddrows.session import keep
 
-MAX_BLOCK = 4096
+MAX_BLOCK = 16_384  # larger blocks are sent fewer copies of the other points
 MIN_BLOCK = 256
 PIVOT_BYTES = 32 << 20  # what one broadcast of pivots may take
 MAX_PIVOTS = 4096
@@ -152,8 +154,8 @@ def neighbour_edges(points: DataFrame, k: int, width: int, *, block: int | None
     asked = _asked(blocks, shared, width)
     sent = asked.repartition(parts, "target").join(blocks.select(F.col("block").alias("target"), F.col("cell").alias("s_cell"), F.col("ids").alias("s_ids"), F.col("x").alias("s_x")), "target")
     sent = _sent(sent, shared, width)
-    own = blocks.select(F.col("block").alias("home"), F.lit(-1.0).alias("far"), F.lit(-1).cast("long").alias("target"), "cell", "ids", "x")
-    return _streamed(own.unionByName(sent), shared, k, width, parts)
+    own = blocks.select(F.col("block").alias("home"), F.lit(-1.0).alias("far"), F.lit(-1).cast("long").alias("target"), "cell", "ids", "x", "bound")
+    return _streamed(own.unionByName(sent.withColumn("bound", F.lit(None).cast("binary"))), shared, k, width, parts)
 
 
 def _pivots(points: DataFrame, n: int, wanted: int, limit: int) -> np.ndarray:
@@ -321,26 +323,67 @@ def _sent(pairs: DataFrame, shared, width: int) -> DataFrame:
 
 
 class Nearest:
-    """The k best candidates so far of each point of a block, by distance, then id."""
+    """The k best candidates so far of each point of a block, by distance, then id. ``radius`` bounds each point's k-th distance."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, bound: np.ndarray | None = None) -> None:
         self.ids, self.x, self.k = ids, x, k
         self.distance, self.neighbour = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.radius = np.full(len(ids), np.inf) if bound is None else bound.copy()
+        self.squares = (x * x).sum(1)
+        self.waiting: list[tuple[np.ndarray, ...]] = []  # (point, distance, neighbour) that are not among the k best yet
+        self.held = 0
 
     def meet(self, rows: np.ndarray, s_ids: np.ndarray, s: np.ndarray) -> None:
-        step = max(1, CELLS // max(1, len(s_ids)))
+        if not len(rows) or not len(s_ids):
+            return
+        squares = (s * s).sum(1)
+        top = squares.max()
+        kind = np.float32 if self.squares.max() + top < 1e30 else np.float64
+        # x s - s s / 2 >= (x x - r r) / 2 says that s is within r of x; ``loss`` bounds what rounding may do to its double.
+        right = np.column_stack([s, squares / -2.0]).astype(kind)
+        step = max(1, CELLS // len(s_ids))
         for at in range(0, len(rows), step):
             part = rows[at: at + step]
-            qi, si, d = nearest_in_block(self.ids[part], self.x[part], s_ids, s, self.k)
-            held = np.repeat(np.arange(len(part)), self.k)
-            row = np.concatenate([held, qi])
-            distance, nbr = np.concatenate([self.distance[part].ravel(), d]), np.concatenate([self.neighbour[part].ravel(), s_ids[si]])
-            order = np.lexsort((nbr, distance, row))
-            row = row[order]
-            best = order[np.arange(len(row)) - np.searchsorted(row, np.arange(len(part)))[row] < self.k]
-            self.distance[part], self.neighbour[part] = distance[best].reshape(-1, self.k), nbr[best].reshape(-1, self.k)
+            loss = 4.0 * np.finfo(kind).eps * (s.shape[1] + 4) * (self.squares[part] + top)
+            reach = self.radius[part]
+            with np.errstate(over="ignore"):
+                limit = ((self.squares[part] - reach * reach - loss) / 2.0).astype(kind)
+            hit = np.column_stack([self.x[part], np.ones(len(part))]).astype(kind) @ right.T >= np.nextafter(limit, kind(-np.inf))[:, None]
+            if np.count_nonzero(hit) > 4 * self.k * len(part):
+                qi, si, d = nearest_in_block(self.ids[part], self.x[part], s_ids, s, self.k)
+            else:
+                qi, si = np.divmod(np.flatnonzero(hit), len(s_ids))
+                other = self.ids[part[qi]] != s_ids[si]
+                qi, si = qi[other], si[other]
+                d = np.empty(len(qi))
+                for a in range(0, len(qi), 100_000):
+                    gap = self.x[part[qi[a: a + 100_000]]] - s[si[a: a + 100_000]]
+                    d[a: a + 100_000] = np.sqrt((gap * gap).sum(1))
+            near = d <= reach[qi]
+            self.waiting.append((part[qi[near]], d[near], s_ids[si[near]]))
+            self.held += len(self.waiting[-1][0])
+            if self.held >= len(self.ids) * self.k:
+                self.merge()
+
+    def merge(self) -> None:
+        """What waits takes its place among the k best."""
+        if not self.held:
+            return
+        point, d, nbr = (np.concatenate(c) for c in zip(*self.waiting))
+        self.waiting, self.held = [], 0
+        near = d <= self.radius[point]
+        point, d, nbr = point[near], d[near], nbr[near]
+        rows, mine = np.unique(point, return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(rows)), self.k), mine])
+        distance, neighbour = np.concatenate([self.distance[rows].ravel(), d]), np.concatenate([self.neighbour[rows].ravel(), nbr])
+        order = np.lexsort((neighbour, distance, row))
+        row = row[order]
+        best = order[np.arange(len(row)) - np.searchsorted(row, np.arange(len(rows)))[row] < self.k]
+        self.distance[rows], self.neighbour[rows] = distance[best].reshape(-1, self.k), neighbour[best].reshape(-1, self.k)
+        self.radius[rows] = np.minimum(self.radius[rows], self.distance[rows, -1])
 
     def edges(self) -> Iterator[pa.RecordBatch]:
+        self.merge()
         step = max(1, 100_000 // self.k)
         for at in range(0, len(self.ids), step):
             d = self.distance[at: at + step]
@@ -358,17 +401,17 @@ def _streamed(rows: DataFrame, shared, k: int, width: int, parts: int) -> DataFr
         layout = Layout(**shared.value)
         now = None
         for batch in batches:
-            for home, far, _, cell, ids, x in buffers(batch):
+            for home, far, _, cell, ids, x, bound in buffers(batch):
                 s_ids, s = np.frombuffer(ids, np.int64), matrix(x, len(ids) // 8, width)
                 if far < 0:  # the block itself comes first
                     if now is not None:
                         yield from now.edges()
-                    now, own = Nearest(s_ids, s, k), cell
+                    now, own = Nearest(s_ids, s, k, np.frombuffer(bound)), cell
                     fuzz, to_own = np.sqrt(slack(s, layout.pivots)), distances(s, layout.pivots[cell])
                     now.meet(np.arange(len(s_ids)), s_ids, s)
                 else:
                     near = distances(now.x, layout.pivots[cell])
-                    now.meet(np.flatnonzero(in_reach(layout, own, cell, near, to_own, now.distance[:, -1] + fuzz, fuzz)), s_ids, s)
+                    now.meet(np.flatnonzero(in_reach(layout, own, cell, near, to_own, now.radius + fuzz, fuzz)), s_ids, s)
         if now is not None:
             yield from now.edges()
 

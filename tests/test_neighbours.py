@@ -132,3 +132,25 @@ def test_vectors_are_sent_short_and_exact():
     for m in (x, x.astype(np.float32).astype(float), x * 1e300, x[:0]):
         assert np.array_equal(knn.matrix(knn.packed(m), len(m), 4), m)
     assert len(knn.packed(x)) == 2 * len(knn.packed(x.astype(np.float32).astype(float)))
+
+
+def test_blocks_measure_few_pairs_exactly(monkeypatch):
+    """With a bound on each k-th distance no block pair is sorted: one product leaves the pairs to measure; ties and large offsets too."""
+    from oddrows.operators import knn
+
+    rng = np.random.default_rng(12)
+    for x in (rng.normal(size=(900, 16)), np.round(rng.normal(size=(900, 2)), 1) + np.arange(900)[:, None] * 1e-9, rng.normal(size=(900, 3)) + 1e4):
+        ids, k = rng.permutation(900), 7
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        d[np.arange(900), np.arange(900)] = np.inf
+        best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+        kth = np.take_along_axis(d, best, 1)
+        home = np.arange(300)
+        now = knn.Nearest(ids[:300], x[:300], k, kth[:300, -1] * 1.2)
+        with monkeypatch.context() as m:
+            if abs(x).max() < 1e3:
+                m.setattr(knn, "nearest_in_block", None)
+            for a in (0, 300, 600):
+                now.meet(home, ids[a: a + 300], x[a: a + 300])
+            now.merge()
+        assert np.array_equal(now.distance, kth[:300]) and np.array_equal(now.neighbour, ids[best[:300]])
