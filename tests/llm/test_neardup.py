@@ -1,3 +1,4 @@
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -97,3 +98,28 @@ def test_rows_without_words_all_stay(spark):
     docs = spark.createDataFrame([(None, None), (None, ""), (None, ""), (3, " "), (3, " "), (4, "one word more"), (4, "one word more")], "doc_id long, text string")
     kept = [(r["doc_id"], r["text"]) for r in neardup.deduplicate(docs).collect()]
     assert sorted(kept, key=repr) == sorted([(None, None), (None, ""), (None, ""), (3, " "), (3, " "), (4, "one word more")], key=repr)
+
+
+def test_many_texts_are_signed_and_checked_as_one_by_one():
+    """Signatures of a batch and the check on prepared sets are those of each text and pair: short, repeated, long and odd texts."""
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(40)]
+    texts = ["a", "a b", "a b c d e", "a a a a a a a a a a a a", " ".join(rng.choice(words, 3000))]
+    texts += [" ".join(rng.choice(words[:9], n)) for n in (3, 4, 6, 30, 200) for _ in range(8)]
+    base = rng.choice(words, 120)
+    for cut in range(0, 60, 3):
+        texts.append(" ".join([*base[cut:], *rng.choice(words, cut)]))
+    for part in (texts[:1], texts[:2], texts):
+        made = neardup.signed(part)
+        alone = [neardup.dart_minhash(*neardup.shingle_weights(t)) for t in part]
+        assert np.array_equal(made, alone) and np.array_equal(neardup.band_keys(made), [neardup.band_keys(s) for s in alone])
+    regions, sizes = neardup.regions_of(texts)
+    sets = [np.sort(r).tobytes() for r in np.split(regions, np.cumsum(sizes)[:-1])]
+    found = [[neardup.near(a, b) for b in sets] for a in sets]
+    assert found == [[neardup.similarity(a, b) >= neardup.THRESHOLD for b in texts] for a in texts] and 0 < sum(map(sum, found)) < len(texts) ** 2
+
+
+def test_blanks_are_joined_as_before(spark):
+    odd = ["a  b\t c", "\ta\x0b\x0cb \r\n", " A b ", "a\tb", "\n \t", "", "a   b", "a b c"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in odd], "text string").select(neardup.normal()).collect()]
+    assert got == [re.sub("[\x20\x09-\x0d]+", " ", t.lower()).strip(" ") for t in odd]
